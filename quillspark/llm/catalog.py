@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module of each query; queries() imports them all, so that a broken one is seen.
 _QUERIES = {
+    "op1_sentencepiece": "piece_tokens",
     "op2_substring_dedup": "substring_dedup",
 }
 
