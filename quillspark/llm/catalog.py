@@ -8,6 +8,11 @@ from importlib import import_module
 _QUERIES = {
     "op1_sentencepiece": "piece_tokens",
     "op2_substring_dedup": "substring_dedup",
+    "op4_language_id": "language_id",
+    "op5_quality_rules": "quality_rules",
+    "op6_secret_scan": "secret_scan",
+    "op9_packing": "packing",
+    "op10_vector_search": "vector_search",
 }
 
 

@@ -131,6 +131,42 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... n values for each of both, in one array."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if ends.size else 0)
+
+
+class Units:
+    """Token ids of texts that are cut into units which are encoded for themselves; frequent units are remembered."""
+
+    def __init__(self, memo: int, longest: int = 64):
+        self.memo, self.longest, self.known = memo, longest, {}
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the bounds of the rows in them. Units reach from each start to the next or the end;
+        encode: gets a list of new units (bytes), returns their ids as little-endian unsigned 32-bit integers."""
+        stops = np.r_[starts[1:], data.size] if starts.size else starts
+        _, first, at = np.unique(HASH_A.spans(data, starts, stops), return_index=True, return_inverse=True)
+        other = HASH_B.spans(data, starts, stops)
+        if (other != other[first][at]).any():  # two units with one hash
+            _, first, at = np.unique(np.array([data[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], object), return_index=True, return_inverse=True)
+        raw, known = data.tobytes(), self.known
+        units = [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        found = [known.get(x) for x in units]
+        new = [i for i, x in enumerate(found) if x is None]
+        if len(known) + len(new) > self.memo:
+            known.clear()
+        for i, x in zip(new, encode([units[i] for i in new]), strict=True):
+            found[i] = x
+            if len(units[i]) < self.longest and len(known) < self.memo:
+                known[units[i]] = x
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        begin, n = np.cumsum(size) - size, size[at]
+        out = np.frombuffer(b"".join(found), "<u4")[ranges(begin[at], n)]
+        return out, np.r_[0, np.cumsum(n)][np.searchsorted(starts, offsets)]
+
+
 def texts_of(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     raw = data.tobytes()
     return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

@@ -27,7 +27,7 @@ from . import common
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Units and pairs that a worker remembers before it starts anew.
+#: Pairs and units that a worker remembers before it starts anew.
 MEMO = 600_000
 _loaded: dict[str, PieceModel] = {}
 
@@ -93,7 +93,7 @@ class PieceModel:
                     self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.units: dict[bytes, bytes] = {}
+        self.units = common.Units(MEMO)
         self.text = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
         self.text_size = np.array([len(x) for x in self.text])
         self.text_begin = np.cumsum(self.text_size) - self.text_size
@@ -178,29 +178,7 @@ class PieceModel:
             mark = data == 0x20
             opens[1:] = mark[1:] & ~mark[:-1]
             opens[offsets[:-1][offsets[:-1] < data.size]] = True
-        starts = np.flatnonzero(opens)
-        stops = np.r_[starts[1:], data.size] if starts.size else starts
-        _, first, at = np.unique(common.HASH_A.spans(data, starts, stops), return_index=True, return_inverse=True)
-        other = common.HASH_B.spans(data, starts, stops)
-        if (other != other[first][at]).any():  # two units with one hash
-            _, first, at = np.unique(np.array([data[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], object), return_index=True, return_inverse=True)
-        raw, units, found = data.tobytes(), self.units, []
-        for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True):
-            unit = raw[a:b]
-            ids = units.get(unit)
-            if ids is None:
-                ids = self.unit_ids(unit.decode().replace(" ", MARK))
-                if b - a < 64:
-                    if len(units) >= MEMO:
-                        units.clear()
-                    units[unit] = ids
-            found.append(ids)
-        size = np.array([len(x) // 4 for x in found], np.int64)
-        begin = np.cumsum(size) - size
-        n, pool = size[at], np.frombuffer(b"".join(found), "<u4")
-        total = np.r_[0, np.cumsum(n)]
-        out = pool[ranges(begin[at], n)]
-        edges = total[np.searchsorted(starts, offsets)]
+        out, edges = self.units.ids(data, np.flatnonzero(opens), offsets, lambda units: [self.unit_ids(x.decode().replace(" ", MARK)) for x in units])
         row = np.arange(offsets.size - 1)
         ids = np.empty(out.size + 2 * row.size, "<u4")
         bounds = edges + 2 * np.arange(edges.size)
@@ -215,7 +193,7 @@ class PieceModel:
         codes = ids.astype(np.int64)
         n = self.text_size[codes]
         text = np.r_[0, np.cumsum(n)][bounds].tolist()
-        raw = self.text_pool[ranges(self.text_begin[codes], n)].tobytes()
+        raw = self.text_pool[common.ranges(self.text_begin[codes], n)].tobytes()
         out = []
         for i, (a, b) in enumerate(zip(text[:-1], text[1:], strict=True)):
             own = codes[bounds[i] : bounds[i + 1]]
@@ -246,12 +224,6 @@ class PieceModel:
         return False
 
 
-def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ... n values for each of both, in one array."""
-    ends = np.cumsum(n)
-    return np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if ends.size else 0)
-
-
 def _lenient(raw: bytes) -> bytes:
     """raw with each byte that is not part of valid UTF-8 replaced."""
     try:
