@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_language_id": "language_id",
     "op5_quality_rules": "quality_rules",
     "op6_secret_scan": "secret_scan",
+    "op7_suffix_array_dedup": "repeats",
     "op9_packing": "packing",
     "op10_vector_search": "vector_search",
 }

@@ -19,18 +19,22 @@ _ANSWER = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("names", pa.binary()), ("firsts", pa.binary())])
 
 
-def sizes(rows: int) -> tuple[int, int]:
-    """Chunks and buckets for so many documents: chunks of 64 to 16,384 documents, a bucket for every 1,024."""
-    per = min(16_384, max(64, rows // 2_000))
+def sizes(rows: int, most: int = 16_384) -> tuple[int, int]:
+    """Chunks and buckets for so many documents: chunks of 64 to `most` documents, a bucket for every 1,024."""
+    per = min(most, max(64, rows // 2_000))
     return max(1, math.ceil(rows / per)), max(128, rows // 1_024)
 
 
+def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
+    return ((names & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
+
 def order(names: np.ndarray, buckets: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct names by bucket and value: bucket, value, and the place of each input name in them.
 
     keep: bits of a name that are sent besides those that choose its bucket.
     """
-    bucket = (names & np.uint64(0xFFFFFF)) % np.uint64(buckets)
+    bucket = bucket_of(names, buckets)
     value = (names >> np.uint64(24)) if keep == 40 else names
     at = np.lexsort((value, bucket))
     b, v = bucket[at], value[at]
@@ -38,7 +42,7 @@ def order(names: np.ndarray, buckets: int, keep: int) -> tuple[np.ndarray, np.nd
     new[1:] = (b[1:] != b[:-1]) | (v[1:] != v[:-1])
     place = np.empty(at.size, np.int64)
     place[at] = np.cumsum(new) - 1
-    return b[new].astype(np.int64), v[new], place
+    return b[new], v[new], place
 
 
 def send(chunk: int, bucket: np.ndarray, value: np.ndarray, width: int, firsts: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.RecordBatch:
@@ -63,6 +67,21 @@ def send(chunk: int, bucket: np.ndarray, value: np.ndarray, width: int, firsts:
     )
 
 
+def send_rows(chunk: int, bucket: np.ndarray, rows: np.ndarray, note: bytes) -> pa.RecordBatch:
+    """One row for each bucket with its part of a record array."""
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if bucket.size else np.zeros(0, np.int64)
+    ends = np.r_[cuts[1:], bucket.size]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(bucket[cuts].astype(np.int32)),
+            pa.array(np.full(cuts.size, chunk, np.int32)),
+            pa.array([rows[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+            pa.array([note] * cuts.size, pa.binary()),
+        ],
+        schema=_SENT,
+    )
+
+
 def answer_shared(width: int, kind: int):
     """For a bucket: which names come from two chunks or more."""
 
