@@ -12,6 +12,7 @@ _QUERIES = {
     "op5_quality_rules": "quality_rules",
     "op6_secret_scan": "secret_scan",
     "op7_suffix_array_dedup": "repeats",
+    "op8_near_dedup": "near_dedup",
     "op9_packing": "packing",
     "op10_vector_search": "vector_search",
 }
