@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_sentencepiece": "piece_tokens",
     "op2_substring_dedup": "substring_dedup",
+    "op3_license_scan": "license_scan",
     "op4_language_id": "language_id",
     "op5_quality_rules": "quality_rules",
     "op6_secret_scan": "secret_scan",

@@ -56,7 +56,7 @@ _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
 def scan(docs: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
-    """doc_id, source, row (unique), spans (array of kind, start, end, owners, live) of each row, by start and then kind.
+    """doc_id, source, print (xxhash64 of the text), row (unique), spans (array of kind, start, end, owners, live) of each row, by start and then kind.
 
     start and end: code points, end exclusive. Kinds assign, access and hex are
     base spans and stay whatever the owners; opaque spans are only those whose
@@ -68,12 +68,12 @@ def scan(docs: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[{"kind": k, "start": a, "end": b, "value": hashlib.sha256(v.encode()).digest()} for a, k, b, v in candidates(x or "")] for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, _FOUND)], ["doc_id", "source", "found"])
+            rows = [[{"kind": k, "start": a, "end": b, "value": hashlib.sha256(v.encode()).digest()} for a, k, b, v in candidates(x or "")] for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, _FOUND)], ["doc_id", "source", "print", "found"])
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(run, "doc_id long, source string, found array<struct<kind:int,start:int,end:int,value:binary>>")
+    found = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, source string, print long, found array<struct<kind:int,start:int,end:int,value:binary>>")
     found = found.withColumn("row", F.monotonically_increasing_id())
-    each = found.select("doc_id", "source", "row", F.explode_outer("found").alias("f")).select("doc_id", "source", "row", "f.*")
+    each = found.select("doc_id", "source", "print", "row", F.explode_outer("found").alias("f")).select("doc_id", "source", "print", "row", "f.*")
     owned = each.where("value is not null").select("value", F.coalesce("source", F.lit("")).alias("owner")).distinct()
     owners = owned.groupBy("value").agg(F.count("*").alias("owners"))
     # rows without a value spread by themselves; the occurrences of a value by a few salts
@@ -82,7 +82,7 @@ def scan(docs: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
     owners = owners.select(F.col("value").alias("key"), "owners", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     joined = each.join(owners, ["key", "salt"], "left").withColumn("live", F.col("owners") < common_owners)
     span = F.when(F.col("kind").isNotNull() & ((F.col("kind") < 3) | F.col("live")), F.struct("start", "kind", "end", "owners", "live"))
-    return joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.array_sort(F.collect_list(span)).alias("spans"))
+    return joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("print").alias("print"), F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 _FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary())]))
