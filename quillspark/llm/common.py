@@ -127,11 +127,11 @@ def row_of(bounds: np.ndarray) -> np.ndarray:
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n items lie in [start, start + width) for any start."""
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.subtract.at(edge, np.minimum(starts + width, n), 1)
-    return np.cumsum(edge[:-1]) > 0
+    """Which of n items lie in [start, start + width) for any of the distinct starts, of which none reaches beyond n."""
+    edge = np.zeros(n + 1, np.int8)
+    edge[starts] = 1
+    edge[starts + width] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int64) > 0
 
 
 def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:

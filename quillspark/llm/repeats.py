@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,26 +34,28 @@ from . import common, exchange
 WIDTH, GRAM = 100, 50
 _REGION = [("key", "<u8"), ("name", "<u8")]
 _STRING = [("key", "<u8"), ("name", "<u4")]
+NOTE = b"again"
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the smallest value in each window of `width` (the first of equals); by doubling."""
+    """The place of the smallest value in each window of `width`, judged by its upper 40 bits; the first of equals.
+
+    Value and place are one integer, so that minima of doubled windows are single operations; pieces of a long array overlap.
+    """
     n = values.size - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, have = values.copy(), np.arange(values.size, dtype=np.int64), 1
-
-    def join(step: int):
-        a, b = best[: best.size - step], best[step:]
-        later = b < a
-        return np.where(later, b, a), np.where(later, at[step:], at[: at.size - step])
-
+    step = (1 << 24) - width
+    if n > step:
+        return np.concatenate([sliding_argmin(values[i : i + step + width - 1], width) + i for i in range(0, n, step)])
+    best = (values & ~np.uint64(0xFFFFFF)) | np.arange(values.size, dtype=np.uint64)
+    have = 1
     while 2 * have <= width:
-        best, at = join(have)
+        best = np.minimum(best[:-have], best[have:])
         have *= 2
     if have < width:
-        best, at = join(width - have)
-    return at[:n]
+        best = np.minimum(best[: have - width], best[width - have :])
+    return (best & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -67,7 +70,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         own[: n - k] = data[k:].astype(np.uint64) + np.uint64(1)
         own[left <= k] = 0
         key = (key << np.uint64(9)) | own
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.r_[True, key[order][1:] != key[order][:-1]]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's rank is the place of its first suffix
@@ -79,11 +82,11 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         at = order[open_]
         after = at + h
         follow = np.where(after < ends[at], rank[np.minimum(after, n - 1)], -1 - ends[at])
-        again = np.lexsort((follow, rank[at]))
-        at, follow = at[again], follow[again]
-        old = rank[at]
+        pair = (rank[at] << 32) + (follow + (n + 1))  # a shard has fewer than 2**31 bytes
+        again = np.argsort(pair)
+        at, pair = at[again], pair[again]
         order[open_] = at
-        split = np.r_[True, (old[1:] != old[:-1]) | (follow[1:] != follow[:-1])]
+        split = np.r_[True, pair[1:] != pair[:-1]]
         new[open_] = split
         rank[at] = np.maximum.accumulate(np.where(split, open_, 0))
         h *= 2
@@ -182,7 +185,8 @@ class Shard:
         region = np.repeat(np.arange(first.size), last - first + 1)
         row = self.row(start)
         inner = start - self.offsets[row]
-        again = self._again(start, row, inner)
+        known = answers.filter(pc.equal(answers.column("kind"), 5)).column("bits").to_pylist() if answers is not None else []
+        self.again = again = np.unpackbits(np.frombuffer(known[0], np.uint8), count=start.size).astype(bool) if known else self._again(start, row, inner)
         ask = np.flatnonzero(mixed[region] & ~earlier[region] & ~again)
         at = start[ask]
         a, b = common.HASH_A.spans(self.data, at, at + WIDTH), common.HASH_B.spans(self.data, at, at + WIDTH)
@@ -264,6 +268,8 @@ def answer_regions(table: pa.Table) -> pa.Table:
 
 def answer_strings(table: pa.Table) -> pa.Table:
     """Merges the shards' sorted lists by binary search: each is looked up in the list of all shards before it."""
+    noted = pc.equal(table.column("firsts"), NOTE)
+    notes, table = table.filter(noted), table.filter(pc.invert(noted))
     n, parts = received(table, _STRING)
     merged = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64)]
     while len(parts) > 1:  # pairs of lists, so that each name is moved a few times only
@@ -272,7 +278,8 @@ def answer_strings(table: pa.Table) -> pa.Table:
     bits = []
     for _, name, doc, start, at in ((*own, lookup(merged, own)) for own in received(table, _STRING)[1]):
         bits.append((doc != merged[2][at]) | (start != merged[3][at]))
-    return exchange._answers(table, 4, np.concatenate(bits) if bits else np.zeros(0, bool), n)
+    kept = pa.table([pa.array([5] * notes.num_rows, pa.int32()), notes.column("bucket"), notes.column("chunk"), notes.column("names")], schema=exchange._ANSWER)
+    return pa.concat_tables([exchange._answers(table, 4, np.concatenate(bits) if bits else np.zeros(0, bool), n), kept])
 
 
 def lookup(merged: list, own: list) -> np.ndarray:
@@ -320,7 +327,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         return pa.Table.from_batches([send(asks(table), _REGION, *Shard(table, buckets).regions(answers))]) if table.num_rows else exchange._SENT.empty_table()
 
     def strings(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([send(asks(table), _STRING, *Shard(table, buckets).strings(answers)[3])]) if table.num_rows else exchange._SENT.empty_table()
+        """Besides the strings to be asked, the shard's own repeats for the last pass; any bucket hands them back."""
+        if not table.num_rows:
+            return exchange._SENT.empty_table()
+        own = Shard(table, buckets)
+        asked = send(asks(table), _STRING, *own.strings(answers)[3])
+        note = pa.RecordBatch.from_arrays([pa.array([asks(table) % buckets], pa.int32()), pa.array([asks(table)], pa.int32()), pa.array([np.packbits(own.again).tobytes()], pa.binary()), pa.array([NOTE], pa.binary())], schema=exchange._SENT)
+        return pa.Table.from_batches([asked, note])
 
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         own = Shard(table, buckets)
