@@ -67,7 +67,7 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(7):  # seven bytes as 1 to 256 in base 512, 0 after the end
         own = np.zeros(n, np.uint64)
-        own[: n - k] = data[k:].astype(np.uint64) + np.uint64(1)
+        own[: max(0, n - k)] = data[k:].astype(np.uint64) + np.uint64(1)
         own[left <= k] = 0
         key = (key << np.uint64(9)) | own
     order = np.argsort(key)
@@ -115,7 +115,7 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
     live = heads[before[heads] >= 0]
     word = np.zeros(n + 8, np.uint64)
     for k in range(8):
-        word[: n - k] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
+        word[: max(0, n - k)] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
     limit = np.minimum(ends - place, np.where(before >= 0, ends[np.maximum(before, 0)] - before, 0))
     while live.size:
         i, j = live + length[live], before[live] + length[live]

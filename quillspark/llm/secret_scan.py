@@ -22,7 +22,7 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Tokens that may be a secret without a telling name before them.
-OPAQUE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+OPAQUE = re.compile(r"[A-Za-z0-9+/_.=-]{11,}[A-Za-z0-9+/_=]")
 KINDS = ("assign", "access", "hex", "opaque")
 _NAMES = re.compile(r"passw|secret|token|api_?key")
 #: Owners from which on a value counts as a widely copied example.
@@ -41,7 +41,7 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, value) of base spans and of opaque tokens that no base span covers, in order."""
     found = []
     if _NAMES.search(text.lower()) if text.isascii() else _NAMES.search(text.translate(_FOLD)):
-        found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+        found += [(m.start(), 0, m.end(), m[2].rstrip(".")) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
