@@ -117,13 +117,23 @@ def common_prefixes(data: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np
     for k in range(8):
         word[: max(0, n - k)] |= data[k:].astype(np.uint64) << np.uint64(8 * k)
     limit = np.minimum(ends - place, np.where(before >= 0, ends[np.maximum(before, 0)] - before, 0))
-    while live.size:
+    while live.size and length[live[0]] < 512:
         i, j = live + length[live], before[live] + length[live]
         x = word[i] ^ word[j]
         low = x & (~x + np.uint64(1))
         step = np.where(x == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) // 8)
         length[live] = np.minimum(length[live] + step, limit[live])
         live = live[(step == 8) & (length[live] < limit[live])]
+    raw = data.tobytes() if live.size else b""
+    for i in live.tolist():  # long ones: blocks of bytes by bisection
+        j, low, high = int(before[i]), int(length[i]), int(limit[i])
+        while low < high:
+            mid = (low + high + 1) // 2
+            if raw[i + low : i + mid] == raw[j + low : j + mid]:
+                low = mid
+            else:
+                high = mid - 1
+        length[i] = low
     head = np.maximum.accumulate(np.where(chained, 0, place))
     length = np.maximum(length[head] - (place - head), 0)
     out[:] = length[order]
@@ -135,6 +145,8 @@ class Shard:
     """What each pass derives from the same documents, in the same order."""
 
     def __init__(self, table: pa.Table, buckets: int):
+        # rows by doc_id: the order of bytes then is that of (document, start)
+        self.table = table = table.take(pa.array(np.argsort(common.ids_of(table.column("doc_id")), kind="stable")))
         self.ids, self.buckets = common.ids_of(table.column("doc_id")), buckets
         self.data, self.offsets = common.utf8(table.column("text"))
         parts, i = [], 0
@@ -209,7 +221,7 @@ class Shard:
         inside = np.repeat(np.arange(fresh.size), np.diff(np.r_[fresh, start.size]))
         group = group[start - begin[inside] + (np.cumsum(size) - size)[inside]]
         ids = self.ids[row]
-        at = np.lexsort((inner, ids, group))
+        at = np.argsort((group << 32) + np.arange(group.size))
         g = group[at]
         head = np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], np.arange(g.size), 0))
         out = np.zeros(start.size, bool)
@@ -223,8 +235,8 @@ class Shard:
 
 
 def distinct(bucket: np.ndarray, key: np.ndarray, name: np.ndarray, doc: np.ndarray, start: np.ndarray):
-    """Distinct (key, name) by bucket with the first (doc, start) of each, and the place of each input in them."""
-    at = np.lexsort((start, doc, name, key, bucket))
+    """Distinct (key, name) by bucket with the first (doc, start) of each, in which order they come, and the place of each input in them."""
+    at = np.lexsort((name, key, bucket))  # stable
     b, k, m = bucket[at], key[at], name[at]
     new = np.ones(at.size, bool)
     new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1]) | (m[1:] != m[:-1])
@@ -242,18 +254,19 @@ def send(chunk: int, kind: list, bucket, key, name, doc, start, _) -> pa.RecordB
 
 
 def received(table: pa.Table, kind: list):
-    n, parts = [], []
-    for raw, size in zip(table.column("names").to_pylist(), table.column("firsts").to_pylist(), strict=True):
-        size = "<u4" if size == b"4" else "<i8"
-        x = np.frombuffer(raw, [*kind, ("doc", size), ("start", size)])
-        n.append(x.size)
-        parts.append([x["key"], x["name"].astype(np.uint64), x["doc"].astype(np.int64), x["start"].astype(np.int64)])
-    return np.array(n), parts
+    """How many names each shard sent, and all of them: key, name, document, start."""
+    raw, sizes = table.column("names").to_pylist(), table.column("firsts").to_pylist()
+    types = {s: np.dtype([*kind, ("doc", t), ("start", t)]) for s, t in ((b"4", "<u4"), (b"8", "<i8"))}
+    n = np.array([len(x) // types[s].itemsize for x, s in zip(raw, sizes, strict=True)], np.int64)
+    if len(set(sizes)) == 1:
+        parts = [np.frombuffer(b"".join(raw), types[sizes[0]])]
+    else:
+        parts = [np.frombuffer(x, types[s]) for x, s in zip(raw, sizes, strict=True)]
+    return n, [np.concatenate([p[c] for p in parts]).astype(t) if parts else np.zeros(0, t) for c, t in (("key", np.uint64), ("name", np.uint64), ("doc", np.int64), ("start", np.int64))]
 
 
 def answer_regions(table: pa.Table) -> pa.Table:
-    n, parts = received(table, _REGION)
-    key, name, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+    n, (key, name, doc, start) = received(table, _REGION)
     at = np.lexsort((start, doc, name, key))
     k, m, d, s = key[at], name[at], doc[at], start[at]
     fresh = np.r_[True, k[1:] != k[:-1]]
@@ -267,43 +280,27 @@ def answer_regions(table: pa.Table) -> pa.Table:
 
 
 def answer_strings(table: pa.Table) -> pa.Table:
-    """Merges the shards' sorted lists by binary search: each is looked up in the list of all shards before it."""
+    """Which names of the shards' sorted lists have an earlier place in another list: the lists are merged, and each is found in the merged one by binary search."""
     noted = pc.equal(table.column("firsts"), NOTE)
     notes, table = table.filter(noted), table.filter(pc.invert(noted))
-    n, parts = received(table, _STRING)
-    merged = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64)]
-    while len(parts) > 1:  # pairs of lists, so that each name is moved a few times only
-        parts = [merge(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    merged = parts[0] if parts else merged
-    bits = []
-    for _, name, doc, start, at in ((*own, lookup(merged, own)) for own in received(table, _STRING)[1]):
-        bits.append((doc != merged[2][at]) | (start != merged[3][at]))
+    n, (key, name, doc, start) = received(table, _STRING)
+    order = np.lexsort((start, doc, name, key))
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (name[order][1:] != name[order][:-1])] if key.size else np.zeros(0, bool)
+    first = order[new]
+    at = lookup(key[first], name[first], key, name)
+    bits = (doc != doc[first][at]) | (start != start[first][at])
     kept = pa.table([pa.array([5] * notes.num_rows, pa.int32()), notes.column("bucket"), notes.column("chunk"), notes.column("names")], schema=exchange._ANSWER)
-    return pa.concat_tables([exchange._answers(table, 4, np.concatenate(bits) if bits else np.zeros(0, bool), n), kept])
+    return pa.concat_tables([exchange._answers(table, 4, bits, n), kept])
 
 
-def lookup(merged: list, own: list) -> np.ndarray:
-    """Place of each (key, name) in the merged list, where it is, or where it would be."""
-    at = np.searchsorted(merged[0], own[0])
-    if merged[0].size:
-        while True:  # keys that differ in the rest of the name only are next to each other
-            here = np.minimum(at, merged[0].size - 1)
-            on = (at < merged[0].size) & (merged[0][here] == own[0]) & (merged[1][here] < own[1])
-            if not on.any():
-                break
-            at = at + on
-    return at
-
-
-def merge(a: list, b: list) -> list:
-    """Both sorted lists as one; of equal names the earlier place stays."""
-    at = lookup(a, b)
-    here = np.minimum(at, max(a[0].size - 1, 0))
-    known = (at < a[0].size) & (a[0][here] == b[0]) & (a[1][here] == b[1]) if a[0].size else np.zeros(b[0].size, bool)
-    better = known & ((b[2] < a[2][here]) | ((b[2] == a[2][here]) & (b[3] < a[3][here]))) if a[0].size else known
-    a = [a[0], a[1], a[2].copy(), a[3].copy()]
-    a[2][here[better]], a[3][here[better]] = b[2][better], b[3][better]
-    return [np.insert(x, at[~known], y[~known]) for x, y in zip(a, b, strict=True)]
+def lookup(keys: np.ndarray, names: np.ndarray, key: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Place of each (key, name), which is there, in lists that are sorted by both."""
+    at = np.searchsorted(keys, key)
+    while True:  # keys that differ in the rest of the name only are next to each other
+        on = names[at] != name
+        if not on.any():
+            return at
+        at = at + on
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -344,7 +341,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         head[inner] = gone[inner]
         lost, spans = (np.diff(np.r_[0, np.cumsum(x)][own.offsets]) for x in (gone, head))
         kept = common.texts_of(own.data[~gone], np.r_[0, np.cumsum(~gone)][own.offsets])
-        return pa.table([table.column("doc_id"), pa.array(np.diff(own.offsets)), pa.array(lost), pa.array(spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        return pa.table([own.table.column("doc_id"), pa.array(np.diff(own.offsets)), pa.array(lost), pa.array(spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     sent = rows.groupBy("chunk").applyInArrow(announce, exchange.SENT)
     shared = sent.groupBy("bucket").applyInArrow(exchange.answer_shared(5, 1), exchange.ANSWER)
