@@ -6,15 +6,14 @@ are computed for a whole batch at once, without a Python object per word.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import saved  # noqa: F401  used by the operators
+
 #: Stands for a null doc_id: such rows order after every other document.
 NULL_ID = np.int64(2**63 - 1)
 _BLOCK = 1 << 17
@@ -180,22 +179,6 @@ def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (a single machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quillspark.shared", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.quillspark.shared", folder)
-    return folder
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor takes nothing with it."""
-    path = f"{shared_folder(df.sparkSession)}/quillspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text", "lang", "source", "n_chars")))
 

@@ -19,7 +19,7 @@ _ANSWER = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("names", pa.binary()), ("firsts", pa.binary())])
 
 
-def sizes(rows: int, most: int = 16_384) -> tuple[int, int]:
+def sizes(rows: int, most: int = 4_096) -> tuple[int, int]:
     """Chunks and buckets for so many documents: chunks of 64 to `most` documents, a bucket for every 1,024."""
     per = min(most, max(64, rows // 2_000))
     return max(1, math.ceil(rows / per)), max(128, rows // 1_024)
