@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import layout, office, render, structure, tables, tasks
 from ..session import saved
+from ..sources import config
 from . import inputs
 from .inputs import derived, table
 from .text_queries import d_escape, d_trim
@@ -333,6 +334,36 @@ def option_validation(spark, sf_dir):
 OPTIONS = """select c_custkey, case when c_custkey % 4 = 2 then 'pipeline' else 'vlm-http-client' end as backend, case when c_custkey % 7 < 1 then 'At least one file is required' when c_custkey % 3 = 2 then 'Invalid parse_method. Allowed values: auto, ocr, txt'
 when c_custkey % 4 = 2 then 'Unsupported backend: pipeline' when c_custkey % 40 < c_nationkey then 'end_page_id must be greater than or equal to start_page_id' end as error from customer"""
 
+def health_snapshot(spark, sf_dir):
+    """One row: tasks by status and the service's limits."""
+    limits = config.load({})
+    return tasks.health(_tasks(spark, sf_dir), {"max_concurrent_tasks": limits.max_concurrent_tasks, "page_window": limits.page_window, "model_queue": limits.queue_size})
+
+
+def readable_results(spark, sf_dir):
+    """Tasks with a reader's lease; the leases hold some tasks twice."""
+    every = _tasks(spark, sf_dir)
+    leases = every.where("active_readers > 1").select("task_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("reader"))
+    return tasks.readable(every, leases).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def upload_zip(spark, sf_dir):
+    """Names and suffixes of a task, which come as lists, as rows by place."""
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("idx", c))), lambda x: x[c]).alias(c)
+    lists = tasks.gate(derived(spark, sf_dir, UPLOADS)).groupBy("task_id").agg(in_order("stem"), in_order("suffix"))
+    return lists.select("task_id", F.posexplode(F.arrays_zip("stem", "suffix")).alias("place", "u")).select("task_id", "place", "u.stem", "u.suffix")
+
+
+def image_formats(spark, sf_dir):
+    """Format by magic bytes, held against content type and extension."""
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    magic = pick(("FFD8FF00", "89504E470D0A1A0A", "474946383961", "424D00", "524946460000000057454250", "3C7376673E", "00"))
+    name = F.concat(F.lit("image."), pick(("jpg", "png", "gif", "png", "webp", "svg", "png")))
+    raw = F.concat(F.unhex(magic), F.encode("text", "utf-8"))
+    kind = F.when(F.col("doc_id") % 3 == 0, F.lit("image/PNG; q=1"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.raster_format(name, kind, raw).alias("format"))
+
+
 # -- packages, slides, styles ---------------------------------------------------------------------------------------
 
 
@@ -423,7 +454,7 @@ QUERIES = {
         layout_parse, layout_types_filter, bbox_points, bbox_thousandths, crop_boxes, skip_extract, page_windows, post_process, type_histogram, caption_parents, caption_unmatched, list_contains_items, list_mode_type,
         merge_prev_paragraphs, visual_groups, top_level_counts, content_list_v1, content_list_v2, content_list_boxes, page_markdown, middle_json, model_json, sheet_trim, sheet_merge_spans, sheet_html, task_status_counts,
         queued_ahead, retention_expired, retention_sweep, status_payload, suffix_gate, stem_uniquify, stem_uniquify_exact, boolean_parse, option_validation, rel_lookup, part_paths, content_type_lookup, style_closure,
-        slide_order, decor_filter, adjacent_list_merge, adjacent_span_merge,
+        slide_order, decor_filter, adjacent_list_merge, adjacent_span_merge, health_snapshot, readable_results, upload_zip, image_formats,
     )
 }
 
@@ -465,5 +496,9 @@ SQL = {
     "adjacent_list_merge": LIST_MERGE,
     "adjacent_span_merge": SPAN_MERGE,
     "top_level_counts": TOP,
+    "health_snapshot": "select " + ", ".join(f"count(*) filter (where status = '{s}') as {s}" for s in tasks.STATUSES) + f", 3 as max_concurrent_tasks, 8 as page_window, 200 as model_queue from ({inputs.TASKS}) t",
+    "readable_results": f"select status, count(*) as n from ({inputs.TASKS}) t where active_readers > 1 group by 1",
+    "upload_zip": f"select u.task_id, cast(row_number() over (partition by u.task_id order by u.idx) - 1 as int) as place, g.stem, g.suffix from ({UPLOADS}) u join ({GATE}) g on g.idx = u.idx",
+    "image_formats": "select doc_id, case when f = 'svg' then 'svg' when f is null or (doc_id % 3 = 0 and f <> 'png') or doc_id % 7 = 3 then null else f end as format from (select doc_id, ['jpeg', 'png', 'gif', 'bmp', 'webp', 'svg', null][doc_id % 7 + 1] as f from documents) q",
 }
 SQL["type_histogram"] = f"""select type, count(*) as n, cast(sum(n_spans) as bigint) as n_spans from (select {_TYPE} as type, case when type not in ('image', 'table', 'chart', 'equation', 'image_block') and contains(content, chr(92) || '(') then 4 else 1 end as n_spans from ({inputs.BLOCKS}) b where type <> 'equation_block') q group by 1"""
