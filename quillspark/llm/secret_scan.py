@@ -72,7 +72,7 @@ def scan(docs: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, _FOUND)], ["doc_id", "source", "print", "found"])
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, source string, print long, found array<struct<kind:int,start:int,end:int,value:binary>>")
-    found = found.withColumn("row", F.monotonically_increasing_id())
+    found = common.saved(found.withColumn("row", F.monotonically_increasing_id()))  # small: spans and hashes, no text
     each = found.select("doc_id", "source", "print", "row", F.explode_outer("found").alias("f")).select("doc_id", "source", "print", "row", "f.*")
     owned = each.where("value is not null").select("value", F.coalesce("source", F.lit("")).alias("owner")).distinct()
     owners = owned.groupBy("value").agg(F.count("*").alias("owners"))
