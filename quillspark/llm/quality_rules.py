@@ -144,7 +144,7 @@ def judge(stats: DataFrame, cutoffs: dict[tuple[int, str], float]) -> DataFrame:
 
 
 def op5_quality_rules(spark, sf_dir):
-    stats = statistics(common.documents(spark, sf_dir, "doc_id", "text")).drop("text")
+    stats = common.saved(statistics(common.documents(spark, sf_dir, "doc_id", "text")).drop("text"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     cutoffs = calibrate(stats.join(labels, "doc_id"))
     return judge(stats, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
