@@ -174,6 +174,16 @@ def texts_of(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
+    """Parts of a batch with so many bytes of text at most, or one row: arrays over characters stay small beside long texts."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+    total, at = np.r_[0, np.cumsum(sizes)], 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keep Arrow batches small, so that a Python worker holds a few MB of text at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

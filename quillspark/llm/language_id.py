@@ -100,7 +100,7 @@ def train(labelled: DataFrame, length: int = LENGTH) -> dict[str, list[int]]:
     common.arrow_batches(labelled.sparkSession, 512)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "text")):
             lang = batch.column(1).to_pylist()
             for name in dict.fromkeys(lang):
                 pick = pa.array([x == name for x in lang])
@@ -109,7 +109,7 @@ def train(labelled: DataFrame, length: int = LENGTH) -> dict[str, list[int]]:
                 total = np.bincount(at, g.count, key.size).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * key.size, pa.string()), pa.array(g.keys(key)), pa.array(total)], ["lang", "gram", "n"])
 
-    rows = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
+    rows = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     try:
         found: dict[str, list[int]] = {}
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], length: int = LENGT
         ranks[i, np.searchsorted(known, np.array(profiles[name], np.int64))] = np.arange(len(profiles[name]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "text")):
             row, key, rank = Grams(batch.column("text")).top(length)
             at = np.searchsorted(known, key)
             at[(at == known.size) | (known[np.minimum(at, max(known.size - 1, 0))] != key) if known.size else slice(None)] = known.size
