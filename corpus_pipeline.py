@@ -18,8 +18,10 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that resemble one of the languages of the corpus; others go. Columns stay as they are."""
     profiles = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
-    judged = language_id.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), profiles)
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_RESEMBLANCE)).select("row.*")
+    rest = [c for c in docs.columns if c != "text"]
+    judged = language_id.predict(docs.select(F.struct(*rest).alias("row"), "text"), profiles)
+    kept = judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_RESEMBLANCE))
+    return kept.select(*["text" if c == "text" else f"row.`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
