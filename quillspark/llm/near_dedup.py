@@ -9,19 +9,19 @@ with probability 2 * (1 - 0.85**2) ** 8 = 7e-5.
 Documents with equal sets are one node. In a bucket, every node is first
 compared with the bucket's smallest one only. Nodes that are in one component
 then need no more comparison. A bucket that still holds several components is
-compared pair by pair across them if it has FEW nodes at most; a larger one is
-divided by a further half-key, up to LEVELS times. Linked documents share about
-33 buckets, which are divided by different half-keys, so that they meet in
-some part of them, while others are parted. Of what then is still large, every
-node is compared with STARS nodes that are drawn by hash. No step makes more
-than a few pairs a row, and no bucket is gathered in one task. All links are
-confirmed on the full sets.
+compared pair by pair across them if it has FEW nodes at most. The nodes of
+larger ones are joined exactly (see crowd_pairs): each set is replaced by its
+difference from the crowd's majority, so that only what is particular to a text
+is joined on, by its rarest shingles first, and again in what is still large.
+No step makes more than a few pairs a row, and no bucket is gathered in one
+task. All candidate links are confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,9 @@ from . import common
 
 SHINGLE, PERCENT = 5, 85
 PAIR, ROWS = 2, 8
-#: Nodes of a bucket that are compared pair by pair; times that a larger one is divided; comparisons of each node in what is left.
-FEW, LEVELS, STARS = 32, 3, 4
-HALVES = (2 + LEVELS) * ROWS
+#: Nodes of a bucket that are compared pair by pair.
+FEW = 32
+HALVES = 2 * ROWS
 #: Of the 2 * ROWS half-keys of two linked documents about 11.6 agree; fewer than this has probability 1e-5.
 AGREE = 4
 SALTS = 16
@@ -97,6 +97,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["node", "text"]).filter(pa.array(fits))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        value, bounds = shingle_sets(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(value.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "items"])
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         (a, an), (b, bn) = shingle_sets(batch.column(2)), shingle_sets(batch.column(3))
@@ -137,6 +143,67 @@ def open_buckets(rows: DataFrame) -> DataFrame:
     return common.saved(rows.join(several, "key"))
 
 
+def _few_pairs(rows: DataFrame) -> DataFrame:
+    few = rows.where(F.col("n") <= FEW).select("key", "node", "component")
+    left, right = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
+    return left.join(right, "key").where("a > b and ca != cb").select("a", "b")
+
+
+def _at_key(rows: DataFrame, small: DataFrame) -> DataFrame:
+    """rows with the one row of small that has their key, if any; a key's rows are spread over a few salts."""
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left").drop("salt")
+
+
+def crowd_pairs(large: DataFrame, texts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Links (a, b) and candidate pairs (a, b) among which are, up to components, all links within the buckets (key, node, component).
+
+    Buckets that share nodes are one crowd. Let V be the items that more than
+    half of a crowd's sets have, D = set xor V. Two sets differ by
+    |D| + |D'| - 2 |D and D'|, which may be (100 - p) / (100 + p) of the sum of
+    their sizes at most. With g = (100 + p) |D| - (100 - p) * size, they are
+    linked if and only if they share (g + g') / (2 (100 + p)) items of D. Where
+    that is none, both are linked to the node of the smallest g. Others share
+    one of the |D| - o + 1 rarest items of each, o being the least number that
+    a node must share with any. The nodes with one such item are a crowd again,
+    of half the nodes at most, as no item is in more than half of the Ds; so D
+    takes the place of the set, and this ends.
+    """
+    more, less = 100 + PERCENT, 100 - PERCENT
+    lows = large.groupBy("key").agg(F.min("node").alias("low"))
+    crowd = components(large.join(lows, "key").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")))
+    own = large.select("node", "component").distinct()
+    items = texts.join(own.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_shingles, "node long, items array<long>")
+    rows = own.join(crowd.select("node", F.col("component").alias("key")), "node").join(items, "node")
+    rows = common.saved(rows.select("key", "node", "component", F.size("items").cast("long").alias("size"), "items"))
+    links, pairs = [], []
+    while not rows.isEmpty():
+        total = rows.groupBy("key").agg(F.count("*").alias("n"))
+        counts = rows.select("key", F.explode("items").alias("item")).groupBy("key", "item").agg(F.count("*").alias("c")).join(total, "key")
+        counts = common.saved(counts.select("key", "item", F.least("c", F.col("n") - F.col("c")).alias("c"), (2 * F.col("c") > F.col("n")).alias("most")))
+        major = counts.where("most").groupBy("key").agg(F.collect_list("item").alias("v"))
+        none = F.array().cast("array<long>")
+        rows = _at_key(rows, major).withColumn("v", F.coalesce("v", none))
+        rows = rows.select("key", "node", "component", "size", F.concat(F.array_except("items", "v"), F.array_except("v", "items")).alias("items"))
+        rows = common.saved(rows.withColumn("g", more * F.size("items") - less * F.col("size")))
+        least = rows.groupBy("key").agg(F.min(F.struct("g", "node", "component")).alias("low"))
+        rows = _at_key(rows, least)
+        linked = common.saved(rows.where("g + low.g <= 0 and node != low.node and component != low.component").select(F.col("node").alias("a"), F.col("low.node").alias("b"), F.col("component").alias("ca"), F.col("low.component").alias("cb")))
+        links.append(linked.select("a", "b"))
+        joined = components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+        need = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("low.g")) / (2 * more)))
+        rows = rows.withColumn("take", F.size("items") - need + 1).where("take > 0").drop("low", "g").join(joined, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
+        rows = common.saved(rows)
+        ranked = rows.select("key", "node", "component", "take", F.explode("items").alias("item")).join(counts.select("key", "item", "c"), ["key", "item"])
+        first = ranked.groupBy("key", "node", "component", "take").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("i"))
+        first = first.select("key", "node", "component", F.explode(F.expr("slice(i, 1, cast(take as int))")).alias("i")).where("i.c > 1")
+        parts = open_buckets(first.select(F.col("key").alias("above"), F.xxhash64("key", "i.item").alias("key"), "node", "component"))
+        pairs.append(_few_pairs(parts))
+        again = parts.where(F.col("n") > FEW).select("above", "key", "node", "component")
+        rows = common.saved(again.join(rows.select(F.col("key").alias("above"), "node", "size", "items"), ["above", "node"]).select("key", "node", "component", "size", "items"))
+    return links, pairs
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row.
 
@@ -173,25 +240,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # buckets that hold several components: across these only
     labelled = members.join(groups, "node", "left").select("key", "table", "node", F.coalesce("component", "node").alias("component"))
-    rest, pairs = open_buckets(labelled), []
-    for level in range(LEVELS + 1):
-        few = rest.where(F.col("n") <= FEW).select("key", "node", "component")
-        left, right = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-        pairs.append(left.join(right, "key").where("a > b and ca != cb").select("a", "b"))
-        large = rest.where(F.col("n") > FEW)
-        if level < LEVELS:
-            # the half-key depends on the table, so that shared buckets are divided by different ones
-            at = F.lit((2 + level) * ROWS + 1) + F.pmod(F.col("table") + F.floor(F.col("table") / ROWS) * (level + 1), F.lit(ROWS)).cast("int")
-            further = large.join(nodes.select("node", "halves"), "node").select(F.xxhash64("key", F.element_at("halves", at)).alias("key"), "table", "node", "component")
-            rest = open_buckets(further)
-    drawn = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("h"), "node", "component")).alias(f"s{i}") for i in range(STARS)]
-    centers = large.groupBy("key").agg(*drawn).select("key", F.explode(F.array(*[F.struct(F.col(f"s{i}.node").alias("center"), F.col(f"s{i}.component").alias("other")) for i in range(STARS)])).alias("c"))
-    starred = large.join(centers, "key").where(F.col("component") != F.col("c.other"))
-    pairs.append(starred.select(F.greatest("node", "c.center").alias("a"), F.least("node", "c.center").alias("b")))
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.unionAll(p)
-    more = confirmed(every.distinct())
+    rest = open_buckets(labelled)
+    sure, pairs = crowd_pairs(common.saved(rest.where(F.col("n") > FEW).select("key", "node", "component")), texts)
+    more = confirmed(reduce(DataFrame.unionAll, pairs, _few_pairs(rest)).distinct())
+    more = common.saved(reduce(DataFrame.unionAll, sure, more))
     if not more.isEmpty():
         groups = components(links.unionAll(more))
 

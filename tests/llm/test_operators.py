@@ -293,6 +293,37 @@ def test_crowded_buckets(spark):
     assert got == near_groups(rows)
 
 
+def test_hub_of_many_copies(spark):
+    """A thousand copies, each edited in its own way, are linked only through the original, whose id is not the smallest."""
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(220)]
+    rows = []
+    for i in range(1001):
+        t = list(template)
+        for k in (20, 90, 160) if i != 500 else ():
+            t[k + rng.randrange(50)] = f"u{i}"
+        rows.append((i, " ".join(t)))
+    got = [r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert set(got) == {0}
+
+
+def test_crowds_of_several_templates(spark):
+    """Crowds that share much: links by edits in common, without any majority among the texts."""
+    rng = random.Random(10)
+    base = [f"t{i}" for i in range(200)]
+    heads = []
+    for h in range(4):
+        heads.append([w if 12 * h > j or j >= 12 * (h + 1) else f"h{h}x{j}" for j, w in enumerate(base)])
+    rows = []
+    for i in range(240):
+        t = list(heads[i % 4])
+        for _ in range(rng.choice((2, 3, 4, 5))):
+            t[rng.randrange(60, 200)] = f"u{i // 8}"
+        rows.append((i, " ".join(t)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_groups(rows)
+
+
 # -- 9 --------------------------------------------------------------------------------------------------------------
 
 
