@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +34,12 @@ SHINGLE, PERCENT = 5, 85
 PAIR, ROWS = 2, 8
 #: Nodes of a bucket that are compared pair by pair.
 FEW = 32
-HALVES = 2 * ROWS
-#: Of the 2 * ROWS half-keys of two linked documents about 11.6 agree; fewer than this has probability 1e-5.
+#: Rows that miss a pair at 0.8 as rarely: 2 * (1 - 0.8**2) ** 10 = 7e-5.
+ROWS_80 = 10
+#: Of the 2 * ROWS half-keys of two linked documents about 11.6 agree, at 0.8 12.8 of 20; fewer than this has probability 1e-5.
 AGREE = 4
 SALTS = 16
-_FACTORS = np.random.default_rng(85).integers(1, 2**63, HALVES * PAIR, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(85).integers(1, 2**63, 2 * ROWS_80 * PAIR, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,22 +69,22 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(offsets.size))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(batches: Iterator[pa.RecordBatch], halves_of: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         value, bounds = shingle_sets(batch.column(1))
         n = np.diff(bounds)
         raw, full = value.tobytes(), np.flatnonzero(n)
         digest = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        halves = np.zeros((n.size, HALVES), np.int64)
+        halves = np.zeros((n.size, halves_of), np.int64)
         mixed = common.mix(value)
-        for i in range(HALVES):
+        for i in range(halves_of):
             key = np.zeros(full.size, np.uint64)
             for f in _FACTORS[PAIR * i : PAIR * (i + 1)]:
                 if full.size:
                     key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mixed * f, bounds[:-1][full]))
             halves[full, i] = key.view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, HALVES * n.size + 1, HALVES, dtype=np.int32)), pa.array(halves.ravel()))],
+            [batch.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, halves_of * n.size + 1, halves_of, dtype=np.int32)), pa.array(halves.ravel()))],
             ["doc_id", "n_shingles", "digest", "halves"],
         )
 
@@ -103,19 +104,19 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(value.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "items"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         (a, an), (b, bn) = shingle_sets(batch.column(2)), shingle_sets(batch.column(3))
         fits = []
         for i in range(batch.num_rows):
             x, y = a[an[i] : an[i + 1]], b[bn[i] : bn[i + 1]]
             both = np.intersect1d(x, y, assume_unique=True).size
-            fits.append(100 * both >= PERCENT * (x.size + y.size - both))
+            fits.append(100 * both >= percent * (x.size + y.size - both))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
 
-def _tables() -> Column:
-    return F.expr(f"flatten(transform(sequence(0, {ROWS - 1}), i -> transform(sequence(0, {ROWS - 1}), j -> xxhash64(i, j, halves[i], halves[{ROWS} + j]))))")
+def _tables(rows: int) -> Column:
+    return F.expr(f"flatten(transform(sequence(0, {rows - 1}), i -> transform(sequence(0, {rows - 1}), j -> xxhash64(i, j, halves[i], halves[{rows} + j]))))")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def _at_key(rows: DataFrame, small: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left").drop("salt")
 
 
-def crowd_pairs(large: DataFrame, texts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+def crowd_pairs(large: DataFrame, texts: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links (a, b) and candidate pairs (a, b) among which are, up to components, all links within the buckets (key, node, component).
 
     Buckets that share nodes are one crowd. Let V be the items that more than
@@ -169,7 +170,7 @@ def crowd_pairs(large: DataFrame, texts: DataFrame) -> tuple[list[DataFrame], li
     of half the nodes at most, as no item is in more than half of the Ds; so D
     takes the place of the set, and this ends.
     """
-    more, less = 100 + PERCENT, 100 - PERCENT
+    more, less = 100 + percent, 100 - percent
     lows = large.groupBy("key").agg(F.min("node").alias("low"))
     crowd = components(large.join(lows, "key").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     own = large.select("node", "component").distinct()
@@ -204,12 +205,13 @@ def crowd_pairs(large: DataFrame, texts: DataFrame) -> tuple[list[DataFrame], li
     return links, pairs
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row.
 
     Words of lower-cased A-Z text; a document's set holds its distinct 5-word
     shingles, or the whole sequence if it has fewer words. Documents are linked
-    if 100 * |intersection| >= 85 * |union|. Null, empty or blank text: an empty
+    if 100 * |intersection| >= percent * |union|; rows: half-keys in each of both
+    collections, ROWS for 85 and ROWS_80 for 80. Null, empty or blank text: an empty
     set, linked with nothing. component_id: smallest doc_id reachable; kept:
     doc_id = component_id (all rows with that id, should it occur again).
     Null doc_id: never linked, component_id null, kept. Empty table: empty
@@ -217,10 +219,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     common.arrow_batches(docs.sparkSession, 512)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signs = common.saved(docs.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, halves array<long>"))
+    signs = common.saved(docs.mapInArrow(partial(_signatures, halves_of=2 * rows), "doc_id long, n_shingles long, digest binary, halves array<long>"))
     nodes = common.saved(signs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves")))
 
-    keys = nodes.select(F.posexplode(_tables()).alias("table", "key"), "node")
+    keys = nodes.select(F.posexplode(_tables(rows)).alias("table", "key"), "node")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     members = common.saved(keys.join(buckets, "key"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest")
@@ -229,11 +231,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are linked; those with few half-keys in common are left out first."""
-        at = lambda name: nodes.select(F.col("node").alias(name), F.slice("halves", 1, 2 * ROWS).alias(f"h{name}"))
+        at = lambda name: nodes.select(F.col("node").alias(name), F.col("halves").alias(f"h{name}"))
         agree = F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda x: x))
         pairs = pairs.join(at("a"), "a").join(at("b"), "b").where(agree >= AGREE).select("a", "b")
         text = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}"))
-        return common.saved(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long"))
+        return common.saved(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_linked, percent=percent), "a long, b long"))
 
     links = confirmed(members.where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct())
     groups = components(links)
@@ -241,7 +243,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # buckets that hold several components: across these only
     labelled = members.join(groups, "node", "left").select("key", "table", "node", F.coalesce("component", "node").alias("component"))
     rest = open_buckets(labelled)
-    sure, pairs = crowd_pairs(common.saved(rest.where(F.col("n") > FEW).select("key", "node", "component")), texts)
+    sure, pairs = crowd_pairs(common.saved(rest.where(F.col("n") > FEW).select("key", "node", "component")), texts, percent)
     more = confirmed(reduce(DataFrame.unionAll, pairs, _few_pairs(rest)).distinct())
     more = common.saved(reduce(DataFrame.unionAll, sure, more))
     if not more.isEmpty():

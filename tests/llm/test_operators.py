@@ -307,6 +307,15 @@ def test_hub_of_many_copies(spark):
     assert set(got) == {0}
 
 
+def test_other_limits(spark):
+    """A copy with a similarity of 0.82 is linked at 80 percent and not at 85."""
+    words = [f"t{i}" for i in range(104)]
+    other = [f"u{i}" if i in (20, 60) else w for i, w in enumerate(words)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert near_dedup.near_duplicates(df, 80, near_dedup.ROWS_80).where("kept").count() == 1
+    assert near_dedup.near_duplicates(df).where("kept").count() == 2
+
+
 def test_crowds_of_several_templates(spark):
     """Crowds that share much: links by edits in common, without any majority among the texts."""
     rng = random.Random(10)
