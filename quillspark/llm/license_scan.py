@@ -4,6 +4,8 @@ A text is normalised (letters A-Z lower-cased, everything but letters, digits
 and . + - to one space) and cut into sentences; each known sentence is mapped to
 its identifier, unknown ones are skipped. The sequence of identifiers is then
 matched against ordered rules, longest first; a match uses up its identifiers.
+Known sentences may be wrapped over the lines of a paragraph; FORMS has the full
+wording of standard texts and headers, which say the same as known sentences.
 """
 
 from __future__ import annotations
@@ -76,6 +78,44 @@ RULES = (
     ("Unlicense", "permissive", ("unlicense",)),
     ("Proprietary", "restricted", ("all-rights",)),
 )
+_AGPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+_AS_PUBLISHED = "under the terms of the gnu general public license version {} as published by the free software foundation"
+_LESSER = "this {} is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {} of the license or at your option any later version"
+_APACHE = "under the apache license version 2.0 the license {} may not use this file except in compliance with the license"
+_RIGHTS = "{} including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+_CREATIVE = "this work is licensed under {} creative commons {} 4.0 international license"
+#: Sentences that only standard texts have, by identifier, and their rules.
+MORE_SENTENCES = {"agpl-later": _AGPL}
+MORE_RULES = (("AGPL-3.0-or-later", "copyleft", ("agpl-later",)),)
+#: Full wordings (normalised; * stands for 1 to 12 words) and the identifiers that they are read as.
+FORMS = (
+    (_RIGHTS.format(SENTENCES["mit-grant"]), ("mit-grant",)),
+    (SENTENCES["mit-notice"].replace("notice and this permission notice", "notice and this permission notice including the next paragraph"), ("mit-notice",)),
+    (SENTENCES["as-is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ("as-is",)),
+    (SENTENCES["as-is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and non-infringement", ("as-is",)),
+    ("licensed " + _APACHE.format("you"), ("apache-ref", "apache-use")),
+    ("the asf licenses this file to you " + _APACHE.format("you"), ("apache-ref", "apache-use")),
+    (SENTENCES["apache-copy"] + " http www.apache.org licenses license-2.0", ("apache-copy",)),
+    (SENTENCES["apache-copy"] + " https www.apache.org licenses license-2.0", ("apache-copy",)),
+    (SENTENCES["apache-as-is"] + " without warranties or conditions of any kind either express or implied", ("apache-as-is",)),
+    ("apache license version 2.0 january 2004", ("apache-ref",)),
+    ("apache license version 2.0 january 2004 http www.apache.org licenses", ("apache-ref",)),
+    (SENTENCES["bsd-source"] + " this list of conditions and the following disclaimer", ("bsd-source",)),
+    (SENTENCES["bsd-binary"] + " this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("bsd-binary",)),
+    (SENTENCES["bsd-name"].replace("the copyright holder", "*"), ("bsd-name",)),
+    (SENTENCES["isc-grant"] + " provided that the above copyright notice and this permission notice appear in all copies", ("isc-grant",)),
+    (SENTENCES["isc-grant"].replace("and or", "and") + " provided that the above copyright notice and this permission notice appear in all copies", ("isc-grant",)),
+    (SENTENCES["gpl-free"] + " " + SENTENCES["gpl-3-later"], ("gpl-free", "gpl-3-later")),
+    (SENTENCES["gpl-free"] + " " + SENTENCES["gpl-2-later"], ("gpl-free", "gpl-2-later")),
+    (SENTENCES["gpl-free"] + " version 3 of the license", ("gpl3-ref",)),
+    (SENTENCES["gpl-free"] + " version 2 of the license", ("gpl2-ref",)),
+    ("this program is free software you can redistribute it and or modify it " + _AS_PUBLISHED.format(2), ("gpl2-ref",)),
+    ("this program is free software you can redistribute it and or modify it " + _AS_PUBLISHED.format(3), ("gpl3-ref",)),
+    *((_LESSER.format(what, version), ("lgpl-ref",)) for what in ("library", "program") for version in ("2.1", "3", "2")),
+    *((_CREATIVE.format(a, name), (i,)) for a in ("a", "the") for name, i in (("attribution", "cc-by-ref"), ("attribution-sharealike", "cc-by-sa-ref"), ("attribution-noncommercial", "cc-by-nc-ref"), ("attribution-noderivatives", "cc-by-nd-ref"))),
+)
+#: A wording of more words is sure wherever it stands, also in a text without line breaks.
+LONG = 40
 #: Each known sentence has one of these, so a text without any needs no further look.
 CUES = "licen|permission|warrant|copyright|redistribut|public domain|version"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,14 +126,25 @@ def _rule(ids: tuple[str, ...]) -> str:
     return "".join(f"<{x}>" for x in ids)
 
 
+def _wrapped(wording: str) -> str:
+    """A pattern of a wording that fills whole lines of normalised text, of one paragraph; a very long one may stand anywhere in them."""
+    gap = "(?: ?\\n ?| )"
+    some = f"[^ \\n]+(?:{gap}[^ \\n]+){{0,11}}?"
+    whole = gap.join(some if w == "*" else w.replace(".", f"\\.?{gap}?" if w == "v." else "\\.").replace("+", "\\+") for w in wording.split(" "))
+    return f"(?m)(?:^| ){whole}(?: |$)" if wording.count(" ") > LONG else f"(?m)^ ?{whole} ?$"
+
+
 def _sequence(text: Column) -> Column:
     """Identifiers of the known sentences in their order, each in angle brackets; used-up rules as [licence]."""
     lower = F.translate(text, _UPPER, _LOWER)
     plain = F.regexp_replace(F.regexp_replace(lower, r"[.!?]+([ \t\r\f\n]|$)", "\n"), r"[^a-z0-9.+\n-]+", " ")
-    by = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, f"<{i}>")])
-    known = F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s.isin(*SENTENCES.values()))
+    sentences = SENTENCES | MORE_SENTENCES
+    for wording, ids in (*FORMS, *((s, (i,)) for i, s in sentences.items())):
+        plain = F.regexp_replace(plain, F.lit(_wrapped(wording)), F.lit("\n".join(["", *(sentences[i] for i in ids), ""])))
+    by = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, f"<{i}>")])
+    known = F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s.isin(*sentences.values()))
     sequence = F.array_join(F.transform(known, lambda s: F.try_element_at(by, s)), "")
-    for name, _, ids in RULES:
+    for name, _, ids in (*RULES, *MORE_RULES):
         sequence = F.replace(sequence, F.lit(_rule(ids)), F.lit(f"[{name}]"))
     return F.when(lower.rlike(CUES), sequence).otherwise(F.lit(""))
 
@@ -109,7 +160,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     names = F.array_sort(F.array_distinct("__found"))
     kind = F.lit("none")
     for c in reversed(_STRICT):
-        own = sorted({n for n, k, _ in RULES if k == c})
+        own = sorted({n for n, k, _ in (*RULES, *MORE_RULES) if k == c})
         kind = F.when(F.arrays_overlap("__found", F.array(*[F.lit(x) for x in own])), F.lit(c)).otherwise(kind)
     out = docs.drop("licenses", "n_matches", "license_class").withColumn("__sequence", F.coalesce(_sequence(F.col("text")), F.lit(""))).withColumn("__found", found)
     return out.withColumn("licenses", F.array_join(names, ",")).withColumn("n_matches", F.size("__found").cast("long")).withColumn("license_class", kind).drop("__sequence", "__found")

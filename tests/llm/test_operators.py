@@ -102,6 +102,69 @@ def test_licenses(spark, data_dir, empty):
     assert all(re.search(license_scan.CUES, x) for x in s.values())
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Some Company, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */"""
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_standard_license_texts(spark):
+    texts = {"MIT": MIT, "Apache-2.0": APACHE, "BSD-3-Clause": BSD, "GPL-3.0-or-later": GPL, "AGPL-3.0-or-later": GPL.replace("GNU General", "GNU Affero General"), "LGPL": GPL.replace("program", "library").replace("GNU General", "GNU Lesser General"), "MPL-2.0": MPL}
+    flat = [(name, " ".join(t.replace("#", "").split())) for name, t in texts.items() if name == "MIT"]
+    rows = [(i, name, t) for i, (name, t) in enumerate([*texts.items(), *flat])]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()
+    assert [(r.name, r.licenses, r.n_matches) for r in got] == [(r.name, r.name, 1) for r in got]
+    apart = "Released under\n\nthe MIT License."
+    assert license_scan.license_scan(spark.createDataFrame([(1, apart)], "doc_id long, text string")).first().licenses == ""
+
+
 # -- 4 --------------------------------------------------------------------------------------------------------------
 
 
