@@ -117,13 +117,13 @@ def ooxml_relationships(spark, sf_dir):
     return ooxml.relationships(packages(spark, sf_dir)).select("file", "base_part", "rel_id", "target", "target_part")
 
 
-def _results(spark, sf_dir):
+def _results(spark, sf_dir, markdown):
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.floor(F.col("doc_id") / 4).alias("task_id"), F.concat(F.lit("d"), "doc_id").alias("stem"), F.lit("vlm").alias("subdir"), F.left("text", F.lit(200)).alias("markdown"), F.to_json(F.struct("lang")).alias("middle_json"))
+    return docs.select(F.floor(F.col("doc_id") / 4).alias("task_id"), F.concat(F.lit("d"), "doc_id").alias("stem"), F.lit("vlm").alias("subdir"), markdown.alias("markdown"), F.to_json(F.struct("lang")).alias("middle_json"))
 
 
 def zip_manifest(spark, sf_dir):
-    return sinks.zip_manifest(sinks.artifacts(_results(spark, sf_dir))).select("task_id", "rel_path", "size", "offset")
+    return sinks.zip_manifest(sinks.artifacts(_results(spark, sf_dir, F.left("text", F.lit(200))))).select("task_id", "rel_path", "size", "offset")
 
 
 ZIP_SQL = """with r as (select doc_id // 4 as task_id, 'd' || doc_id as stem, left(text, 200) as md, '{"lang":"' || lang || '"}' as mj from documents),
@@ -132,7 +132,7 @@ select task_id, rel_path, size, cast(coalesce(sum(46 + strlen(rel_path) + size)
 
 
 def result_json(spark, sf_dir):
-    return sinks.result_json(_results(spark, sf_dir), "vlm", "1.0.0", {"markdown": True, "middle_json": True})
+    return sinks.result_json(_results(spark, sf_dir, F.col("text")), "vlm", "1.0.0", {"markdown": True, "middle_json": True})
 
 
 def original_names(spark, sf_dir):

@@ -223,3 +223,9 @@ def test_uploads_and_stream(spark, tmp_path):
     assert [(r.page_idx, r.window_id) for r in rows] == [(1, 0), (2, 0), (3, 1), (4, 1)]
     shown = files.rendered(spark.createDataFrame([("p", 0, b"x")], "path string, page_idx long, content binary"), lambda c, i: (c + b"!", 10, 20)).first()
     assert (bytes(shown.png), shown.page_w, shown.page_md5) == (b"x!", 10, hashlib.md5(b"x!").hexdigest().upper())
+
+
+def test_result_json_has_whole_texts(spark, data_dir):
+    out = io_queries.result_json(spark, data_dir)
+    texts = spark.read.parquet(f"{data_dir}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    assert sum(len(str(v)) for r in out.collect() for v in r) >= texts
