@@ -6,6 +6,9 @@ are computed for a whole batch at once, without a Python object per word.
 
 from __future__ import annotations
 
+import hashlib
+import struct
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,11 +19,12 @@ from ..session import saved  # noqa: F401  used by the operators
 
 #: Stands for a null doc_id: such rows order after every other document.
 NULL_ID = np.int64(2**63 - 1)
-_BLOCK = 1 << 17
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: The lowest 0 to 8 bytes of eight.
+_LOW = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def u64(x: int) -> np.uint64:
@@ -37,45 +41,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class ByteHasher:
-    """Hashes of many spans of one byte array from prefix sums of a polynomial mod 2**64."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(0, 2**63)) * 2 + 1
-        self.byte = rng.integers(1, 2**64, 256, dtype=np.uint64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if n > self.up.size:
-            n = max(n, 2 * _BLOCK)
-            for name, b in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
-                p = np.full(n, u64(b))
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype=np.uint64))
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        self._powers(data.size + 1)
-        total = np.zeros(data.size + 1, np.uint64)
-        np.cumsum(self.byte[data] * self.up[: data.size], out=total[1:])
-        return total
-
-    def spans(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """starts and stops ascending; spans may overlap."""
-        out, i = np.empty(starts.size, np.uint64), 0
-        while i < starts.size:
-            j = max(i + 1, int(np.searchsorted(stops, starts[i] + _BLOCK)))
-            at = starts[i]
-            total = self.prefix(data[at : stops[j - 1]])
-            a, b = starts[i:j] - at, stops[i:j] - at
-            out[i:j] = (total[b] - total[a]) * self.down[a] + b.astype(np.uint64) - a.astype(np.uint64)
-            i = j
-        return mix(out)
-
-
-HASH_A, HASH_B = ByteHasher(11), ByteHasher(23)
-
-
 def utf8(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All texts as one byte array and the n + 1 offsets of the rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -109,14 +74,48 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(solid & right) + 1, np.searchsorted(starts, offsets)
 
 
+def word_names(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a name of each word; both together differ for different words.
+
+    Up to 15 bytes are the name themselves, with their number, under bijections;
+    longer words have the BLAKE2b hash of 128 bits.
+    """
+    size = stops - starts
+    wide = np.zeros(data.size + 16, np.uint8)
+    wide[: data.size] = data
+    eight = np.ndarray(data.size + 9, "<u8", wide.data, strides=(1,))
+    low = eight[starts] & _LOW[np.minimum(size, 8)]
+    high = (eight[starts + 8] & _LOW[np.clip(size - 8, 0, 7)]) | (size.astype(np.uint64) << np.uint64(56))
+    a, b = mix(low ^ mix(high + u64(0x9E3779B97F4A7C15))), mix(high ^ u64(0xD1B54A32D192ED03))
+    long = np.flatnonzero(size > 15)
+    if long.size:
+        raw, known = data.tobytes(), {}
+        for i, x, y in zip(long.tolist(), starts[long].tolist(), stops[long].tolist(), strict=True):
+            word = raw[x:y]
+            if (name := known.get(word)) is None:
+                name = known[word] = struct.unpack("<QQ", hashlib.blake2b(word, digest_size=16).digest())
+            a[i], b[i] = name
+    return a, b
+
+
+def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each span among the distinct ones, and these: spans lie end to end. Compared byte by byte."""
+    spans = pa.Array.from_buffers(pa.large_binary(), offsets.size - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
 def windows(names: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """A name for every `width` consecutive names; the caller drops those that cross rows."""
+    """A name for every `width` consecutive names; the caller drops those that cross rows.
+
+    Each place in the window has an odd factor of its own, so that no pattern of two names in turn can cancel out.
+    """
     if names.size < width:
         return np.zeros(0, np.uint64)
-    base, out = u64(0x9E3779B97F4A7C15 * (2 * seed + 1)), np.full(names.size - width + 1, u64(seed))
+    factors = np.random.default_rng((977, seed, width)).integers(1, 2**63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.full(names.size - width + 1, u64(seed))
     for k in range(width):
-        out *= base
-        out += names[k : k + out.size]
+        out += names[k : k + out.size] * factors[k]
     return mix(out)
 
 
@@ -148,13 +147,8 @@ class Units:
     def ids(self, data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of the rows in them. Units reach from each start to the next or the end;
         encode: gets a list of new units (bytes), returns their ids as little-endian unsigned 32-bit integers."""
-        stops = np.r_[starts[1:], data.size] if starts.size else starts
-        _, first, at = np.unique(HASH_A.spans(data, starts, stops), return_index=True, return_inverse=True)
-        other = HASH_B.spans(data, starts, stops)
-        if (other != other[first][at]).any():  # two units with one hash
-            _, first, at = np.unique(np.array([data[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], object), return_index=True, return_inverse=True)
-        raw, known = data.tobytes(), self.known
-        units = [raw[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        at, units = coded(data, np.r_[starts, data.size]) if starts.size else (np.zeros(0, np.int64), [])
+        known = self.known
         found = [known.get(x) for x in units]
         new = [i for i, x in enumerate(found) if x is None]
         if len(known) + len(new) > self.memo:
@@ -184,9 +178,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
         at = to
 
 
-def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small, so that a Python worker holds a few MB of text at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def arrow_batches(spark: SparkSession) -> None:
+    """Rows that Python workers get at once: one number for all operators, as plans run after they are built; long texts are divided by slices()."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1024)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that is not in use, in whatever case."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

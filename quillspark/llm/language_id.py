@@ -97,7 +97,7 @@ def train(labelled: DataFrame, length: int = LENGTH) -> dict[str, list[int]]:
     Counts cover every row. Languages without a letter have no profile; the
     result is languages x length keys, however large the input is.
     """
-    common.arrow_batches(labelled.sparkSession, 512)
+    common.arrow_batches(labelled.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in common.slices(whole, "text")):
@@ -134,7 +134,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], length: int = LENGT
     by its whole text; columns lang_pred and score of the input are replaced.
     """
     docs = docs.drop("lang_pred", "score")
-    common.arrow_batches(docs.sparkSession, 512)
+    common.arrow_batches(docs.sparkSession)
     names = sorted(profiles)
     known = np.array(sorted({k for x in profiles.values() for k in x}), np.int64)
     ranks = np.full((len(names), known.size + 1), -1)

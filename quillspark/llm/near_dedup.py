@@ -8,13 +8,11 @@ with probability 2 * (1 - 0.85**2) ** 8 = 7e-5.
 
 Documents with equal sets are one node. In a bucket, every node is first
 compared with the bucket's smallest one only. Nodes that are in one component
-then need no more comparison. A bucket that still holds several components is
-compared pair by pair across them if it has FEW nodes at most. The nodes of
-larger ones are joined exactly (see crowd_pairs): each set is replaced by its
-difference from the crowd's majority, so that only what is particular to a text
-is joined on, by its rarest shingles first, and again in what is still large.
-No step makes more than a few pairs a row, and no bucket is gathered in one
-task. All candidate links are confirmed on the full sets.
+then need no more comparison. What buckets still hold several components is
+compared in crowds (see crowd_links): up to CROWD nodes within a task, which
+returns no more links than join its components; larger crowds are divided by an
+exact join. No step makes all pairs of a group, and no task gathers more than a
+bounded crowd. All links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -25,6 +23,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +31,10 @@ from . import common
 
 SHINGLE, PERCENT = 5, 85
 PAIR, ROWS = 2, 8
-#: Nodes of a bucket that are compared pair by pair.
-FEW = 32
+#: Nodes that are compared within one task; larger crowds are divided.
+CROWD = 512
+#: Pairs that are confirmed together.
+PART = 1024
 #: Rows that miss a pair at 0.8 as rarely: 2 * (1 - 0.8**2) ** 10 = 7e-5.
 ROWS_80 = 10
 #: Of the 2 * ROWS half-keys of two linked documents about 11.6 agree, at 0.8 12.8 of 20; fewer than this has probability 1e-5.
@@ -42,96 +43,131 @@ SALTS = 16
 _FACTORS = np.random.default_rng(85).integers(1, 2**63, 2 * ROWS_80 * PAIR, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle names of each row, ascending, and the n + 1 bounds of the rows in them."""
+def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of each row as two halves of 128-bit names, the first ascending, and the n + 1 bounds of the rows in them."""
     data, offsets = common.utf8(column, lower=True)
     starts, stops, bounds = common.words(data, offsets)
-    names = common.HASH_A.spans(data, starts, stops)
+    names = common.word_names(data, starts, stops)
     row = common.row_of(bounds)
     n = np.diff(bounds)
-    owner, value = [], []
-    if names.size >= SHINGLE:
+    owner, value = [], [[], []]
+    if row.size >= SHINGLE:
         at = np.flatnonzero(row[SHINGLE - 1 :] == row[: -SHINGLE + 1])
         owner.append(row[at])
-        value.append(common.windows(names, SHINGLE, 2)[at])
+        for half in (0, 1):
+            value[half].append(common.windows(names[half], SHINGLE, 2 + half)[at])
     for k in range(1, SHINGLE):  # fewer words: the whole sequence
         few = np.flatnonzero(n == k)
         if few.size:
             owner.append(few)
-            value.append(common.windows(names, k, 2 + k)[bounds[few]])
+            for half in (0, 1):
+                value[half].append(common.windows(names[half], k, 2 + half)[bounds[few]])
     if not owner:
-        return np.zeros(0, np.uint64), np.zeros(offsets.size, np.int64)
-    owner, value = np.concatenate(owner), np.concatenate(value)
-    order = np.lexsort((value, owner))
-    owner, value = owner[order], value[order]
-    new = np.r_[True, (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])]
-    owner, value = owner[new], value[new]
-    return value, np.searchsorted(owner, np.arange(offsets.size))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(offsets.size, np.int64)
+    owner, (x, y) = np.concatenate(owner), (np.concatenate(v) for v in value)
+    order = np.argsort(x, kind="stable")
+    order = order[np.argsort(owner[order].astype(np.min_scalar_type(offsets.size)), kind="stable")]
+    if ((x[order][1:] == x[order][:-1]) & (y[order][1:] != y[order][:-1])).any():  # equal in one half only
+        order = np.lexsort((y, x, owner))
+    owner, x, y = owner[order], x[order], y[order]
+    new = np.r_[True, (owner[1:] != owner[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+    owner, x, y = owner[new], x[new], y[new]
+    return x, y, np.searchsorted(owner, np.arange(offsets.size))
+
+
+def _set_digests(x: np.ndarray, y: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A 128-bit name of each set; None for the empty one."""
+    raw = np.stack([x, y], 1).tobytes()
+    return [hashlib.blake2b(raw[16 * a : 16 * b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], halves_of: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        value, bounds = shingle_sets(batch.column(1))
-        n = np.diff(bounds)
-        raw, full = value.tobytes(), np.flatnonzero(n)
-        digest = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        halves = np.zeros((n.size, halves_of), np.int64)
-        mixed = common.mix(value)
-        for i in range(halves_of):
-            key = np.zeros(full.size, np.uint64)
-            for f in _FACTORS[PAIR * i : PAIR * (i + 1)]:
-                if full.size:
-                    key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mixed * f, bounds[:-1][full]))
-            halves[full, i] = key.view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, halves_of * n.size + 1, halves_of, dtype=np.int32)), pa.array(halves.ravel()))],
-            ["doc_id", "n_shingles", "digest", "halves"],
-        )
+    for whole in batches:
+        for batch in common.slices(whole, "text"):
+            value, more, bounds = shingle_sets(batch.column(1))
+            n = np.diff(bounds)
+            full = np.flatnonzero(n)
+            halves = np.zeros((n.size, halves_of), np.int64)
+            mixed = common.mix(value)
+            for i in range(halves_of):
+                key = np.zeros(full.size, np.uint64)
+                for f in _FACTORS[PAIR * i : PAIR * (i + 1)]:
+                    if full.size:
+                        key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mixed * f, bounds[:-1][full]))
+                halves[full, i] = key.view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n), pa.array(_set_digests(value, more, bounds), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, halves_of * n.size + 1, halves_of, dtype=np.int32)), pa.array(halves.ravel()))],
+                ["doc_id", "n_shingles", "digest", "halves"],
+            )
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose text has the digest that its node has: repeated ids may have other texts."""
-    for batch in batches:
-        value, bounds = shingle_sets(batch.column(1))
-        raw = value.tobytes()
-        fits = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() == d for a, b, d in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["node", "text"]).filter(pa.array(fits))
+    for whole in batches:
+        for batch in common.slices(whole, "text"):
+            fits = [own == d for own, d in zip(_set_digests(*shingle_sets(batch.column(1))), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["node", "text"]).filter(pa.array(fits, pa.bool_()))
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        value, bounds = shingle_sets(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(value.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "items"])
-
-
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        (a, an), (b, bn) = shingle_sets(batch.column(2)), shingle_sets(batch.column(3))
-        fits = []
-        for i in range(batch.num_rows):
-            x, y = a[an[i] : an[i + 1]], b[bn[i] : bn[i + 1]]
-            both = np.intersect1d(x, y, assume_unique=True).size
-            fits.append(100 * both >= percent * (x.size + y.size - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
+    for whole in batches:
+        for batch in common.slices(whole, "text"):
+            value, _, bounds = shingle_sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(value.view(np.int64))).cast(pa.list_(pa.int64()))], ["node", "items"])
+
+
+def _in_common(x: np.ndarray, x2: np.ndarray, y: np.ndarray, y2: np.ndarray) -> int:
+    """Size of the intersection of two sets, by both halves of the names."""
+    if (x[1:] == x[:-1]).any() or (y[1:] == y[:-1]).any():
+        return len({*zip(x.tolist(), x2.tolist(), strict=True)} & {*zip(y.tolist(), y2.tolist(), strict=True)})
+    at = np.minimum(np.searchsorted(y, x), y.size - 1)
+    return int(((y[at] == x) & (y2[at] == x2)).sum()) if y.size else 0
+
+
+def compare(pairs: pa.Table, others: pa.Table, percent: int) -> pa.Table:
+    """Which pairs (a, b, own: text of a) are linked; others: b and its text, once."""
+    x, x2, xn = shingle_sets(pairs.column("own"))
+    y, y2, yn = shingle_sets(others.column("other"))
+    place = {b: i for i, b in enumerate(others.column("b").to_pylist())}
+    fits = []
+    for i, b in enumerate(pairs.column("b").to_pylist()):
+        j = place[b]
+        left, right = slice(xn[i], xn[i + 1]), slice(yn[j], yn[j + 1])
+        both = _in_common(x[left], x2[left], y[right], y2[right])
+        fits.append(100 * both >= percent * (xn[i + 1] - xn[i] + yn[j + 1] - yn[j] - both))
+    return pairs.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
 
 def _tables(rows: int) -> Column:
     return F.expr(f"flatten(transform(sequence(0, {rows - 1}), i -> transform(sequence(0, {rows - 1}), j -> xxhash64(i, j, halves[i], halves[{rows} + j]))))")
 
 
+def _roots(parent: DataFrame) -> DataFrame:
+    """parent (u, p) with p replaced by the last of its own parents; chains are halved each time."""
+    while True:
+        up = parent.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        found = common.saved(parent.join(up, "p").select("u", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")))
+        parent = found.select("u", "p")
+        if found.where("moved").isEmpty():
+            return parent
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (the smallest node it reaches), for all nodes of the edges (a, b).
 
-    Every node is contracted into its smallest neighbour until no edge is left;
-    the aggregations are partial ones, so a hub costs no task more than others.
+    Every node is contracted into its smallest neighbour, and that one's, up to
+    the last, until no edge is left: every two rounds at least half of the nodes
+    that have edges go. The aggregations are partial ones, so a hub costs no task
+    more than others.
     """
     now, labels = common.saved(edges.select("a", "b").distinct()), None
     while not now.isEmpty():
         sides = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select("b", "a"))
         parent = common.saved(sides.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")))
-        if labels is None:
+        if labels is None:  # most groups are stars: nothing to follow
             labels = parent.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
+            parent = _roots(parent)
             labels = common.saved(labels.join(parent, F.col("component") == F.col("u"), "left").select("node", F.coalesce("p", "component").alias("component")))
         a, b = parent.select(F.col("u").alias("a"), F.col("p").alias("x")), parent.select(F.col("u").alias("b"), F.col("p").alias("y"))
         now = common.saved(now.join(a, "a").join(b, "b").where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
@@ -140,69 +176,122 @@ def components(edges: DataFrame) -> DataFrame:
 
 def open_buckets(rows: DataFrame) -> DataFrame:
     """Rows (key, table, node, component) of the buckets with several components, with their number n."""
-    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    several = common.saved(rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n"))
     return common.saved(rows.join(several, "key"))
 
 
-def _few_pairs(rows: DataFrame) -> DataFrame:
-    few = rows.where(F.col("n") <= FEW).select("key", "node", "component")
-    left, right = few.select("key", F.col("node").alias("a"), F.col("component").alias("ca")), few.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "key").where("a > b and ca != cb").select("a", "b")
-
-
 def _at_key(rows: DataFrame, small: DataFrame) -> DataFrame:
     """rows with the one row of small that has their key, if any; a key's rows are spread over a few salts."""
     salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left").drop("salt")
 
 
-def crowd_pairs(large: DataFrame, texts: DataFrame, percent: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Links (a, b) and candidate pairs (a, b) among which are, up to components, all links within the buckets (key, node, component).
+def joining_links(node: np.ndarray, component: np.ndarray, size: np.ndarray, items: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) that join the components of a crowd as far as any of its links do: all its sets are compared.
 
-    Buckets that share nodes are one crowd. Let V be the items that more than
-    half of a crowd's sets have, D = set xor V. Two sets differ by
-    |D| + |D'| - 2 |D and D'|, which may be (100 - p) / (100 + p) of the sum of
-    their sizes at most. With g = (100 + p) |D| - (100 - p) * size, they are
-    linked if and only if they share (g + g') / (2 (100 + p)) items of D. Where
-    that is none, both are linked to the node of the smallest g. Others share
-    one of the |D| - o + 1 rarest items of each, o being the least number that
-    a node must share with any. The nodes with one such item are a crowd again,
-    of half the nodes at most, as no item is in more than half of the Ds; so D
+    items and bounds: of each set what it has besides a set that all share, and what it lacks of that; size: of the whole set.
+    """
+    n = node.size
+    _, code, count = np.unique(items, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count > 1)
+    place = np.full(count.size, -1)
+    place[often] = np.arange(often.size)
+    row, code = common.row_of(bounds), place[code]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, often.size, 4096):
+        own = (code >= low) & (code < low + 4096)
+        part = np.zeros((n, min(4096, often.size - low)), np.float32)
+        part[row[own], code[own] - low] = 1
+        both += part @ part.T
+    own = np.diff(bounds)
+    differ = own[:, None] + own - 2 * both.astype(np.int64)
+    total = size[:, None] + size
+    # |x and y| = (total - differ) / 2, |x or y| = (total + differ) / 2
+    x, y = np.nonzero((100 * (total - differ) >= percent * (total + differ)) & (component[:, None] > component))
+    _, first = np.unique(np.stack([component[x], component[y]]), axis=1, return_index=True)
+    up, links = {}, []
+
+    def top(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    for i, j in zip(x[first].tolist(), y[first].tolist(), strict=True):
+        c, d = top(int(component[i])), top(int(component[j]))
+        if c != d:
+            up[max(c, d)] = min(c, d)
+            links.append((int(node[i]), int(node[j])))
+    return links
+
+
+def compare_crowds(table: pa.Table, percent: int) -> pa.Table:
+    """Links of the crowds (key, node, component, size, items) of a part."""
+    table = table.sort_by([("key", "ascending")])
+    key, node, component, size = (table.column(c).to_numpy() for c in ("key", "node", "component", "size"))
+    items = table.column("items").combine_chunks()
+    value, bounds = items.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(items).to_numpy())]
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    links = []
+    for a, b in zip(cuts, np.r_[cuts[1:], key.size], strict=True):
+        links += joining_links(node[a:b], component[a:b], size[a:b], value[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], percent)
+    return pa.table([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+
+def crowds_of(rows: DataFrame) -> DataFrame:
+    """Distinct (key, node, component) of crowds, given the same of open buckets: buckets that share nodes are put
+    together as far as two steps from smallest node to smallest node lead. Nodes of one bucket have a crowd in common."""
+    lows = common.saved(rows.groupBy("key").agg(F.min("node").alias("low")))
+    up = rows.join(lows, "key").groupBy("node").agg(F.min("low").alias("up"))
+    to = common.saved(lows.join(up, F.col("low") == up["node"]).select("key", "up"))
+    return rows.join(to, "key").select(F.col("up").alias("key"), "node", "component").distinct()
+
+
+def crowd_links(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components as far as all links within the buckets (key, node, component) do.
+
+    Crowds of up to CROWD nodes are compared in a task. For larger ones let V be
+    the items that more than half of a crowd's sets have, D = set xor V. Two
+    sets x, x' differ by |D| + |D'| - 2 |D and D'|, which may be (100 - p) / p of
+    |x| at most, since |x'| may be 100 / p of |x|. So linked ones share at least
+    |D| - (100 - p) / p |x| items of D. With g = (100 + p) |D| - (100 - p) |x|,
+    they are linked if and only if they share (g + g') / (2 (100 + p)) items.
+    Where that is none, both are linked to the node of the smallest g. Others
+    share one of the |D| - o + 1 rarest items of each, o being the least number
+    that a node must share. The nodes with one such item are a crowd again, of
+    half the nodes at most, as no item is in more than half of the Ds; so D
     takes the place of the set, and this ends.
     """
     more, less = 100 + percent, 100 - percent
-    lows = large.groupBy("key").agg(F.min("node").alias("low"))
-    crowd = components(large.join(lows, "key").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")))
-    own = large.select("node", "component").distinct()
-    items = texts.join(own.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_shingles, "node long, items array<long>")
-    rows = own.join(crowd.select("node", F.col("component").alias("key")), "node").join(items, "node")
-    rows = common.saved(rows.select("key", "node", "component", F.size("items").cast("long").alias("size"), "items"))
-    links, pairs = [], []
+    own = crowds_of(buckets)
+    items = texts.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_shingles, "node long, items array<long>")
+    rows = common.saved(own.join(items, "node").select("key", "node", "component", F.size("items").cast("long").alias("size"), "items"))
+    links = []
     while not rows.isEmpty():
-        total = rows.groupBy("key").agg(F.count("*").alias("n"))
-        counts = rows.select("key", F.explode("items").alias("item")).groupBy("key", "item").agg(F.count("*").alias("c")).join(total, "key")
+        total = common.saved(rows.groupBy("key").agg(F.count("*").alias("n")))
+        sized = _at_key(rows, total)
+        parts = F.lit(max(1, total.where(F.col("n") <= CROWD).agg(F.sum("n")).first()[0] or 0) // (2 * CROWD) + 1)
+        small = sized.where(F.col("n") <= CROWD).select(F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), "key", "node", "component", "size", "items")
+        links.append(common.saved(small.groupBy("part").applyInArrow(lambda t: compare_crowds(t, percent), "a long, b long")))
+        if total.where(F.col("n") > CROWD).isEmpty():
+            break
+        rows = sized.where(F.col("n") > CROWD)
+        counts = rows.select("key", "n", F.explode("items").alias("item")).groupBy("key", "n", "item").agg(F.count("*").alias("c")).where("c > 1")
         counts = common.saved(counts.select("key", "item", F.least("c", F.col("n") - F.col("c")).alias("c"), (2 * F.col("c") > F.col("n")).alias("most")))
         major = counts.where("most").groupBy("key").agg(F.collect_list("item").alias("v"))
-        none = F.array().cast("array<long>")
-        rows = _at_key(rows, major).withColumn("v", F.coalesce("v", none))
+        rows = _at_key(rows, major).withColumn("v", F.coalesce("v", F.array().cast("array<long>")))
         rows = rows.select("key", "node", "component", "size", F.concat(F.array_except("items", "v"), F.array_except("v", "items")).alias("items"))
         rows = common.saved(rows.withColumn("g", more * F.size("items") - less * F.col("size")))
-        least = rows.groupBy("key").agg(F.min(F.struct("g", "node", "component")).alias("low"))
-        rows = _at_key(rows, least)
-        linked = common.saved(rows.where("g + low.g <= 0 and node != low.node and component != low.component").select(F.col("node").alias("a"), F.col("low.node").alias("b"), F.col("component").alias("ca"), F.col("low.component").alias("cb")))
-        links.append(linked.select("a", "b"))
-        joined = components(linked.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("joined"))
-        need = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("low.g")) / (2 * more)))
-        rows = rows.withColumn("take", F.size("items") - need + 1).where("take > 0").drop("low", "g").join(joined, "component", "left").withColumn("component", F.coalesce("joined", "component")).drop("joined")
-        rows = common.saved(rows)
-        ranked = rows.select("key", "node", "component", "take", F.explode("items").alias("item")).join(counts.select("key", "item", "c"), ["key", "item"])
-        first = ranked.groupBy("key", "node", "component", "take").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("i"))
-        first = first.select("key", "node", "component", F.explode(F.expr("slice(i, 1, cast(take as int))")).alias("i")).where("i.c > 1")
-        parts = open_buckets(first.select(F.col("key").alias("above"), F.xxhash64("key", "i.item").alias("key"), "node", "component"))
-        pairs.append(_few_pairs(parts))
-        again = parts.where(F.col("n") > FEW).select("above", "key", "node", "component")
+        least = common.saved(rows.groupBy("key").agg(F.min(F.struct("g", "node", "component")).alias("low")))
+        led = _at_key(rows, least)
+        links.append(common.saved(led.where("g + low.g <= 0 and node != low.node and component != low.component").select(F.col("node").alias("a"), F.col("low.node").alias("b"))))
+        need = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("low.g")) / (2 * more)), F.size("items") - F.floor(less * F.col("size") / percent))
+        ranked = led.withColumn("take", F.size("items") - need + 1).where("take > 0").select("key", "node", "component", "take", F.explode("items").alias("item"))
+        # an item that nobody else has comes first in the order, and leads nowhere
+        ranked = ranked.join(counts.select("key", "item", "c"), ["key", "item"], "left").groupBy("key", "node", "component", "take").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("i"), F.count_if(F.col("c").isNull() | (F.col("c") < 2)).alias("alone"))
+        first = ranked.where("take > alone").select("key", "node", "component", F.explode(F.expr("slice(filter(i, x -> x.c > 1), 1, cast(take - alone as int))")).alias("i"))
+        again = open_buckets(first.select(F.col("key").alias("above"), F.xxhash64("key", "i.item").alias("key"), "node", "component"))
         rows = common.saved(again.join(rows.select(F.col("key").alias("above"), "node", "size", "items"), ["above", "node"]).select("key", "node", "component", "size", "items"))
-    return links, pairs
+    return reduce(DataFrame.unionAll, links) if links else rows.sparkSession.createDataFrame([], "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
@@ -217,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
     Null doc_id: never linked, component_id null, kept. Empty table: empty
     result. Other columns have no effect.
     """
-    common.arrow_batches(docs.sparkSession, 512)
+    common.arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signs = common.saved(docs.mapInArrow(partial(_signatures, halves_of=2 * rows), "doc_id long, n_shingles long, digest binary, halves array<long>"))
     nodes = common.saved(signs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves")))
@@ -234,18 +323,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
         at = lambda name: nodes.select(F.col("node").alias(name), F.col("halves").alias(f"h{name}"))
         agree = F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda x: x))
         pairs = pairs.join(at("a"), "a").join(at("b"), "b").where(agree >= AGREE).select("a", "b")
-        text = lambda name: texts.select(F.col("node").alias(name), F.col("text").alias(f"t{name}"))
-        return common.saved(pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_linked, percent=percent), "a long, b long"))
+        pairs = common.saved(pairs)
+        # parts of some PART pairs: a b with many partners is in several, once in each
+        many = common.saved(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("n")))
+        parts = F.lit(max(1, pairs.count() // PART))
+        salt = F.pmod(F.xxhash64("a"), F.col("n")).cast("int")
+        part = lambda c: F.pmod(F.xxhash64("b", c), parts).cast("int").alias("part")
+        left = pairs.join(many, "b").select(part(salt), "a", F.col("b").alias("b")).join(texts.select(F.col("node").alias("a"), F.col("text").alias("own")), "a").select("part", "a", "b", "own")
+        right = many.select("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt")).select(part(F.col("salt")), "b").distinct().join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b").select("part", "b", "other")
+        return common.saved(left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(lambda own, others: compare(own, others, percent), "a long, b long"))
 
     links = confirmed(members.where("node != center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct())
     groups = components(links)
 
     # buckets that hold several components: across these only
-    labelled = members.join(groups, "node", "left").select("key", "table", "node", F.coalesce("component", "node").alias("component"))
-    rest = open_buckets(labelled)
-    sure, pairs = crowd_pairs(common.saved(rest.where(F.col("n") > FEW).select("key", "node", "component")), texts, percent)
-    more = confirmed(reduce(DataFrame.unionAll, pairs, _few_pairs(rest)).distinct())
-    more = common.saved(reduce(DataFrame.unionAll, sure, more))
+    labelled = members.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    more = confirmed(crowd_links(open_buckets(labelled).select("key", "node", "component"), texts, percent).distinct())
     if not more.isEmpty():
         groups = components(links.unionAll(more))
 

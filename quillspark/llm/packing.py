@@ -155,7 +155,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
     needed; sequence_id is unique, not consecutive. Other columns have no effect.
     The tokenizer file must be readable on the executors.
     """
-    common.arrow_batches(docs.sparkSession, 1024)
+    common.arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, part = load(path), TaskContext.get().partitionId()
@@ -187,9 +187,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
             held.clear()
             keys.clear()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in common.slices(whole, "text", 4 << 20)):
             ids, bounds = tokens.encode(batch.column(1))
             held.append(np.insert(ids, bounds[1:], end_id).astype("<u4"))
             keys.append((batch.column(0), bounds + np.arange(bounds.size)))

@@ -258,11 +258,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     encoded for itself: ties, repeated rows and other columns have no effect.
     The model file must be readable on the executors.
     """
-    common.arrow_batches(docs.sparkSession, 1024)
+    common.arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "text", 4 << 20)):
             ids, bounds = model.encode(batch.column(1))
             raw = ids.tobytes()
             rows = pa.array([raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())

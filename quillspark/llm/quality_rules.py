@@ -42,10 +42,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     the input with these names are replaced; rows are independent of each other.
     """
     docs = docs.drop(*STATS)
-    common.arrow_batches(docs.sparkSession, 1024)
+    common.arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "text", 4 << 20)):
             data, offsets = common.utf8(batch.column("text"))
             starts, stops, bounds = common.words(data, offsets)
             upto = lambda mask: np.r_[0, np.cumsum(mask)][offsets]
@@ -59,7 +59,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             if starts.size >= 3:
                 row = common.row_of(bounds)
                 at = np.flatnonzero(row[2:] == row[:-2])
-                key = common.windows(common.HASH_A.spans(data, starts, stops), 3, 1)[at] + common.mix(row[at].astype(np.uint64) + np.uint64(1))
+                key = common.windows(common.word_names(data, starts, stops)[0], 3, 1)[at] + common.mix(row[at].astype(np.uint64) + np.uint64(1))
                 order = np.argsort(key, kind="stable")
                 same = key[order][1:] == key[order][:-1]
                 twice = np.unique(np.r_[order[1:][same], order[:-1][same]])
@@ -87,20 +87,38 @@ def values() -> dict[str, Column]:
     return {"symbols": ratio("n_symbols", "word_chars"), "dup_lines": ratio("n_dup_lines", "n_lines"), "repeats": ratio("n_repeat_words", "n_words")}
 
 
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function by its continued fraction (modified Lentz): some sqrt(a + b) terms."""
+    if not 0 < x < 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, m = 1e-300, 0
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    f = d
+    while True:
+        m += 1
+        for up in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + up * d or tiny)
+            c = 1 + up / c or tiny
+            f *= c * d
+        if abs(c * d - 1) < 1e-14:
+            return front * f
+
+
 def upper_bound(k: int, n: int, level: float) -> float:
     """Exact binomial upper bound of a rate of which k of n were seen: P(at most k of n) is `level` at that rate."""
     if k >= n:
         return 1.0
 
-    def log_cdf(p: float) -> float:
-        terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-        top = max(terms)
-        return top + math.log(sum(math.exp(t - top) for t in terms))
+    def chance(p: float) -> float:
+        return _beta_share(n - k, k + 1, 1 - p)
 
     low, high = k / n, 1.0
     for _ in range(60):
         mid = (low + high) / 2
-        if mid <= 0 or mid >= 1 or log_cdf(mid) > math.log(level):
+        if mid <= 0 or mid >= 1 or chance(mid) > level:
             low = mid
         else:
             high = mid

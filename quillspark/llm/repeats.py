@@ -35,6 +35,46 @@ WIDTH, GRAM = 100, 50
 _REGION = [("key", "<u8"), ("name", "<u8")]
 _STRING = [("key", "<u8"), ("name", "<u4")]
 NOTE = b"again"
+_BLOCK = 1 << 17
+
+
+class ByteHasher:
+    """Hashes of many spans of one byte array from prefix sums of a polynomial mod 2**64."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.base = int(rng.integers(0, 2**63)) * 2 + 1
+        self.byte = rng.integers(1, 2**64, 256, dtype=np.uint64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if n > self.up.size:
+            n = max(n, 2 * _BLOCK)
+            for name, b in (("up", self.base), ("down", pow(self.base, -1, 2**64))):
+                p = np.full(n, common.u64(b))
+                p[0] = 1
+                setattr(self, name, np.cumprod(p, dtype=np.uint64))
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        self._powers(data.size + 1)
+        total = np.zeros(data.size + 1, np.uint64)
+        np.cumsum(self.byte[data] * self.up[: data.size], out=total[1:])
+        return total
+
+    def spans(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """starts and stops ascending; spans may overlap."""
+        out, i = np.empty(starts.size, np.uint64), 0
+        while i < starts.size:
+            j = max(i + 1, int(np.searchsorted(stops, starts[i] + _BLOCK)))
+            at = starts[i]
+            total = self.prefix(data[at : stops[j - 1]])
+            a, b = starts[i:j] - at, stops[i:j] - at
+            out[i:j] = (total[b] - total[a]) * self.down[a] + b.astype(np.uint64) - a.astype(np.uint64)
+            i = j
+        return common.mix(out)
+
+
+HASH_A, HASH_B = ByteHasher(11), ByteHasher(23)
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -162,8 +202,8 @@ class Shard:
         at, stop = self.offsets[i], self.offsets[j]
         if stop - at < WIDTH:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = common.HASH_A.prefix(self.data[at:stop])
-        gram = common.mix((total[GRAM:] - total[:-GRAM]) * common.HASH_A.down[: total.size - GRAM])
+        total = HASH_A.prefix(self.data[at:stop])
+        gram = common.mix((total[GRAM:] - total[:-GRAM]) * HASH_A.down[: total.size - GRAM])
         best = sliding_argmin(gram, WIDTH - GRAM + 1)
         end = np.repeat(self.offsets[i + 1 : j + 1] - at, np.diff(self.offsets[i : j + 1]))[: best.size]
         start = np.flatnonzero(np.arange(best.size) + WIDTH <= end)
@@ -184,7 +224,7 @@ class Shard:
         shared = exchange.told(answers, 1, self.bucket) | (np.bincount(self.place, minlength=self.value.size) > 1)
         self.open = np.flatnonzero(shared[self.place]) if self.place.size else np.zeros(0, np.int64)
         first, last, anchor = self.first[self.open], self.last[self.open], self.anchor[self.open]
-        name = common.HASH_B.spans(self.data, first, last + WIDTH)
+        name = HASH_B.spans(self.data, first, last + WIDTH)
         row = self.row(first)
         return distinct(exchange.bucket_of(anchor, self.buckets), anchor, name, self.ids[row], first - self.offsets[row])
 
@@ -201,7 +241,7 @@ class Shard:
         self.again = again = np.unpackbits(np.frombuffer(known[0], np.uint8), count=start.size).astype(bool) if known else self._again(start, row, inner)
         ask = np.flatnonzero(mixed[region] & ~earlier[region] & ~again)
         at = start[ask]
-        a, b = common.HASH_A.spans(self.data, at, at + WIDTH), common.HASH_B.spans(self.data, at, at + WIDTH)
+        a, b = HASH_A.spans(self.data, at, at + WIDTH), HASH_B.spans(self.data, at, at + WIDTH)
         where = ((b >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
         return start, again | earlier[region], ask, distinct(where, a, b & np.uint64(0xFFFFFFFF), self.ids[row[ask]], inner[ask])
 

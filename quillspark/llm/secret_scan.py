@@ -3,7 +3,7 @@
 Candidates are found by pattern. For each distinct value (by hash) the corpus
 gives the number of distinct owners (the source of the documents). A value that
 many owners hold is a copied example; one that few owners hold is live-looking.
-Live values found in one place are then looked for, as tokens, everywhere else.
+Bare tokens count as candidates only where they look random by themselves.
 """
 
 from __future__ import annotations
@@ -64,10 +64,10 @@ def scan(docs: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
     spans. A null source is an owner of its own. Repeated rows and ties: a
     value is counted once for each owner, each row keeps its own spans.
     """
-    common.arrow_batches(docs.sparkSession, 512)
+    common.arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole, "text", 4 << 20)):
             rows = [[{"kind": k, "start": a, "end": b, "value": hashlib.sha256(v.encode()).digest()} for a, k, b, v in candidates(x or "")] for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, _FOUND)], ["doc_id", "source", "print", "found"])
 

@@ -61,8 +61,7 @@ class Chunk:
         self.data, self.offsets = common.utf8(table.column("text"))
         starts, stops, self.bounds = common.words(self.data, self.offsets)
         self.n, self.width, self.buckets = starts.size, width, buckets
-        self.a = common.HASH_A.spans(self.data, starts, stops)
-        self.b = common.HASH_B.spans(self.data, starts, stops)
+        self.a, self.b = common.word_names(self.data, starts, stops)
         row = common.row_of(self.bounds)
         self.doc, self.begin, self.end = self.ids[row], self.bounds[:-1][row], self.bounds[1:][row]
         at = boundaries(self.a, self.bounds)
@@ -125,7 +124,7 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
     chunks, buckets = exchange.sizes(docs.count())
-    key = "__chunk"
+    key = common.fresh("chunk", [*docs.columns, "n_words", "n_removed", "kept_text"])
     rows = docs.select("*", common.chunk_id(chunks).alias(key))
 
     def announce(table: pa.Table) -> pa.Table:

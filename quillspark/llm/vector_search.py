@@ -124,7 +124,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     books = Codebooks(np.array([r.v for r in sample], np.float64).reshape(-1, dim))
     blocks = max(24, total // BLOCK)
     query_blocks = max(1, asked.count() // QUERIES)
-    common.arrow_batches(spark, 4096)
+    common.arrow_batches(spark)
 
     def pack_rows(batches):
         for b in batches:

@@ -314,7 +314,7 @@ def test_suffix_arrays():
 # -- 8 --------------------------------------------------------------------------------------------------------------
 
 
-def near_groups(rows):
+def near_groups(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = WORD.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -328,7 +328,7 @@ def near_groups(rows):
 
     for a, b in itertools.combinations(sets, 2):
         both = len(sets[a] & sets[b])
-        if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
             x, y = top(a), top(b)
             up[max(x, y)] = min(x, y)
     return {i: (len(s), top(i)) for i, s in sets.items()}
@@ -370,6 +370,76 @@ def test_hub_of_many_copies(spark):
     assert set(got) == {0}
 
 
+def test_chain_of_revisions(spark):
+    """Each of 300 revisions is linked with the next one only."""
+    rows = [(i, " ".join(f"w{k}" for k in range(6 * i, 6 * i + 104))) for i in range(300)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("component_id").distinct().collect()
+    assert [r.component_id for r in got] == [0]
+
+
+def test_components_of_chains(spark):
+    edges = [(i + 1, i) for i in range(600)] + [(2000 + (37 * i + 37) % 401, 2000 + 37 * i % 401) for i in range(400)]
+    got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(601)} | {2000 + i: 2000 for i in range(401)}
+
+
+def test_links_within_crowds():
+    rng = random.Random(12)
+    for _ in range(40):
+        base = rng.sample(range(200), 60)
+        sets = [sorted({x if rng.random() > 0.06 else rng.randrange(200, 260) for x in base}) for _ in range(30)]
+        common_part = set(base[:40])
+        items = [np.array(sorted(set(s) ^ common_part), np.int64) for s in sets]
+        component = np.array([rng.choice([i, i // 2]) for i in range(30)])
+        got = near_dedup.joining_links(np.arange(30) + 100, component, np.array([len(s) for s in sets]), np.concatenate(items), np.r_[0, np.cumsum([x.size for x in items])], 85)
+        true = {(a, b) for a, b in itertools.combinations(range(30), 2) if 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})}
+        assert all((min(a, b) - 100, max(a, b) - 100) in true for a, b in got) and len(got) < 30
+
+        def parts(links):
+            up = {int(c): int(c) for c in component}
+
+            def top(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for a, b in links:
+                up[top(int(component[a]))] = top(int(component[b]))
+            return {frozenset(c for c in up if top(c) == t) for t in map(top, up)}
+
+        assert parts([(a - 100, b - 100) for a, b in got]) == parts(true)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_long_words_with_one_polynomial_hash(spark, n):
+    """A Thue-Morse word and its complement have equal hashes under every polynomial modulo 2**64."""
+    one = thue_morse(n)
+    two = one.translate({97: 98, 98: 97})
+    fill = " ".join(f"w{i}" for i in range(13))
+    texts = [f"{one} {fill}", f"{two} {fill}", f"{fill} {one}", f"{fill} {two}", f"{one} {two} {one} {two} {one} {two}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for r in piece_tokens.encode(df, path).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+    ids, bounds = packing.load(public_tokenizers.path("byte_bpe_50k.json")).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(bounds)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df).collect()) == window_dedup(list(enumerate(texts)))
+    assert {r.doc_id: r.n_repeat_words for r in quality_rules.statistics(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 6}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == near_groups(list(enumerate(texts)))
+    if n == 1024:
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(df).collect()]
+        assert sorted(got) == sorted(byte_dedup(list(enumerate(texts))))
+
+
 def test_other_limits(spark):
     """A copy with a similarity of 0.82 is linked at 80 percent and not at 85."""
     words = [f"t{i}" for i in range(104)]
@@ -502,7 +572,7 @@ def test_pipeline(spark, data_dir, tmp_path, corpus):
         if name == "language_id":
             assert set(before) - set(after) == {10**6, 10**6 + 1}
         elif name == "near_dedup":
-            kept = {i: c for i, (_, c) in near_groups([(i, r.text) for i, r in before.items()]).items()}
+            kept = {i: c for i, (_, c) in near_groups([(i, r.text) for i, r in before.items()], 80).items()}
             assert set(after) == {i for i, c in kept.items() if i == c} and all(after[i] == before[i] for i in after)
         elif name == "substring_dedup":
             want = {i: (k, t) for i, _, k, t in window_dedup([(i, r.text) for i, r in before.items()])}
