@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Unicode white space, as a regular expression class that Java and RE2 both read.
 WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 TRIM = f"^[{WS}]+|[{WS}]+$"
+#: The same as a list of characters.
+SPACES = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 #: A text of exactly this address counts as CJK context. Fixed value.
 CJK_ADDRESS = "usz@google.com"
@@ -21,7 +23,7 @@ def let(value: Column, body) -> Column:
 
 def trim(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, TRIM, "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def blank(c: Column) -> Column:
@@ -133,9 +135,10 @@ def styled(c: Column, styles: Column) -> Column:
 def inline_spans(c: Column) -> Column:
     r"""Text and \( \) spans: array of (type, content). Blank text is dropped, text is kept untrimmed, equations are trimmed."""
     pattern = r"\\\(([^\n]+?)\\\)"
-    marked = F.split(F.regexp_replace(c, pattern, "\u0001$0\u0001"), "\u0001")
-    span = F.transform(marked, lambda x, i: F.struct(F.when(i % 2 == 1, F.lit("inline_equation")).otherwise(F.lit("text")).alias("type"), F.when(i % 2 == 1, trim(F.regexp_extract(x, pattern, 1))).otherwise(x).alias("content")))
-    return F.filter(span, lambda s: (s["type"] == "inline_equation") | ~blank(s["content"]))
+    span = lambda kind, x: F.struct(F.lit(kind).alias("type"), x.alias("content"))
+    # one text more than equations: the last pair has a null, which goes as blank texts do
+    pairs = F.zip_with(F.split(c, pattern), F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), lambda x, e: F.array(span("text", F.when(~blank(x), x)), span("inline_equation", trim(e))))
+    return F.filter(F.flatten(pairs), lambda s: s["content"].isNotNull())
 
 
 def has_inline_equations(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import saved
 from . import tables
 from .render import JSON
 
@@ -128,17 +129,18 @@ def lookup_relationship(rows: DataFrame, rels: DataFrame) -> DataFrame:
     return rows.join(first.select("base_part", "rel_id", "r.target", "r.target_mode"), ["base_part", "rel_id"], "left")
 
 
-def resolve_styles(styles: DataFrame, deepest: int = 16) -> DataFrame:
-    """style_id with resolved level (the nearest one that is not null) and is_list (any) along based_on.
+def resolve_styles(styles: DataFrame) -> DataFrame:
+    """style_id with resolved level (the nearest one that is not null) and is_list (any) along based_on, of any depth.
 
-    Chains are followed by doubling: after k joins 2**k ancestors are known, so
-    cycles end as well, and a chain of n styles takes log n joins.
+    Chains are followed by doubling: after k joins 2**k ancestors are known. It
+    ends when no style has an ancestor left to look at, or, as cycles never
+    come to an end, when as many ancestors are known as there are styles.
     """
-    now = styles.select("style_id", "based_on", "level", "is_list")
-    step = 1
-    while step < deepest:
+    now, step = styles.select("style_id", "based_on", "level", "is_list"), 1
+    most = styles.count()
+    while step < most and not now.where("based_on is not null").isEmpty():
         up = now.select(F.col("style_id").alias("__u"), F.col("based_on").alias("__b"), F.col("level").alias("__l"), F.col("is_list").alias("__i"))
-        now = now.join(up, F.col("based_on") == F.col("__u"), "left").select("style_id", F.col("__b").alias("based_on"), F.coalesce("level", "__l").alias("level"), (F.col("is_list") | F.coalesce("__i", F.lit(False))).alias("is_list"))
+        now = saved(now.join(up, F.col("based_on") == F.col("__u"), "left").select("style_id", F.col("__b").alias("based_on"), F.coalesce("level", "__l").alias("level"), (F.col("is_list") | F.coalesce("__i", F.lit(False))).alias("is_list")))
         step *= 2
     return now.select("style_id", "level", "is_list")
 

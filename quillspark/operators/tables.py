@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 TOKENS = ("<nl>", "<fcel>", "<ecel>", "<lcel>", "<ucel>", "<xcel>")
-_SEP = "\u0001"
+_AT_TOKENS = f"(?={'|'.join(TOKENS)})|(?<={'|'.join(TOKENS)})"
 
 
 def otsl_rows(c: Column) -> Column:
     """Rows of cells. Cell tokens take the text after them; span tokens count for nothing; a last row without a line end counts if it has cells."""
-    marked = F.regexp_replace(text.trim(c), "(<nl>|<fcel>|<ecel>|<lcel>|<ucel>|<xcel>)", f"{_SEP}$1{_SEP}")
-    parts = F.filter(F.transform(F.split(marked, _SEP), text.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text.trim(c), _AT_TOKENS), text.trim), lambda x: x != "")
     state = F.struct(F.array().cast("array<array<string>>").alias("rows"), F.array().cast("array<string>").alias("row"), F.lit(False).alias("open"))
 
     def step(s: Column, x: Column) -> Column:
@@ -70,9 +69,9 @@ def rebase_merges(merges: DataFrame, boxes: DataFrame, sheet: list[str]) -> Data
 
 def sheet_cells(grid: DataFrame, merges: DataFrame, sheet: list[str]) -> DataFrame:
     """Cells that a merge does not cover, with rowspan and colspan at its anchor."""
-    hit = [grid[c] == merges[c] for c in sheet]
-    covered = (grid["row"].between(merges["m_r0"], merges["m_r1"])) & (grid["col"].between(merges["m_c0"], merges["m_c1"])) & ~((grid["row"] == merges["m_r0"]) & (grid["col"] == merges["m_c0"]))
-    left = grid.join(merges, [*hit, covered], "left_anti")
+    places = merges.withColumn("row", F.explode(F.sequence("m_r0", "m_r1"))).withColumn("col", F.explode(F.sequence("m_c0", "m_c1")))
+    covered = places.where("row <> m_r0 or col <> m_c0").select(*sheet, "row", "col").distinct()
+    left = grid.join(covered, [*sheet, "row", "col"], "left_anti")
     anchors = merges.groupBy(*sheet, F.col("m_r0").alias("row"), F.col("m_c0").alias("col")).agg(F.max(F.struct((F.col("m_r1") - F.col("m_r0") + 1).alias("rowspan"), (F.col("m_c1") - F.col("m_c0") + 1).alias("colspan"))).alias("s"))
     return left.join(anchors, [*sheet, "row", "col"], "left").select(left["*"], F.coalesce("s.rowspan", F.lit(1)).alias("rowspan"), F.coalesce("s.colspan", F.lit(1)).alias("colspan"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from ..functions import text
 KINDS = {"pdf": ("pdf",), "image": ("png", "jpeg", "jp2", "webp", "gif", "bmp", "jpg", "tiff"), "office": ("docx", "pptx", "xlsx")}
 STATUSES = ("pending", "processing", "completed", "failed")
 TERMINAL = ("completed", "failed")
-STEM_BYTES = 200
+STEM_BYTES, ROOT_BYTES = 200, 190
 RETENTION_SECONDS = 24 * 3600
 
 
@@ -41,37 +40,26 @@ def uniquify(uploads: DataFrame, task: list[str], order: str = "idx", stem: str
 
 
 def uniquify_exactly(uploads: DataFrame, task: str, order: str = "idx", stem: str = "stem") -> DataFrame:
-    """unique_stem of any stems: suffixes skip names that the task has or was given. One task's uploads are one group, in memory."""
-
-    def cut(s: str, most: int) -> str:
-        return s.encode()[:most].decode(errors="ignore")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        present = {s.lower() for s in rows[stem]}
-        taken: set[str] = set()
-        seen: dict[str, int] = {}
-        out = []
-        for s in rows[stem]:
-            key = s.lower()
-            n = seen[key] = seen.get(key, 0) + 1
-            name = s
-            if n > 1 or key in taken:
-                while True:
-                    ending = f"_{n}"
-                    name = cut(s, STEM_BYTES - len(ending)) + ending
-                    if name.lower() not in present and name.lower() not in taken:
-                        break
-                    n += 1
-            taken.add(name.lower())
-            out.append(name)
-        rows["unique_stem"] = out
-        return rows
-
-    from pyspark.sql.types import StringType, StructType
-
-    schema = StructType(list(uploads.schema.fields)).add("unique_stem", StringType())
-    return uploads.groupBy(task).applyInPandas(run, schema)
+    """unique_stem of any stems, letter case aside: the first of equal ones keeps its name, the others get the
+    smallest numbers from 2 on, in their order, that make no name which the task has.
+
+    Stems that agree up to ROOT_BYTES share their numbers, so that cutting long ones to STEM_BYTES makes none equal.
+    A task's stems of one root are a sort within a partition; nothing is gathered but the numbers that its names end in.
+    """
+    root = lambda c: F.lower(text.utf8_truncate(c, ROOT_BYTES))
+    nth = F.row_number().over(Window.partitionBy(task, F.lower(stem)).orderBy(order))
+    rows = uploads.withColumn("__again", nth > 1).withColumn("__root", root(F.col(stem)))
+    ending = F.regexp_extract(stem, r"^(.*)_([1-9]\d{0,8})$", 2).try_cast("int")
+    held = uploads.select(task, root(F.regexp_extract(stem, r"^(.*)_([1-9]\d{0,8})$", 1)).alias("__root"), ending.alias("__number")).where("__number >= 2")
+    held = held.groupBy(task, "__root").agg(F.array_sort(F.collect_set("__number")).alias("__held"))
+    rank = F.count_if(F.col("__again")).over(Window.partitionBy(task, "__root").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("__rank", rank.cast("int")).join(held, [task, "__root"], "left")
+    number = F.aggregate(F.coalesce("__held", F.array().cast("array<int>")), F.col("__rank") + 1, lambda n, h: F.when(h <= n, n + 1).otherwise(n))
+    tail = F.concat(F.lit("_"), number.cast("string"))
+    long = F.lit(None).cast("string")
+    for digits in range(1, 10):
+        long = F.when(F.length(tail) == digits + 1, text.utf8_truncate(F.col(stem), STEM_BYTES - digits - 1)).otherwise(long)
+    return rows.withColumn("unique_stem", F.when(F.col("__again"), F.concat(long, tail)).otherwise(F.col(stem))).select(*uploads.columns, "unique_stem")
 
 
 def status_counts(tasks: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -79,11 +67,61 @@ def status_counts(tasks: DataFrame, by: list[str] | None = None) -> DataFrame:
     return tasks.groupBy(*(by or [])).agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])
 
 
-def queued_ahead(tasks: DataFrame, queue: list[str]) -> DataFrame:
-    """Pending tasks submitted before each pending task of a queue; 0 for others. Orders of 0 or less are not counted."""
+def _in_bins(rows: DataFrame, by: str, bins: int) -> DataFrame:
+    """rows with __bin: the part of the range of `by` (a number) that each is in; the cuts are quantiles of a fixed number."""
+    cuts = sorted(set(rows.where(F.col(by).isNotNull()).approxQuantile(by, [i / bins for i in range(1, bins)], 0.25 / bins)))
+    if not cuts:
+        return rows.withColumn("__bin", F.lit(0))
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
+    return rows.withColumn("__bin", F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), lambda s, _: _half(s, cuts, F.col(by)), lambda s: s["low"]))
+
+
+def _half(s: Column, cuts: list[float], value: Column) -> Column:
+    """A step of a binary search for the number of cuts up to a value."""
+    mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+    up = (s["low"] < s["high"]) & (F.element_at(F.array(*map(F.lit, cuts)), mid + 1) <= value)
+    return F.struct(F.when(up, mid + 1).otherwise(s["low"]).alias("low"), F.when(up | (s["low"] >= s["high"]), s["high"]).otherwise(mid).alias("high"))
+
+
+def _before(rows: DataFrame, counts: Column, order: list[Column], columns: list[str], name: str, same: bool) -> DataFrame:
+    """rows (with __bin) with the sum of counts over all rows that come earlier: within the bin by window, and of the bins before it.
+
+    same: rows of equal order count as earlier if they stand before, else they do not.
+    """
+    whole = rows.groupBy("__bin").agg(F.coalesce(F.sum(counts), F.lit(0)).alias("__n"))
+    # one row for each of a fixed number of bins
+    before = whole.select("__bin", F.coalesce(F.sum("__n").over(Window.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    w = Window.partitionBy("__bin").orderBy(*order)
+    own = F.coalesce(F.sum(counts).over(w.rowsBetween(Window.unboundedPreceding, -1) if same else w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__own", own).join(F.broadcast(before), "__bin").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).select(*columns, name)
+
+
+def queued_ahead(tasks: DataFrame, bins: int = 256) -> DataFrame:
+    """tasks with queued_ahead: pending tasks submitted before each pending task; 0 for others. Orders of 0 or less are not counted."""
     counts = ((F.col("status") == "pending") & (F.col("submit_order") > 0)).cast("long")
-    before = F.sum(counts).over(Window.partitionBy(*queue).orderBy("submit_order").rangeBetween(Window.unboundedPreceding, -1))
-    return tasks.withColumn("queued_ahead", F.when(F.col("status") == "pending", F.coalesce(before, F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    out = _before(_in_bins(tasks, "submit_order", bins), counts, [F.col("submit_order")], tasks.columns, "queued_ahead", same=False)
+    return out.withColumn("queued_ahead", F.when(F.col("status") == "pending", F.col("queued_ahead")).otherwise(F.lit(0).cast("long")))
+
+
+def numbered(rows: DataFrame, counts: Column, order: list[str], name: str, bins: int = 256) -> DataFrame:
+    """rows with their number from 1 on in the order of a time or number and further columns; null where `counts` does not hold."""
+    held = _in_bins(rows.withColumn("__at", F.col(order[0]).cast("timestamp").cast("double") if dict(rows.dtypes)[order[0]] != "double" else F.col(order[0])).withColumn("__yes", counts), "__at", bins)
+    out = _before(held, F.col("__yes").cast("long"), [F.col(c) for c in order], [*rows.columns, "__yes"], name, same=True)
+    return out.withColumn(name, F.when(F.col("__yes"), F.col(name) + 1)).drop("__yes")
+
+
+def landing_names(uploads: DataFrame, task: str, order: str = "idx", name: str = "base_name") -> DataFrame:
+    """uploads with landing_name, under which each is stored: the first of equal names keeps it, the nth gets __upload_n behind its stem.
+
+    A name that has such an ending by itself may meet one that was given; it is then kept apart by its place.
+    """
+    nth = F.row_number().over(Window.partitionBy(task, name).orderBy(order))
+    suffix = F.regexp_extract(name, r"(?<=.)\.[^.]*$", 0)
+    given = F.when(nth == 1, F.col(name)).otherwise(F.concat(text.file_stem(F.col(name)), F.lit("__upload_"), nth.cast("string"), suffix))
+    rows = uploads.withColumn("__given", given)
+    again = F.row_number().over(Window.partitionBy(task, "__given").orderBy(F.col("__given") != F.col(name), order))
+    place = F.concat(text.file_stem(F.col("__given")), F.lit("__"), F.col(order).cast("string"), suffix)
+    return rows.withColumn("landing_name", F.when(again == 1, F.col("__given")).otherwise(place)).drop("__given")
 
 
 def expired(tasks: DataFrame, now: Column, retention_seconds: int = RETENTION_SECONDS) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import io_queries, structure_queries, text_queries
+from . import io_queries, service_queries, structure_queries, text_queries
 
-_MODULES = (text_queries, structure_queries, io_queries)
+_MODULES = (text_queries, structure_queries, io_queries, service_queries)
 
 
 def queries() -> dict:

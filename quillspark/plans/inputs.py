@@ -29,11 +29,11 @@ CAST((l_partkey * 7 + l_suppkey) % 1003 AS INT) AS a1, CAST((l_suppkey * 13 + l_
 CAST((l_partkey * 11 + l_linenumber * 101) % 1001 AS INT) AS a2, CAST((l_suppkey * 17 + 300) % 1001 AS INT) AS b2,
 CASE l_suppkey % 5 WHEN 1 THEN 'up' WHEN 2 THEN 'right' WHEN 3 THEN 'down' ELSE '' END AS rotation,
 CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS contd, l_partkey AS pk, l_suppkey AS sk
-FROM lineitem WHERE l_orderkey % 16 < 12) q"""
+FROM lineitem) q"""
 
 #: Recognised blocks in points, as they come out of layout and recognition.
 BLOCKS = f"""
-SELECT doc, page_idx, seg AS idx, type, CAST(least(a1, a2) AS BIGINT) AS x1, CAST(least(b1, b2) AS BIGINT) AS y1, CAST(greatest(a1, a2) AS BIGINT) + 1 AS x2, CAST(greatest(b1, b2) AS BIGINT) + 1 AS y2,
+SELECT doc, page_idx, seg AS idx, pk, type, CAST(least(a1, a2) AS BIGINT) AS x1, CAST(least(b1, b2) AS BIGINT) AS y1, CAST(greatest(a1, a2) AS BIGINT) + 1 AS x2, CAST(greatest(b1, b2) AS BIGINT) + 1 AS y2,
 CASE rotation WHEN 'right' THEN 90 WHEN 'down' THEN 180 ELSE 0 END AS angle,
 CASE WHEN type = 'text' THEN contd = 1 END AS merge_prev, 1003 AS point_w, 1001 AS point_h,
 CASE WHEN type = 'table' THEN concat('<fcel>', CAST(pk AS VARCHAR(20)), ' & <b<fcel>two<nl><ecel><lcel><fcel>x"y', CASE WHEN sk % 2 = 0 THEN '<nl>' ELSE '' END)

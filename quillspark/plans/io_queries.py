@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import zipfile
 
 from pyspark.sql import functions as F
 
 from ..operators import office, tasks
+from ..session import shared_folder
 from ..sources import ooxml, sinks
 from ..streaming import ingest
 from .inputs import table
@@ -123,10 +123,10 @@ def _results(spark, sf_dir, markdown):
 
 
 def zip_manifest(spark, sf_dir):
-    return sinks.zip_manifest(sinks.artifacts(_results(spark, sf_dir, F.left("text", F.lit(200))))).select("task_id", "rel_path", "size", "offset")
+    return sinks.zip_manifest(sinks.artifacts(_results(spark, sf_dir, F.col("text")))).select("task_id", "rel_path", "size", "offset")
 
 
-ZIP_SQL = """with r as (select doc_id // 4 as task_id, 'd' || doc_id as stem, left(text, 200) as md, '{"lang":"' || lang || '"}' as mj from documents),
+ZIP_SQL = """with r as (select doc_id // 4 as task_id, 'd' || doc_id as stem, text as md, '{"lang":"' || lang || '"}' as mj from documents),
 f as (select task_id, stem || '/vlm/' || stem || '.md' as rel_path, strlen(md) as size from r union all select task_id, stem || '/vlm/' || stem || '_middle.json', strlen(mj) from r where mj is not null)
 select task_id, rel_path, size, cast(coalesce(sum(46 + strlen(rel_path) + size) over (partition by task_id order by rel_path rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from f"""
 
@@ -141,9 +141,9 @@ def original_names(spark, sf_dir):
 
 
 def stream_ingest(spark, sf_dir):
-    """Events as a stream in one available-now run, counted by day and type; the result is a table in a folder of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
-    folder = f"{shared}/stream-{os.urandom(6).hex()}"
+    """Events as a stream in one available-now run, counted by day and type: each batch writes the windows that it changed,
+    of which the last version counts; windows that the watermark has passed leave the state."""
+    folder = f"{shared_folder(spark)}/stream-{os.urandom(6).hex()}"
     schema = table(spark, sf_dir, "events").schema
     events = ingest.parquet_stream(spark, f"{sf_dir}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     out = f"{folder}/out"
@@ -151,11 +151,11 @@ def stream_ingest(spark, sf_dir):
     def keep(batch, number):
         batch.select(F.col("window.start").alias("day"), "event_type", "n", F.round("total", 4).alias("total")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = ingest.event_counts(events).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = ingest.event_counts(events).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     found = spark.read.parquet(out)
-    last = found.agg(F.max("batch").alias("batch"))
-    return found.join(last, "batch").drop("batch").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    last = found.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("last"))
+    return last.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "last.n", "last.total")
 
 
 def task_states(spark, sf_dir):

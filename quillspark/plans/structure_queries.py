@@ -71,10 +71,8 @@ CROPS = "select doc, page_idx, block_index, " + ", ".join(_CROP[k].format(c=c, p
 
 
 def skip_extract(spark, sf_dir):
-    every = _parsed(spark, sf_dir)
-    one = layout.extract_jobs(every).groupBy("type").agg(F.count("*").alias("with_images"))
-    two = layout.extract_jobs(every, image_analysis=False).groupBy("type").agg(F.count("*").alias("without_images"))
-    return one.join(two, "type", "left").select("type", "with_images", F.coalesce("without_images", F.lit(0)).alias("without_images"))
+    rows = layout.extract_jobs(_parsed(spark, sf_dir))
+    return rows.groupBy("type").agg(F.count("*").alias("with_images"), F.count_if(~F.col("type").isin(*layout.SKIPPED_IMAGES)).alias("without_images"))
 
 
 def page_windows(spark, sf_dir):
@@ -96,12 +94,12 @@ def _blocks(spark, sf_dir):
 
 
 def post_process(spark, sf_dir):
-    return _processed(spark, sf_dir).where("type in ('equation', 'image', 'chart', 'text')").select(*PAGE, "idx", "type", "content")
+    return _processed(spark, sf_dir).select(*PAGE, "idx", "type", "content")
 
 
 POST = f"""select doc, page_idx, idx, type, case when type in ('image', 'chart') then case when contains(content, '<fcel>') then '' else {d_trim("content")} end
-when type = 'equation' then case when starts_with(e, chr(92) || '[') then case when ends_with(e, chr(92) || ']') then e else e || chr(10) || chr(92) || ']' end else case when ends_with(chr(92) || '[' || chr(10) || e, chr(92) || ']') then chr(92) || '[' || chr(10) || e else chr(92) || '[' || chr(10) || e || chr(10) || chr(92) || ']' end end else content end as content
-from (select doc, page_idx, idx, case when type = 'list_item' then 'text' else type end as type, content, {d_trim(f"case when ends_with(case when starts_with({d_trim('content')}, chr(92) || '[') then substr({d_trim('content')}, 3) else {d_trim('content')} end, chr(92) || ']') then left(case when starts_with({d_trim('content')}, chr(92) || '[') then substr({d_trim('content')}, 3) else {d_trim('content')} end, length(case when starts_with({d_trim('content')}, chr(92) || '[') then substr({d_trim('content')}, 3) else {d_trim('content')} end) - 2) else {d_trim('content')} end")} as e from ({inputs.BLOCKS}) b) q where type in ('equation', 'image', 'chart', 'text')"""
+when type = 'equation' then case when starts_with(e, chr(92) || '[') then case when ends_with(e, chr(92) || ']') then e else e || chr(10) || chr(92) || ']' end else case when ends_with(chr(92) || '[' || chr(10) || e, chr(92) || ']') then chr(92) || '[' || chr(10) || e else chr(92) || '[' || chr(10) || e || chr(10) || chr(92) || ']' end end when type = 'table' then '<table><tr><td>' || pk || ' &amp; &lt;b</td><td>two</td></tr><tr><td></td><td>x&quot;y</td></tr></table>' else content end as content
+from (select doc, page_idx, idx, pk, case when type = 'list_item' then 'text' else type end as type, content, {d_trim(f"case when ends_with(case when starts_with({d_trim('content')}, chr(92) || '[') then substr({d_trim('content')}, 3) else {d_trim('content')} end, chr(92) || ']') then left(case when starts_with({d_trim('content')}, chr(92) || '[') then substr({d_trim('content')}, 3) else {d_trim('content')} end, length(case when starts_with({d_trim('content')}, chr(92) || '[') then substr({d_trim('content')}, 3) else {d_trim('content')} end) - 2) else {d_trim('content')} end")} as e from ({inputs.BLOCKS}) b where type <> 'equation_block') q"""
 
 _TYPE = "case type " + " ".join(f"when '{k}' then '{v}'" for k, v in structure.BLOCK_TYPE.items()) + " when 'list_item' then 'text' else type end"
 TYPED = f"select *, cast(row_number() over (partition by doc, page_idx order by idx) - 1 as int) as pos from (select doc, page_idx, idx, {_TYPE} as type, x1, y1, x2, y2, merge_prev from ({inputs.BLOCKS}) b where type <> 'equation_block') q"
@@ -271,10 +269,10 @@ def task_status_counts(spark, sf_dir):
 
 
 def queued_ahead(spark, sf_dir):
-    return tasks.queued_ahead(_tasks(spark, sf_dir), ["backend"]).select("task_id", "queued_ahead")
+    return tasks.queued_ahead(_tasks(spark, sf_dir)).select("task_id", "queued_ahead")
 
 
-QUEUED = f"""with t as ({inputs.TASKS}) select task_id, case when status = 'pending' then coalesce(sum(case when status = 'pending' and submit_order > 0 then 1 else 0 end) over (partition by backend order by submit_order rows between unbounded preceding and 1 preceding), 0) else 0 end :: bigint as queued_ahead from t"""
+QUEUED = f"""with t as ({inputs.TASKS}) select task_id, case when status = 'pending' then coalesce(sum(case when status = 'pending' and submit_order > 0 then 1 else 0 end) over (order by submit_order rows between unbounded preceding and 1 preceding), 0) else 0 end :: bigint as queued_ahead from t"""
 
 
 def retention_expired(spark, sf_dir):
@@ -315,9 +313,17 @@ UNIQUE = f"""with s as (select task_id, idx, case when contains(b, '.') then reg
 n as (select *, row_number() over (partition by task_id, lower(stem) order by idx) as n from s) select idx, case when n = 1 then stem else stem || '_' || n end as unique_stem from n"""
 
 
+#: Stems of which many are others with a number behind them.
+NUMBERED = """SELECT CAST(floor(c_custkey / 40.0) AS BIGINT) AS task_id, c_custkey AS idx, concat(CASE c_custkey % 5 WHEN 0 THEN 'Scan' WHEN 1 THEN 'scan' WHEN 2 THEN 'a' WHEN 3 THEN 'scan_2' ELSE 'A_3' END, CASE c_nationkey % 6 WHEN 0 THEN '_2' WHEN 1 THEN '_4' ELSE '' END) AS stem FROM customer"""
+
+
 def stem_uniquify_exact(spark, sf_dir):
-    rows = tasks.gate(derived(spark, sf_dir, UPLOADS)).select("task_id", "idx", "stem")
-    return tasks.uniquify_exactly(rows, "task_id").select("idx", "unique_stem")
+    return tasks.uniquify_exactly(derived(spark, sf_dir, NUMBERED), "task_id").select("idx", "unique_stem")
+
+
+EXACT = f"""with s as ({NUMBERED}), n as (select *, row_number() over (partition by task_id, lower(stem) order by idx) - 1 as k from s),
+free as (select task_id, stem, row_number() over (partition by task_id, stem order by m) as k, m from (select distinct task_id, lower(stem) as stem from s) q, range(2, 100) r(m) where not exists (select 1 from s where s.task_id = q.task_id and lower(s.stem) = q.stem || '_' || r.m))
+select idx, case when n.k = 0 then n.stem else n.stem || '_' || free.m end as unique_stem from n left join free on free.task_id = n.task_id and free.stem = lower(n.stem) and free.k = n.k"""
 
 
 def boolean_parse(spark, sf_dir):
@@ -402,7 +408,7 @@ def style_closure(spark, sf_dir):
 
 
 STYLES = """with recursive s as (select p_partkey as id, case when p_partkey = 1 then 2 else p_partkey // 2 end as b, case when p_partkey % 7 = 0 then p_size end as l, p_partkey % 97 = 0 as i from part),
-c as (select id, id as at, b, l, i, 0 as d from s union all select c.id, s.id, s.b, s.l, s.i, c.d + 1 from c join s on s.id = c.b where c.d < 15)
+c as (select id, id as at, b, l, i, 0 as d from s union all select c.id, s.id, s.b, s.l, s.i, c.d + 1 from c join s on s.id = c.b where c.d < 200)
 select id as style_id, arg_min(l, d) filter (where l is not null) as level, bool_or(i) as is_list from c group by id"""
 
 
@@ -430,21 +436,21 @@ DECOR = f"select w, h, count(*) as n from ({_SHAPES}) q where not (w <= 91440 an
 
 def adjacent_list_merge(spark, sf_dir):
     """Turns of conversations as blocks, assistant turns as lists."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("idx"), F.when(F.col("turn") % 4 > 1, F.lit("list")).otherwise(F.lit("text")).alias("kind"), F.array(F.left("text", F.lit(30))).alias("items"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("idx"), F.when(F.col("turn") % 4 > 1, F.lit("list")).otherwise(F.lit("text")).alias("kind"), F.array("text").alias("items"))
     return office.merge_lists(rows, ["conv_id"]).select("conv_id", "idx", "kind", F.array_join("items", "|").alias("items"))
 
 
-LIST_MERGE = """with r as (select conv_id, turn as idx, case when turn % 4 > 1 then 'list' else 'text' end as kind, left(text, 30) as item from conversations),
+LIST_MERGE = """with r as (select conv_id, turn as idx, case when turn % 4 > 1 then 'list' else 'text' end as kind, text as item from conversations),
 s as (select *, case when kind = 'list' and lag(kind) over (partition by conv_id order by idx) = 'list' then 0 else 1 end as s from r), g as (select *, sum(s) over (partition by conv_id order by idx) as g from s)
 select conv_id, min(idx) as idx, any_value(kind) as kind, string_agg(item, '|' order by idx) as items from g group by conv_id, g"""
 
 
 def adjacent_span_merge(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.left("text", F.lit(20)).alias("t")))), lambda x: F.struct(F.when(x["turn"] % 5 > 2, F.lit("a")).otherwise(x["role"]).alias("type"), x["t"].alias("content"))).alias("spans"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("t")))), lambda x: F.struct(F.when(x["turn"] % 5 > 2, F.lit("a")).otherwise(x["role"]).alias("type"), x["t"].alias("content"))).alias("spans"))
     return rows.select("conv_id", F.posexplode(render.join_adjacent(F.col("spans"))).alias("pos", "s")).select("conv_id", "pos", "s.type", "s.content")
 
 
-SPAN_MERGE = """with r as (select conv_id, turn, case when turn % 5 > 2 then 'a' else role end as type, left(text, 20) as t from conversations), s as (select *, case when type = lag(type) over (partition by conv_id order by turn) then 0 else 1 end as s from r),
+SPAN_MERGE = """with r as (select conv_id, turn, case when turn % 5 > 2 then 'a' else role end as type, text as t from conversations), s as (select *, case when type = lag(type) over (partition by conv_id order by turn) then 0 else 1 end as s from r),
 g as (select *, sum(s) over (partition by conv_id order by turn) as g from s) select conv_id, cast(g - 1 as int) as pos, any_value(type) as type, string_agg(t, '' order by turn) as content from g group by conv_id, g"""
 
 
@@ -484,7 +490,7 @@ SQL = {
     "status_payload": PAYLOAD,
     "suffix_gate": GATE,
     "stem_uniquify": UNIQUE,
-    "stem_uniquify_exact": UNIQUE,
+    "stem_uniquify_exact": EXACT,
     "boolean_parse": "select c_custkey, [true, true, false, false, null, true, false, null][c_custkey % 8 + 1] as flag from customer",
     "option_validation": OPTIONS,
     "rel_lookup": "select n_nationkey, 'rId' || (n_regionkey + case when n_nationkey % 6 = 0 then 10 else 0 end) as rel_id, r_name || '0' as target, cast(null as varchar) as target_mode from nation left join region on n_regionkey = r_regionkey and n_nationkey % 6 <> 0",

@@ -85,7 +85,7 @@ def trim_unicode(spark, sf_dir):
 
 
 #: Sentences with inline equations; some unbalanced.
-EQUATIONS = "concat('Let ', chr(92), '( a_', CAST(item_id AS VARCHAR), ' ', chr(92), ') be ', left(text, 20), CASE item_id % 3 WHEN 0 THEN concat(' ', chr(92), '(b', chr(92), ')') WHEN 1 THEN concat(' ', chr(92), '(open') ELSE '' END)"
+EQUATIONS = "concat('Let ', chr(92), '( a_', CAST(item_id AS VARCHAR), ' ', chr(92), ') be ', text, CASE item_id % 3 WHEN 0 THEN concat(' ', chr(92), '(b', chr(92), ')') WHEN 1 THEN concat(' ', chr(92), '(open') ELSE '' END)"
 
 
 def inline_eq_split(spark, sf_dir):
@@ -194,10 +194,10 @@ def model_request(spark, sf_dir):
     body = model_stage.request_body(kind, F.when(F.col("item_id") % 2 == 0, F.lit("GPT-x")).otherwise(F.lit("page-model")), F.when(F.col("item_id") % 3 == 0, F.col("text").cast("binary")), F.col("item_id"))
     get = lambda p: F.get_json_object("body", p)
     rows = table(spark, sf_dir, "benchmark").select("item_id", body.alias("body"))
-    return rows.select("item_id", get("$.model").alias("model"), get("$.messages.user[0].type").alias("first_part"), F.coalesce(get("$.messages.user[1].text"), get("$.messages.user[0].text")).alias("prompt"), get("$.top_k").alias("top_k"), get("$.frequency_penalty").cast("double").alias("frequency_penalty"), get("$.presence_penalty").cast("double").alias("presence_penalty"), get("$.priority").cast("int").alias("priority"))
+    return rows.select("item_id", get("$.model").alias("model"), get("$.messages[0].role").alias("first_role"), get("$.messages[1].content[0].type").alias("first_part"), F.coalesce(get("$.messages[1].content[1].text"), get("$.messages[1].content[0].text")).alias("prompt"), F.sha2(get("$.messages[1].content[0].image_url.url"), 256).alias("image_sha"), get("$.top_k").alias("top_k"), get("$.frequency_penalty").cast("double").alias("frequency_penalty"), get("$.presence_penalty").cast("double").alias("presence_penalty"), get("$.priority").cast("int").alias("priority"))
 
 
-MODEL_REQUEST = """select item_id, case when item_id % 2 = 0 then 'GPT-x' else 'page-model' end as model, case when item_id % 3 = 0 then 'image_url' else 'text' end as first_part,
+MODEL_REQUEST = """select item_id, case when item_id % 2 = 0 then 'GPT-x' else 'page-model' end as model, 'system' as first_role, case when item_id % 3 = 0 then sha256('data:image/png;base64,' || base64(encode(text))) end as image_sha, case when item_id % 3 = 0 then 'image_url' else 'text' end as first_part,
 chr(10) || ['Layout Detection:', 'Table Recognition:', 'Formula Recognition:', 'Image Analysis:', 'Text Recognition:'][item_id % 5 + 1] as prompt, case when item_id % 2 = 0 then null else '1' end as top_k,
 cast([0.0, 0.005, 0.05, 0.05, 0.05][item_id % 5 + 1] as double) as frequency_penalty, cast(case when item_id % 5 = 0 then 0.0 else 1.0 end as double) as presence_penalty, cast(item_id as int) as priority from benchmark"""
 
@@ -228,7 +228,7 @@ def server_url(spark, sf_dir):
 def model_stage_run(spark, sf_dir):
     """Request, batched call of a deterministic model, answer: one row for each benchmark item."""
     kind = F.when(F.col("item_id") % 2 == 0, F.lit("layout")).otherwise(F.lit("text"))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", model_stage.chat_messages(model_stage.request_body(kind, F.lit("page-model"), F.lit(None).cast("binary"), F.col("item_id"))).alias("body"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", model_stage.request_body(kind, F.lit("page-model"), F.lit(None).cast("binary"), F.col("item_id")).alias("body"))
     return model_stage.send(rows, model_stage.fake_transport).select("item_id", model_stage.response_content(F.col("response")).alias("content"), "failure")
 
 

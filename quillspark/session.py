@@ -32,9 +32,11 @@ def build(name: str = "quillspark", master: str | None = None, **settings: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (a single machine)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and everything runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quillspark.shared", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.quillspark.shared", folder)
     return folder

@@ -30,6 +30,11 @@ class Settings:
         """Requests in flight for one task."""
         return min(8, self.model_requests)
 
+    @property
+    def in_flight_tasks(self) -> int:
+        """Tasks that are admitted at once."""
+        return 2 * self.max_concurrent_tasks
+
     @property
     def queue_size(self) -> int:
         return 4 * self.model_requests

@@ -20,13 +20,17 @@ def uploads(spark: SparkSession, path: str, most_bytes: int = 256 << 20) -> Data
 
 
 def pages(files: DataFrame, page_count: Callable[[bytes], int], start: Column, end: Column, window: int) -> DataFrame:
-    """A row for each page of files (path, content) within a range, with its window; page_count opens a file, in one Arrow stage."""
+    """A row for each page of files (path, content) within a range, with its window; page_count opens a file, in one Arrow stage.
+
+    With a column `kind`, images are one page each, and are not opened.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([page_count(x) for x in b.column(1).to_pylist()], pa.int64())], ["path", "n_pages"])
 
-    counted = files.select("path", "content").mapInArrow(run, "path string, n_pages long")
+    image = F.coalesce(F.col("kind") == "image", F.lit(False)) if "kind" in files.columns else F.lit(False)
+    counted = files.where(~image).select("path", "content").mapInArrow(run, "path string, n_pages long").unionAll(files.where(image).select("path", F.lit(1).cast("long")))
     return layout.page_windows(counted, "n_pages", start, end, window)
 
 

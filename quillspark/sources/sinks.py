@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -56,22 +57,58 @@ def zip_manifest(files: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when((F.col("offset") > ZIP_LIMIT) | (F.col("size") > ZIP_LIMIT), F.lit("archive too large")).when(F.octet_length("rel_path") > NAME_LIMIT, F.lit("name too long")))
 
 
+class _Forward:
+    """A file that cannot be sought: archives are written in one pass, with data descriptors behind the entries."""
+
+    def __init__(self, path: str):
+        self.file = open(path, "wb")  # noqa: SIM115  closed by close()
+
+    def write(self, raw) -> int:
+        return self.file.write(raw)
+
+    def flush(self) -> None:
+        self.file.flush()
+
+    def close(self) -> None:
+        self.file.close()
+
+
 def write_zips(files: DataFrame, folder: str) -> DataFrame:
-    """An archive <task_id>.zip for each task below a folder that all executors share; returns task_id, path, n_files. A task's files are one group."""
+    """An archive <task_id>.zip for each task below a folder that all executors share; returns task_id, path, n_files.
 
-    def run(table: pa.Table) -> pa.Table:
-        task = table.column("task_id")[0].as_py()
+    Rows are dealt by task and sorted, and go into the archives as they come:
+    a worker holds one Arrow batch, however large a task is. A repeated
+    attempt writes its own part file and puts it in place when it is whole.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"{task}.zip")
-        rows = sorted(zip(table.column("rel_path").to_pylist(), table.column("content").to_pylist(), strict=True))
-        with zipfile.ZipFile(f"{path}.part", "w", zipfile.ZIP_STORED) as z:
-            for name, content in rows:
+        now = out = part = z = None
+        n = 0
+
+        def finish() -> pa.RecordBatch:
+            z.close()
+            out.close()
+            path = os.path.join(folder, f"{now}.zip")
+            os.replace(part, path)
+            return pa.RecordBatch.from_arrays([pa.array([str(now)]), pa.array([path]), pa.array([n], pa.int64())], ["task_id", "path", "n_files"])
+
+        for b in batches:
+            for task, name, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if z is None or task != now:
+                    if z is not None:
+                        yield finish()
+                    now, n, part = task, 0, os.path.join(folder, f"{task}.{uuid.uuid4().hex}.part")
+                    out = _Forward(part)
+                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 if content is not None:
                     z.writestr(zipfile.ZipInfo(name), content if isinstance(content, bytes) else content.encode())
-        os.replace(f"{path}.part", path)
-        return pa.table({"task_id": [str(task)], "path": [path], "n_files": pa.array([sum(c is not None for _, c in rows)], pa.int64())})
+                    n += 1
+        if z is not None:
+            yield finish()
 
-    return files.groupBy("task_id").applyInArrow(run, "task_id string, path string, n_files long")
+    rows = files.select("task_id", "rel_path", "content").repartition("task_id").sortWithinPartitions("task_id", "rel_path")
+    return rows.mapInArrow(run, "task_id string, path string, n_files long")
 
 
 def write_documents(files: DataFrame, folder: str) -> DataFrame:

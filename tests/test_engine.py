@@ -164,9 +164,113 @@ def test_part_paths():
 
 
 def test_bad_packages(spark):
-    rows = [("a", "docx", b"no zip"), ("b", "pptx", io_queries.package({}))]
-    got = {r.file: r.error for r in ooxml.blocks(spark.createDataFrame(rows, "file string, suffix string, content binary")).collect()}
-    assert "ZIP" in got["a"] and "presentation" in got["b"]
+    whole = io_queries.xlsx_package("S")
+    torn = bytearray(whole)
+    torn[60:90] = b"\xff" * 30
+    rows = [("a", "docx", b"no zip"), ("b", "pptx", io_queries.package({})), ("c", "xlsx", bytes(torn)), ("d", "docx", b""), ("e", "xlsx", io_queries.package({"xl/workbook.xml": "<broken"}))]
+    df = spark.createDataFrame(rows, "file string, suffix string, content binary")
+    got = {r.file: r.error for r in ooxml.blocks(df).collect()}
+    assert "ZIP" in got["a"] and "presentation" in got["b"] and set(got) == set("abcde") and all(got.values())
+    assert {r.file for r in ooxml.relationships(df).where("error is not null").collect()} >= {"a", "c", "d"}
+    assert {r.file for r in ooxml.parts(df).where("error is not null").collect()} == {"a", "c", "d"}
+
+
+def test_odd_numbers_of_sheets(spark):
+    sheet = '<worksheet><sheetData><row r="1"><c r="A1"><v>no</v></c><c r="B1"><v>1e999</v></c><c r="C1"><v>2.50</v></c></row></sheetData></worksheet>'
+    raw = io_queries.package({
+        "xl/workbook.xml": f'<workbook {io_queries._NS}><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": io_queries.rels(("rId1", "worksheet", "worksheets/sheet1.xml", False)), "xl/worksheets/sheet1.xml": sheet,
+    })
+    row = ooxml.blocks(spark.createDataFrame([("a", "xlsx", raw)], "file string, suffix string, content binary")).first()
+    assert row.html == "<table><caption>S</caption><tr><td>no</td><td>1e999</td><td>2.5</td></tr></table>"
+
+
+def test_marks_of_runs_without_properties(spark):
+    body = f'<w:document {io_queries._NS}><w:body><w:p><w:r><w:b/><w:t>Bold</w:t></w:r><w:r><w:t> and </w:t></w:r><w:r><w:rPr><w:i/></w:rPr><w:t>slanted</w:t></w:r></w:p></w:body></w:document>'
+    raw = io_queries.package({"word/document.xml": body})
+    rows = ooxml.blocks(spark.createDataFrame([("a", "docx", raw)], "file string, suffix string, content binary"))
+    from quillspark.operators import office
+
+    assert office.markdown(rows).first().markdown == "**Bold** and *slanted*\n"
+
+
+def test_control_characters_are_text(spark):
+    span = F.transform(text.inline_spans(F.col("t")), lambda s: F.concat(s["type"], F.lit("|"), s["content"]))
+    assert one(spark, span, t="a\u0001b \\(x\\) c\u0001 \\(y\\)") == ["text|a\u0001b ", "inline_equation|x", "text| c\u0001 ", "inline_equation|y"]
+    assert one(spark, tables.otsl_to_html(F.col("t")), t="<fcel>a\u0001b<fcel>c<nl>") == "<table><tr><td>a\u0001b</td><td>c</td></tr></table>"
+
+
+def test_request_bodies(spark):
+    df = spark.createDataFrame([("table", b"png"), ("text", None)], "kind string, png binary").coalesce(1)
+    bodies = [json.loads(r.b) for r in df.select(model_stage.request_body(F.col("kind"), F.lit('m"1'), F.col("png"), F.lit(7)).alias("b")).collect()]
+    assert bodies[0]["messages"] == [{"role": "system", "content": model_stage.SYSTEM_PROMPT}, {"role": "user", "content": [{"type": "image_url", "image_url": {"url": "data:image/png;base64,cG5n"}}, {"type": "text", "text": "\nTable Recognition:"}]}]
+    assert bodies[1]["messages"][1]["content"] == [{"type": "text", "text": "\nText Recognition:"}] and bodies[0]["model"] == 'm"1' and bodies[0]["priority"] == 7
+
+
+def test_http_transport():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Server(BaseHTTPRequestHandler):
+        def answer(self, status, raw):
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def do_GET(self):
+            self.answer(200, b'{"data":[{"id":"one"}]}')
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            self.answer(503 if body == b"busy" else 200, b'{"error":{"message":"later","type":"server_error"}}' if body == b"busy" else b"got " + body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    call = model_stage.http_transport(url, "key", 5)
+    assert call("hello") == "got hello" and model_stage.model_name(url) == "one" and model_stage.model_name(url, " mine ") == "mine"
+    with pytest.raises(model_stage.Failed) as e:
+        call("busy")
+    assert e.value.status == 503 and e.value.again() and str(e.value) == "later"
+    server.shutdown()
+    assert model_stage.model_name(url) == "one"  # asked for once
+    with pytest.raises(model_stage.Failed) as e:
+        model_stage.http_transport("http://127.0.0.1:1", seconds=2)("x")
+    assert e.value.status is None
+
+
+def test_first_failure_ends_the_job(spark):
+    df = spark.createDataFrame([(1, "bad")], "i int, body string")
+    with pytest.raises(Exception, match="no"):
+        model_stage.send(df, Flaky(0), fail_fast=True).collect()
+    assert model_stage.send(df, Flaky(0), most_in_flight=8).count() == 1
+
+
+def test_long_style_chains_and_cycles(spark):
+    from quillspark.operators import office
+
+    rows = [(f"s{i}", f"s{i + 1}" if i < 99 else None, 3 if i == 99 else None, i == 99) for i in range(100)] + [("x", "y", None, False), ("y", "x", 2, True), ("lost", "nowhere", None, False)]
+    got = {r.style_id: (r.level, r.is_list) for r in office.resolve_styles(spark.createDataFrame(rows, "style_id string, based_on string, level int, is_list boolean")).collect()}
+    assert got == {f"s{i}": (3, True) for i in range(100)} | {"x": (2, True), "y": (2, True), "lost": (None, False)}
+
+
+def test_folders_of_clusters(spark):
+    from quillspark import session
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(Session)
+    Session.conf["spark.master"] = "local[2]"
+    assert session.shared_folder(Session) == session.shared_folder(Session)
 
 
 def test_pages_decorations_and_repeated_cells():
@@ -203,8 +307,8 @@ def test_sinks(spark, tmp_path):
         infos = z.infolist()
         assert [i.filename for i in infos] == ["a/vlm/a.md", "a/vlm/a_middle.json"] and all(i.compress_type == zipfile.ZIP_STORED for i in infos)
         assert z.read("a/vlm/a.md").decode() == "# é"
-    manifest = {r.rel_path: (r.size, r.crc32) for r in sinks.zip_manifest(arts).collect()}
-    assert manifest == {i.filename: (i.file_size, i.CRC) for i in infos}
+    manifest = {r.rel_path: (r.size, r.crc32, r.offset) for r in sinks.zip_manifest(arts).collect()}
+    assert manifest == {i.filename: (i.file_size, i.CRC, i.header_offset) for i in infos}
     body = json.loads(sinks.result_json(results, "vlm", "1", {"markdown": True}).first().body)
     assert body == {"backend": "vlm", "version": "1", "results": {"a": {"md_content": "# é"}, "b": {"md_content": None}}}
     assert sinks.write_documents(arts, str(tmp_path / "d")).count() == 2 and (tmp_path / "d/a/vlm/a.md").read_text() == "# é"
