@@ -191,6 +191,26 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Rows of a key that one task may get; more are spread. Keys that are spread, at most.
+HOT_ROWS, HOT_KEYS = 16_384, 65_536
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, salt: Column) -> DataFrame:
+    """rows with the row of counted (one for each key, n: the rows that have it) of their key, null if none.
+
+    Keys with more than HOT_ROWS rows, or than their share of HOT_KEYS, are
+    spread over as many salts as that takes; these keys are HOT_KEYS at most,
+    which is the bound of what is broadcast.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    salts = F.ceil(F.col("n") / most).cast("int")
+    hot = counted.where(F.col("n") > most).select(key, salts.alias("__salts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.coalesce(F.pmod(salt, F.col("__salts")), F.lit(0)).cast("int")).drop("__salts")
+    spread = counted.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return dealt.join(spread, [key, "__salt"], "left").drop("__salt")
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text", "lang", "source", "n_chars")))
 

@@ -39,7 +39,6 @@ PART = 1024
 ROWS_80 = 10
 #: Of the 2 * ROWS half-keys of two linked documents about 11.6 agree, at 0.8 12.8 of 20; fewer than this has probability 1e-5.
 AGREE = 4
-SALTS = 16
 _FACTORS = np.random.default_rng(85).integers(1, 2**63, 2 * ROWS_80 * PAIR, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -180,12 +179,6 @@ def open_buckets(rows: DataFrame) -> DataFrame:
     return common.saved(rows.join(several, "key"))
 
 
-def _at_key(rows: DataFrame, small: DataFrame) -> DataFrame:
-    """rows with the one row of small that has their key, if any; a key's rows are spread over a few salts."""
-    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"], "left").drop("salt")
-
-
 def joining_links(node: np.ndarray, component: np.ndarray, size: np.ndarray, items: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links (a, b) that join the components of a crowd as far as any of its links do: all its sets are compared.
 
@@ -268,7 +261,7 @@ def crowd_links(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     links = []
     while not rows.isEmpty():
         total = common.saved(rows.groupBy("key").agg(F.count("*").alias("n")))
-        sized = _at_key(rows, total)
+        sized = rows.join(total, "key")
         parts = F.lit(max(1, total.where(F.col("n") <= CROWD).agg(F.sum("n")).first()[0] or 0) // (2 * CROWD) + 1)
         small = sized.where(F.col("n") <= CROWD).select(F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), "key", "node", "component", "size", "items")
         links.append(common.saved(small.groupBy("part").applyInArrow(lambda t: compare_crowds(t, percent), "a long, b long")))
@@ -278,11 +271,11 @@ def crowd_links(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame
         counts = rows.select("key", "n", F.explode("items").alias("item")).groupBy("key", "n", "item").agg(F.count("*").alias("c")).where("c > 1")
         counts = common.saved(counts.select("key", "item", F.least("c", F.col("n") - F.col("c")).alias("c"), (2 * F.col("c") > F.col("n")).alias("most")))
         major = counts.where("most").groupBy("key").agg(F.collect_list("item").alias("v"))
-        rows = _at_key(rows, major).withColumn("v", F.coalesce("v", F.array().cast("array<long>")))
+        rows = rows.join(major, "key", "left").withColumn("v", F.coalesce("v", F.array().cast("array<long>")))
         rows = rows.select("key", "node", "component", "size", F.concat(F.array_except("items", "v"), F.array_except("v", "items")).alias("items"))
         rows = common.saved(rows.withColumn("g", more * F.size("items") - less * F.col("size")))
         least = common.saved(rows.groupBy("key").agg(F.min(F.struct("g", "node", "component")).alias("low")))
-        led = _at_key(rows, least)
+        led = rows.join(least, "key")
         links.append(common.saved(led.where("g + low.g <= 0 and node != low.node and component != low.component").select(F.col("node").alias("a"), F.col("low.node").alias("b"))))
         need = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("low.g")) / (2 * more)), F.size("items") - F.floor(less * F.col("size") / percent))
         ranked = led.withColumn("take", F.size("items") - need + 1).where("take > 0").select("key", "node", "component", "take", F.explode("items").alias("item"))
@@ -309,9 +302,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
     common.arrow_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signs = common.saved(docs.mapInArrow(partial(_signatures, halves_of=2 * rows), "doc_id long, n_shingles long, digest binary, halves array<long>"))
-    nodes = common.saved(signs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves")))
+    nodes = common.saved(signs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves"), F.count("*").alias("n")))
 
-    keys = nodes.select(F.posexplode(_tables(rows)).alias("table", "key"), "node")
+    # a task gets a few thousand nodes, as each becomes rows * rows keys
+    dealt = nodes.select("node", "halves").repartition(max(1, nodes.count() // 4096))
+    keys = dealt.select(F.posexplode(_tables(rows)).alias("table", "key"), "node")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     members = common.saved(keys.join(buckets, "key"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest")
@@ -342,10 +337,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
     if not more.isEmpty():
         groups = components(links.unionAll(more))
 
-    # every document gets the component of its node; copies of one text are spread over a few salts
-    found = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    spread = signs.select("doc_id", "n_shingles", F.coalesce("digest", F.encode(F.concat(F.lit("-"), F.col("doc_id").cast("string")), "utf-8")).alias("digest"), F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int").alias("salt"))
-    out = spread.join(found, ["digest", "salt"], "left")
+    # every document gets the component of its node
+    found = nodes.join(groups, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
+    spread = signs.select("doc_id", "n_shingles", F.coalesce("digest", F.encode(F.concat(F.lit("-"), F.col("doc_id").cast("string")), "utf-8")).alias("digest"))
+    out = common.join_counted(spread, found, "digest", F.xxhash64("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -27,7 +27,6 @@ KINDS = ("assign", "access", "hex", "opaque")
 _NAMES = re.compile(r"passw|secret|token|api_?key")
 #: Owners from which on a value counts as a widely copied example.
 COMMON_OWNERS = 3
-SALTS = 16
 
 
 def looks_random(value: str) -> bool:
@@ -74,13 +73,11 @@ def scan(docs: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, source string, print long, found array<struct<kind:int,start:int,end:int,value:binary>>")
     found = common.saved(found.withColumn("row", F.monotonically_increasing_id()))  # small: spans and hashes, no text
     each = found.select("doc_id", "source", "print", "row", F.explode_outer("found").alias("f")).select("doc_id", "source", "print", "row", "f.*")
-    owned = each.where("value is not null").select("value", F.coalesce("source", F.lit("")).alias("owner")).distinct()
-    owners = owned.groupBy("value").agg(F.count("*").alias("owners"))
-    # rows without a value spread by themselves; the occurrences of a value by a few salts
-    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
-    each = each.withColumn("salt", salt).withColumn("key", F.coalesce("value", F.encode(F.col("row").cast("string"), "utf-8")))
-    owners = owners.select(F.col("value").alias("key"), "owners", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = each.join(owners, ["key", "salt"], "left").withColumn("live", F.col("owners") < common_owners)
+    owned = each.where("value is not null").groupBy("value", F.coalesce("source", F.lit("")).alias("owner")).agg(F.count("*").alias("n"))
+    owners = owned.groupBy(F.col("value").alias("key")).agg(F.count("*").alias("owners"), F.sum("n").alias("n"))
+    # rows without a value spread by themselves
+    each = each.withColumn("key", F.coalesce("value", F.encode(F.col("row").cast("string"), "utf-8")))
+    joined = common.join_counted(each, common.saved(owners), "key", F.xxhash64("row")).withColumn("live", F.col("owners") < common_owners)
     span = F.when(F.col("kind").isNotNull() & ((F.col("kind") < 3) | F.col("live")), F.struct("start", "kind", "end", "owners", "live"))
     return joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("print").alias("print"), F.array_sort(F.collect_list(span)).alias("spans"))
 

@@ -6,6 +6,11 @@ estimated well are inner products. Codes are chosen to minimise
 which moves the products with near queries, is penalised ETA-fold. Codes have
 four bits for each pair of dimensions, two in a byte; queries are scored with a
 table of 256 products for each byte, and the best are measured exactly.
+
+Vectors are dealt once, to the cell of their nearest centre; a query goes to the
+PROBES nearest cells. Up to PROBES * CELL vectors these are all cells. Cells are
+divided into blocks of bounded size, each scanned in one task. Equal vectors are
+one row with the smallest of their ids, so no number of copies makes a block hot.
 """
 
 from __future__ import annotations
@@ -17,10 +22,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Weight of the parallel residual; vectors that the codebooks are fitted on, at most; passes of fitting.
+#: Weight of the parallel residual; vectors that codebooks and cells are fitted on, at most; passes of fitting.
 ETA, SAMPLE, PASSES = 4.0, 4096, 3
-#: Vectors of a data block and queries of a query block, about; candidates of a block that are measured exactly.
-BLOCK, QUERIES, RERANK = 32_768, 1024, 200
+CELL_SAMPLE, CELL_PASSES = 16_384, 8
+#: Vectors of a cell, about; most cells; cells that a query is compared with.
+CELL, MOST_CELLS, PROBES = 16_384, 4096, 64
+#: Vectors and bytes of a block, at most; queries of a part, about; candidates of a block that are measured exactly.
+BLOCK, BLOCK_BYTES, QUERIES, RERANK = 32_768, 64 << 20, 16_384, 512
 
 
 class Codebooks:
@@ -104,64 +112,116 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), v.alias("v")).where("vec_id is not null and v is not null").where(fine)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def centres(x: np.ndarray, n: int, seed: int = 3) -> np.ndarray:
+    """n centres of a sample by Lloyd's iteration."""
+    c = x[np.random.default_rng(seed).permutation(len(x))[:n]].copy()
+    for _ in range(CELL_PASSES if len(c) > 1 else 0):
+        near = nearest(x, c, 1)[:, 0]
+        count = np.bincount(near, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        c[count > 0] = total[count > 0] / count[count > 0, None]
+    return c
+
+
+def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest centres of each row."""
+    n, out = min(n, len(c)), []
+    for i in range(0, len(x), 1024):
+        away = (c**2).sum(1) - 2 * x[i : i + 1024] @ c.T
+        out.append(np.argpartition(away, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(len(c)), (len(away), 1)))
+    return np.concatenate(out) if out else np.zeros((0, n), np.int64)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest vectors; score is the Euclidean distance in double precision.
 
     vectors, queries: vec_id and embedding. Null, zero, or non-finite vectors,
     null ids, and vectors that have not the most frequent number of dimensions
     take no part. A query's own id is not among its candidates. Ties: smaller
-    vec_id first, also among thousands of equal vectors. Repeated rows are
-    candidates each. Fewer than k candidates: all. Empty table: empty result.
-    Codebooks are fitted on at most SAMPLE vectors (those of smallest id hash);
-    every vector is coded and scanned. Other columns have no effect.
+    vec_id first, also among any number of equal vectors. Repeated rows are
+    candidates each; repeated queries are one. Fewer than k candidates: all.
+    Empty table: empty result. Codebooks are fitted on at most SAMPLE vectors,
+    cells on CELL_SAMPLE (those of smallest id hash); every vector is coded and
+    in a cell. Other columns have no effect. cells: their number, by default
+    one for CELL vectors.
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors), usable(queries)
     top = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(100).collect()
-    dim, total = (top[0].d, sum(r.n for r in top)) if top else (1, 0)
-    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    books = Codebooks(np.array([r.v for r in sample], np.float64).reshape(-1, dim))
-    blocks = max(24, total // BLOCK)
-    query_blocks = max(1, asked.count() // QUERIES)
+    dim, total = (top[0].d, top[0].n) if top else (1, 0)
+    rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim).distinct()
+    cells = min(MOST_CELLS, cells or max(1, total // CELL))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE if cells == 1 else CELL_SAMPLE).collect()
+    sample = np.array([r.v for r in sample], np.float64).reshape(-1, dim)
+    books, centre = Codebooks(sample[:SAMPLE]), centres(sample, cells) if len(sample) else np.zeros((1, dim))
+    size = max(1, min(BLOCK, BLOCK_BYTES // (8 * dim), max(1024, total // 48)))
     common.arrow_batches(spark)
 
-    def pack_rows(batches):
+    # equal vectors as one row: the k + 1 smallest ids (one may be the query's own), each with its number of rows
+    held = rows.groupBy("v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    held = held.withColumn("place", first).where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
+
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dim)
+
+    def deal(batches):
+        for b in batches:
+            x = matrix(b.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(nearest(x, centre, 1)[:, 0], pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), b.column(1)], ["cell", "v", "ids"])
+
+    def aim(batches):
         for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in flat], pa.binary())], ["vec_id", "v"])
+            x = matrix(b.column(1))
+            near = nearest(x, centre, probes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(near.tolist(), pa.list_(pa.int32()))], ["vec_id", "v", "cells"])
 
     def scan(data: pa.Table, asked: pa.Table) -> pa.Table:
-        ids = data.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], _matrix(data.column("v"), dim)[order]
+        # in the order of ids, so that ties of estimates do not depend on how rows arrive
+        ids = data.column("ids").combine_chunks()
+        begin, flat = ids.offsets.to_numpy() - (ids.offsets[0].as_py() if len(ids) else 0), ids.flatten()
+        own_id, own_n = flat.field("vec_id").to_numpy(), flat.field("n").to_numpy()
+        order = np.argsort(own_id[begin[:-1]], kind="stable") if len(ids) else np.zeros(0, np.int64)
+        x = _matrix(data.column("v"), dim)[order]
         codes = books.pack(x)
         half = ((x**2).sum(1) / 2).astype(np.float32)
         out_q, out_v, out_s = [], [], []
         for q_id, q in zip(asked.column("vec_id").to_pylist(), _matrix(asked.column("v"), dim), strict=True):
-            if not ids.size:
+            if not order.size:
                 break
             score = half.copy()
             for j, t in enumerate(books.tables(q)):
                 score -= t[codes[:, j]]
-            own = ids == q_id
-            score[own] = np.inf
-            n = min(RERANK, ids.size) - 1
-            near = np.flatnonzero((score <= np.partition(score, n)[n]) & ~own)
+            n = min(RERANK, order.size) - 1
+            near = np.flatnonzero(score <= np.partition(score, n)[n])
             exact = np.sqrt(((x[near] - q) ** 2).sum(1))
-            best = np.lexsort((ids[near], exact))[:k]
-            out_q.append(np.full(best.size, q_id))
-            out_v.append(ids[near][best])
-            out_s.append(exact[best])
+            # one more than k, as one may have the query's own id only
+            best = near[np.argsort(exact, kind="stable")[: k + 1]] if near.size <= k + 1 else near[np.flatnonzero(exact <= np.partition(exact, k)[k])]
+            away = np.sqrt(((x[best] - q) ** 2).sum(1))
+            a, b = begin[order[best]], begin[order[best] + 1]
+            at = common.ranges(a, b - a)
+            v, s, times = own_id[at], np.repeat(away, b - a), own_n[at]
+            times[v == q_id] = 0
+            v, s = np.repeat(v, times), np.repeat(s, times)
+            kept = np.lexsort((v, s))[:k]
+            out_q.append(np.full(kept.size, q_id))
+            out_v.append(v[kept])
+            out_s.append(s[kept])
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
         return pa.table([join(out_q, pa.int64()), join(out_v, pa.int64()), join(out_s, pa.float64())], ["query_id", "vec_id", "score"])
 
-    packed = rows.select("vec_id", "v").mapInArrow(pack_rows, "vec_id long, v binary")
-    data = packed.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"))
-    data = data.select(F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("part"), "*") if query_blocks > 1 else data.withColumn("part", F.lit(0))
-    asked = asked.select("vec_id", "v").mapInArrow(pack_rows, "vec_id long, v binary").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int"))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = data.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    data = common.saved(held.select("v", "ids").mapInArrow(deal, "cell int, v binary, ids array<struct<vec_id:long,n:int>>"))
+    aimed = asked.select("vec_id", "v").mapInArrow(aim, "vec_id long, v binary, cells array<int>")
+    # at most MOST_CELLS rows
+    blocks = data.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    parts = max(1, asked.count() * min(probes, cells) // cells // QUERIES)
+    data = data.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("cell", "block", "part", "v", "ids")
+    aimed = aimed.select("vec_id", "v", F.explode("cells").alias("cell")).join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    aimed = aimed.select("cell", "block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", "v")
+    key = ("cell", "block", "part")
+    found = data.groupBy(*key).cogroup(aimed.groupBy(*key)).applyInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

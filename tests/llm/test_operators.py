@@ -552,6 +552,41 @@ def test_neighbours(spark):
     assert len(few) == 3 and sorted(r["rank"] for r in few) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("cells", [None, 64])
+def test_recall_where_codes_decide(spark, tmp_path, cells):
+    """60,000 clustered vectors in blocks of more than twice as many as are measured exactly; with 64 cells, 16 of which are looked at."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(6)
+    middle = rng.normal(size=(100, 32))
+    x = (middle[rng.integers(0, 100, 60_000)] + 0.4 * rng.normal(size=(60_000, 32))).astype(np.float32)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 32).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(60_000)), "embedding": flat}), f"{tmp_path}/e.parquet", row_group_size=15_000)
+    df = spark.read.parquet(f"{tmp_path}/e.parquet")
+    assert 60_000 // 48 > 2 * vector_search.RERANK
+    got = collections.defaultdict(dict)
+    for r in vector_search.search(df, df.where("vec_id % 600 = 0"), cells=cells, probes=16).collect():
+        got[r.query_id][r.vec_id] = r.score
+    wide, found = x.astype(np.float64), 0
+    for q, own in got.items():
+        d = np.sqrt(((wide - wide[q]) ** 2).sum(1))
+        assert all(abs(s - d[v]) < 1e-12 for v, s in own.items()) and q not in own and len(own) == 10
+        d[q] = np.inf
+        found += len(set(np.argsort(d)[:10].tolist()) & set(own))
+    assert len(got) == 100 and found >= 900
+
+
+def test_copies_of_vectors(spark):
+    """Repeated rows count each, a query's own id not at all, whatever number of rows has it."""
+    rows = [(i % 40, [1.0, 2.0]) for i in range(400)] + [(100, [1.0, 2.0])] * 30 + [(200 + i, [1.0, 2.5 + i]) for i in range(3)] + [(0, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in vector_search.search(df, df.where("vec_id = 100")).collect())
+    assert got == [(i + 1, 0, 0.0) for i in range(10)]
+    one = df.where("vec_id in (0, 100, 200)").where("embedding[0] = 1").dropDuplicates()
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.search(one, one).collect())
+    assert got == [(0, 1, 100, 0.0), (0, 2, 200, 0.5), (100, 1, 0, 0.0), (100, 2, 200, 0.5), (200, 1, 0, 0.5), (200, 2, 100, 0.5)]
+
+
 # -- registered queries and the pipeline ------------------------------------------------------------------------------
 
 
