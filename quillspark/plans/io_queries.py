@@ -168,10 +168,51 @@ STATES_SQL = """with e as (select user_id as task_id, event_id as seq, ['pending
 m as (select *, min(case when status in ('completed', 'failed') then seq end) over (partition by task_id) as done from e), v as (select * from m where done is null or seq <= done)
 select task_id, arg_max(status, seq) as status, min(seq) as created_at, min(case when status = 'processing' then seq end) as started_at, min(case when status in ('completed', 'failed') then seq end) as completed_at from v group by 1"""
 
+_NAMED = "select n_nationkey as k, n_name as n, 'f' || n_nationkey || '.docx' as d, 'f' || n_nationkey || '.pptx' as p, 'f' || n_nationkey || '.xlsx' as x from nation"
+_MD = "replace(replace(n, '_', chr(92) || '_'), chr(92), chr(92) || chr(92))"  # escaped for Markdown, then for JSON
+_PATH = f"'images/' || sha256('data:image/png;base64,' || base64(from_hex('{PNG.hex()}'))) || '.png'"
+_SHEET = """'<table><caption>' || n || '</caption><tr><td colspan=' || chr(92) || '"2' || chr(92) || '">head</td></tr><tr><td>a&lt;b</td><td>2</td></tr></table>'"""
+CONTENT_LIST = f"""with n as ({_NAMED})
+select d as file, 0 as idx, '{{"type":"text","text":"' || {_MD} || '","text_level":1,"page_idx":0}}' as item from n
+union all select d, 1, '{{"type":"text","text":"**Bold** & plain [<u>link</u>](http://a/b%20c)$x+1$","page_idx":0}}' from n
+union all select d, 2, '{{"type":"table","table_caption":[],"table_body":"<table><tr><td>cell ' || k || '</td><td></td></tr></table>","page_idx":0}}' from n
+union all select d, 3, '{{"type":"list","list_items":["one","two"],"page_idx":0}}' from n
+union all select d, 4, '{{"type":"image","img_path":"' || {_PATH} || '","image_path":"' || {_PATH} || '","image_caption":[],"image_footnote":[],"content":"image","page_idx":0}}' from n
+union all select p, 0, '{{"type":"text","text":"' || {_MD} || '","text_level":1,"page_idx":0}}' from n
+union all select p, 1, '{{"type":"text","text":"Notes: first second","page_idx":0}}' from n
+union all select p, 2, '{{"type":"text","text":"upper ' || {_MD} || '","text_level":1,"page_idx":1}}' from n
+union all select p, 3, '{{"type":"text","text":"lower","page_idx":1}}' from n
+union all select x, 0, '{{"type":"table","table_caption":[],"table_body":"' || {_SHEET} || '","page_idx":0}}' from n"""
+_TITLE = """'{"type":"title","content":{"title_content":[{"type":"text","content":"' || """
+CONTENT_LIST_V2 = f"""with n as ({_NAMED})
+select d as file, 0 as idx, {_TITLE} n || '"}}],"level":1}}}}' as item from n
+union all select d, 1, '{{"type":"paragraph","content":{{"paragraph_content":[{{"type":"text","content":"Bold","style":["bold"]}},{{"type":"text","content":" & plain "}},{{"type":"hyperlink","content":"link","url":"http://a/b c","style":["underline"]}},{{"type":"equation_inline","content":"x+1"}}]}}}}' from n
+union all select d, 2, '{{"type":"table","content":{{"table_caption":[],"html":"<table><tr><td>cell ' || k || '</td><td></td></tr></table>","table_type":"simple_table","table_nest_level":1}}}}' from n
+union all select d, 3, '{{"type":"list","content":{{"list_type":"text_list","attribute":"unordered","list_items":[{{"item_type":"text","ilevel":0,"prefix":"-","item_content":[{{"type":"text","content":"one"}}]}},{{"item_type":"text","ilevel":0,"prefix":"-","item_content":[{{"type":"text","content":"two"}}]}}]}}}}' from n
+union all select d, 4, '{{"type":"image","content":{{"image_source":{{"path":"' || {_PATH} || '"}},"image_caption":[]}}}}' from n
+union all select p, 0, {_TITLE} n || '"}}],"level":1}}}}' from n
+union all select p, 1, '{{"type":"paragraph","content":{{"paragraph_content":[{{"type":"text","content":"Notes: first second"}}]}}}}' from n
+union all select p, 2, {_TITLE} 'upper ' || n || '"}}],"level":1}}}}' from n
+union all select p, 3, '{{"type":"paragraph","content":{{"paragraph_content":[{{"type":"text","content":"lower"}}]}}}}' from n
+union all select x, 0, '{{"type":"table","content":{{"table_caption":[],"html":"' || {_SHEET} || '","table_type":"complex_table","table_nest_level":1}}}}' from n"""
+RELATIONSHIPS = f"""with n as ({_NAMED}), r(s, base_part, rel_id, target, target_part) as (values ('d', 'word/document.xml', 'rId1', 'media/i.png', 'word/media/i.png'), ('d', 'word/document.xml', 'rId2', 'http://a/b c', null),
+('p', 'ppt/presentation.xml', 'rId1', 'slides/slide1.xml', 'ppt/slides/slide1.xml'), ('p', 'ppt/presentation.xml', 'rId2', 'slides/slide2.xml', 'ppt/slides/slide2.xml'), ('p', 'ppt/slides/slide2.xml', 'rId1', '../notesSlides/n1.xml', 'ppt/notesSlides/n1.xml'),
+('x', 'xl/workbook.xml', 'rId1', 'worksheets/sheet1.xml', 'xl/worksheets/sheet1.xml'), ('x', 'xl/workbook.xml', 'rId2', 'worksheets/sheet2.xml', 'xl/worksheets/sheet2.xml'))
+select case s when 'd' then d when 'p' then p else x end as file, base_part, rel_id, target, target_part from n, r"""
+# a docx has a document, an image and, as each package, a list of types; relationship parts have a type of their own that is not declared
+PARTS = "select content_type, count(*) * m as n from nation, (values ('image/png', 1), (null, 4), ('application/xml', 12)) t(content_type, m) group by content_type, m"
+RESULT_JSON = """with d as (select doc_id // 4 as task_id, 'd' || doc_id as stem, '"d' || doc_id || '":{"md_content":' || to_json(text) || ',"middle_json":' || to_json('{"lang":"' || lang || '"}') || '}' as one from documents)
+select task_id, '{"backend":"vlm","version":"1.0.0","results":{' || string_agg(one, ',' order by stem) || '}}' as body from d group by task_id"""
+
 QUERIES = {f.__name__: f for f in (ooxml_blocks, ooxml_markdown, ooxml_content_list, ooxml_content_list_v2, ooxml_parts, ooxml_relationships, zip_manifest, result_json, original_names, stream_ingest, task_states)}
 SQL = {
     "ooxml_blocks": BLOCKS_SQL,
     "ooxml_markdown": MARKDOWN_SQL,
+    "ooxml_content_list": CONTENT_LIST,
+    "ooxml_content_list_v2": CONTENT_LIST_V2,
+    "ooxml_relationships": RELATIONSHIPS,
+    "ooxml_parts": PARTS,
+    "result_json": RESULT_JSON,
     "zip_manifest": ZIP_SQL,
     "original_names": "select c_custkey, case c_custkey % 5 when 0 then 's' || c_custkey || '_origin.pdf' when 1 then 's' || c_custkey || '_origin.pdf' when 2 then 's' || c_custkey || '_origin.docx' when 3 then 's' || c_custkey || '_origin.xlsx' end as name from customer",
     "stream_ingest": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",

@@ -507,4 +507,6 @@ SQL = {
     "upload_zip": f"select u.task_id, cast(row_number() over (partition by u.task_id order by u.idx) - 1 as int) as place, g.stem, g.suffix from ({UPLOADS}) u join ({GATE}) g on g.idx = u.idx",
     "image_formats": "select doc_id, case when f = 'svg' then 'svg' when f is null or (doc_id % 3 = 0 and f <> 'png') or doc_id % 7 = 3 then null else f end as format from (select doc_id, ['jpeg', 'png', 'gif', 'bmp', 'webp', 'svg', null][doc_id % 7 + 1] as f from documents) q",
 }
+_R = lambda c: f"cast(round(cast({c} as double), 3) as varchar)"
+SQL["model_json"] = f"""select doc, page_idx, block_index, '{{"type":"' || type || '","bbox":[' || {_R("x1")} || ',' || {_R("y1")} || ',' || {_R("x2")} || ',' || {_R("y2")} || '],"angle":' || coalesce(angle, 0) || coalesce(',"merge_prev":' || merge_prev, '') || '}}' as item from ({PARSED}) p"""
 SQL["type_histogram"] = f"""select type, count(*) as n, cast(sum(n_spans) as bigint) as n_spans from (select {_TYPE} as type, case when type not in ('image', 'table', 'chart', 'equation', 'image_block') and contains(content, chr(92) || '(') then 4 else 1 end as n_spans from ({inputs.BLOCKS}) b where type <> 'equation_block') q group by 1"""

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -333,3 +334,53 @@ def test_result_json_has_whole_texts(spark, data_dir):
     out = io_queries.result_json(spark, data_dir)
     texts = spark.read.parquet(f"{data_dir}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
     assert sum(len(str(v)) for r in out.collect() for v in r) >= texts
+
+
+def test_html_blocks_against_a_parser(spark, data_dir):
+    """Headings, paragraphs and list items as a real parser of HTML sees them."""
+    from html.parser import HTMLParser
+
+    class Parser(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.found, self.open = [], None
+
+        def close_block(self):
+            if self.open:
+                kind, parts = self.open
+                content = re.sub(r"[ \t\n\x0b\f\r]+", " ", html_text("".join(parts))).strip()
+                if content:
+                    self.found.append((kind, content))
+            self.open = None
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("h1", "p", "li"):
+                self.close_block()
+                self.open = ({"h1": "title", "li": "list"}.get(tag, "text"), [])
+
+        def handle_endtag(self, tag):
+            if tag in ("h1", "p", "li"):
+                self.close_block()
+
+        def handle_data(self, data):
+            if self.open:
+                self.open[1].append(data)
+
+        def handle_entityref(self, name):
+            self.handle_data(f"&{name};")
+
+        def handle_charref(self, name):
+            self.handle_data(f"&#{name};")
+
+    def html_text(s):
+        return s.replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("&amp;", "&")
+
+    from quillspark.plans import text_queries
+
+    got = {}
+    for r in text_queries.html_blocks(spark, data_dir).orderBy("page_id", "pos").collect():
+        got.setdefault(r.page_id, []).append((r.type, r.content))
+    for r in spark.read.parquet(f"{data_dir}/pages.parquet").collect():
+        parser = Parser()
+        parser.feed(r.html)
+        assert got.get(r.page_id, []) == parser.found, r.page_id
