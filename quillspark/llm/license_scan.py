@@ -87,6 +87,15 @@ _CREATIVE = "this work is licensed under {} creative commons {} 4.0 internationa
 #: Sentences that only standard texts have, by identifier, and their rules.
 MORE_SENTENCES = {"agpl-later": _AGPL}
 MORE_RULES = (("AGPL-3.0-or-later", "copyleft", ("agpl-later",)),)
+#: Licences that a line with an SPDX identifier may name. Fixed values.
+SPDX = {
+    "permissive": "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC Zlib 0BSD Unlicense CC0-1.0 CC-BY-4.0 BSL-1.0 Python-2.0".split(),
+    "copyleft": "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 CC-BY-SA-4.0".split(),
+    "restricted": "CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 SSPL-1.0 BUSL-1.1".split(),
+}
+#: Sentences of one line, which are never wrapped.
+LINES = {f"spdx-{n.lower()}": f"spdx-license-identifier {n.lower()}" for names in SPDX.values() for n in names}
+MORE_RULES += tuple((n, kind, (f"spdx-{n.lower()}",)) for kind, names in SPDX.items() for n in names)
 #: Full wordings (normalised; * stands for 1 to 12 words) and the identifiers that they are read as.
 FORMS = (
     (_RIGHTS.format(SENTENCES["mit-grant"]), ("mit-grant",)),
@@ -141,6 +150,7 @@ def _sequence(text: Column) -> Column:
     sentences = SENTENCES | MORE_SENTENCES
     for wording, ids in (*FORMS, *((s, (i,)) for i, s in sentences.items())):
         plain = F.regexp_replace(plain, F.lit(_wrapped(wording)), F.lit("\n".join(["", *(sentences[i] for i in ids), ""])))
+    sentences |= LINES
     by = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, f"<{i}>")])
     known = F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s.isin(*sentences.values()))
     sequence = F.array_join(F.transform(known, lambda s: F.try_element_at(by, s)), "")

@@ -161,6 +161,14 @@ def test_standard_license_texts(spark):
     rows = [(i, name, t) for i, (name, t) in enumerate([*texts.items(), *flat])]
     got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()
     assert [(r.name, r.licenses, r.n_matches) for r in got] == [(r.name, r.name, 1) for r in got]
+    lines = [(i, f"{before}SPDX-License-Identifier: {name}{after}\nint x;", name, kind) for i, (name, kind, before, after) in enumerate((n, k, *c) for k, ns in license_scan.SPDX.items() for n, c in zip(ns, itertools.cycle((("// ", ""), ("/* ", " */"), ("# ", ""), ("", "."))), strict=False))]
+    got = license_scan.license_scan(spark.createDataFrame(lines, "doc_id long, text string, name string, kind string")).collect()
+    assert all((r.licenses, r.license_class) == (r.name, r.kind) for r in got)
+    other = {"ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free.", "BSD-2-Clause": BSD.partition("3. ")[0], "CC-BY-SA-4.0": "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License."}
+    got = license_scan.license_scan(spark.createDataFrame([(n, t) for n, t in other.items()], "name string, text string")).collect()
+    assert [(r.name, r.licenses) for r in got] == [(r.name, r.name) for r in got]
+    odd = spark.createDataFrame([(1, f"{MIT}\n" + "word " * 50_000), (1, MIT), (1, MIT), (None, "MIT"), (None, None)], "doc_id long, text string").withColumn("licenses", F.lit("mine")).withColumn("key", F.lit("mine"))
+    assert sorted((str(r.doc_id), r.licenses, r.key) for r in license_scan.license_scan(odd).collect()) == [("1", "MIT", "mine")] * 3 + [("None", "", "mine")] * 2
     apart = "Released under\n\nthe MIT License."
     assert license_scan.license_scan(spark.createDataFrame([(1, apart)], "doc_id long, text string")).first().licenses == ""
 
