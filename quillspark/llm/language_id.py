@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -100,7 +100,7 @@ def train(labelled: DataFrame, length: int = LENGTH) -> dict[str, list[int]]:
     common.arrow_batches(labelled.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in common.slices(whole, "text")):
+        for batch in (part for whole in batches for part in common.slices(whole, "text", 1 << 19)):
             lang = batch.column(1).to_pylist()
             for name in dict.fromkeys(lang):
                 pick = pa.array([x == name for x in lang])
@@ -110,20 +110,13 @@ def train(labelled: DataFrame, length: int = LENGTH) -> dict[str, list[int]]:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * key.size, pa.string()), pa.array(g.keys(key)), pa.array(total)], ["lang", "gram", "n"])
 
     rows = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
-    try:
-        found: dict[str, list[int]] = {}
-        names = [r.lang for r in counts.select("lang").distinct().collect()]
-        tops = [counts.where(F.col("lang") == x).orderBy(F.desc("n"), "gram").limit(length) for x in sorted(names)]
-        if tops:
-            union = tops[0]
-            for x in tops[1:]:
-                union = union.unionAll(x)
-            for r in sorted(union.collect(), key=lambda r: (r.lang, -r.n, r.gram)):
-                found.setdefault(r.lang, []).append(r.gram)
-        return found
-    finally:
-        counts.unpersist()
+    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    # each task keeps its first `length` of a language before the shuffle, so no language gathers in one
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    found: dict[str, list[int]] = {}
+    for r in sorted(counts.withColumn("rank", rank).where(F.col("rank") <= length).collect(), key=lambda r: (r.lang, r["rank"])):
+        found.setdefault(r.lang, []).append(r.gram)
+    return found
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], length: int = LENGTH) -> DataFrame:
@@ -142,7 +135,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], length: int = LENGT
         ranks[i, np.searchsorted(known, np.array(profiles[name], np.int64))] = np.arange(len(profiles[name]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in common.slices(whole, "text")):
+        for batch in (part for whole in batches for part in common.slices(whole, "text", 1 << 19)):
             row, key, rank = Grams(batch.column("text")).top(length)
             at = np.searchsorted(known, key)
             at[(at == known.size) | (known[np.minimum(at, max(known.size - 1, 0))] != key) if known.size else slice(None)] = known.size

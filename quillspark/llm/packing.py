@@ -59,7 +59,7 @@ class ByteTokens:
         self.units = None
         if plain and all(model["vocab"][m] == 256 + i for i, m in enumerate(merges)):
             self.ranks = tiktoken.Encoding("units", pat_str=_PATTERN, mergeable_ranks={b: i for i, b in self.bytes.items()}, special_tokens={})
-            self.units = common.Units(600_000)
+            self.units = common.Units(300_000)
         sentence = np.zeros(max(model["vocab"].values()) + 2, bool)
         for i, b in self.bytes.items():
             sentence[i] = b.strip()[-1:] in (b".", b"!", b"?") or b"\n" in b
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1) -> Dat
             held.clear()
             keys.clear()
 
-        for batch in (part for whole in batches for part in common.slices(whole, "text", 4 << 20)):
+        for batch in (part for whole in batches for part in common.slices(whole, "text")):
             ids, bounds = tokens.encode(batch.column(1))
             held.append(np.insert(ids, bounds[1:], end_id).astype("<u4"))
             keys.append((batch.column(0), bounds + np.arange(bounds.size)))

@@ -66,7 +66,7 @@ def scan(docs: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
     common.arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in common.slices(whole, "text", 4 << 20)):
+        for batch in (part for whole in batches for part in common.slices(whole, "text", 1 << 20)):
             rows = [[{"kind": k, "start": a, "end": b, "value": hashlib.sha256(v.encode()).digest()} for a, k, b, v in candidates(x or "")] for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rows, _FOUND)], ["doc_id", "source", "print", "found"])
 

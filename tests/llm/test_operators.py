@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -211,6 +212,29 @@ def test_held_out_languages(spark, data_dir, empty, odd):
     assert got == {(None, False): ("en", "mine"), (1, False): ("en", "mine"), (2, True): ("und", "mine"), (None, True): ("und", "mine")}
 
 
+def test_distances_of_profiles(spark, data_dir):
+    """Prediction and score of every document by counting n-grams and adding up places, one by one."""
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").collect()
+    length = language_id.LENGTH
+    totals = collections.defaultdict(collections.Counter)
+    for d in docs:
+        if zlib.crc32(str(d.doc_id).encode()) % 4 != 2 and d.lang is not None:
+            for w in re.findall(r"[^\W\d_]+", (d.text or "").lower()):
+                padded = f"\U0010ffff{w}\U0010ffff"
+                own = [padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+                totals[d.lang].update(g for g in own if g != "\U0010ffff" and (len(g) < 3 or g[1] != "\U0010ffff"))
+    places = {lang: {g: i for i, g in enumerate(sorted(n, key=lambda g: (-n[g], key(g)))[:length])} for lang, n in totals.items()}
+    got = {r.doc_id: r for r in language_id.op4_language_id(spark, data_dir).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        own = slow_grams(d.text, length)
+        away = {lang: sum(abs(i - p[g]) if g in p else length for i, g in enumerate(own)) for lang, p in places.items()}
+        best = min(sorted(away), key=away.get)
+        r = got[d.doc_id]
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+        assert (r.lang_pred, round(r.score, 9)) == ((best, round(1 - away[best] / (len(own) * length), 9)) if own else ("und", 0.0))
+
+
 # -- 5 --------------------------------------------------------------------------------------------------------------
 
 
@@ -240,6 +264,39 @@ def test_cutoffs_keep_their_promise(spark):
     assert quality_rules.calibrate(df.limit(200)) == {} and quality_rules.calibrate(df.where("false")) == {}
 
 
+def test_cutoffs_by_counting(spark):
+    """The chosen cutoffs by trying every one on plain lists, with exact binomial sums."""
+    from fractions import Fraction
+    from math import comb
+
+    rng = random.Random(14)
+    rows = []
+    for i in range(9000):
+        good, words = int(rng.random() < 0.75), rng.choice((60, 150, 400, 900))
+        bad = 0.0 if good and rng.random() < 0.999 else rng.random()
+        rows.append((words, 5 * words, int(5 * words * bad * 0.4), 20, int(20 * bad * rng.random()), int(words * bad * 0.45), good if i % 50 else None))
+    df = spark.createDataFrame(rows, "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, quality int").repartition(3)
+    seen = collections.defaultdict(list)
+    for w, c, s, lines, dups, again, good in rows:
+        if good is None or w < 50 or 100 * again > 50 * w:
+            continue
+        stratum = max(i for i, low in enumerate(quality_rules.STRATA) if w >= low) if w >= quality_rules.STRATA[0] else 0
+        for rule, v in (("symbols", s / max(c, 1)), ("dup_lines", dups / max(lines, 1)), ("repeats", again / max(w, 1))):
+            seen[stratum, rule].append((v, good))
+    level = quality_rules.DELTA / (len(quality_rules.STRATA) * len(quality_rules.RULES) * len(quality_rules.GRID))
+    limit = quality_rules.ALPHA / len(quality_rules.RULES)
+    want = {}
+    for k, values in seen.items():
+        n, best = sum(g for _, g in values), 0
+        for cut in reversed(quality_rules.GRID):
+            lost, caught = sum(g for v, g in values if v > cut), sum(1 - g for v, g in values if v > cut)
+            # the bound holds if so few losses are too unlikely at the limit
+            likely = sum(comb(n, i) * Fraction(limit) ** i * (1 - Fraction(limit)) ** (n - i) for i in range(lost + 1)) if lost <= quality_rules.ALPHA * n and lost < 40 else 1
+            if caught - quality_rules.PRICE * lost > best and likely <= level:
+                best, want[k] = caught - quality_rules.PRICE * lost, cut
+    assert quality_rules.calibrate(df) == want and len(want) >= 2
+
+
 def test_quality_query(spark, data_dir):
     rows = quality_rules.op5_quality_rules(spark, data_dir).collect()
     assert len(rows) == 200 and all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.base_failed and r.kept) for r in rows)
@@ -603,6 +660,60 @@ def test_queries(spark, data_dir):
     assert {re.match(r"op(\d+)_", n)[1] for n in names} == {str(i) for i in range(1, 11)} and set(catalog.oracle_sql()) <= set(names)
 
 
+def test_digests_of_queries(spark, data_dir):
+    """The columns of the queries from the operators' own outputs, by hashlib and zlib."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+    names = catalog.queries()
+    rows = lambda n: names[n](spark, data_dir).collect()
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in rows("op1_sentencepiece"):
+        ids = lib.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(lib.decode(ids)))
+    want = {i: (n, k, sha(t)) for i, n, k, t in window_dedup(list(texts.items()))}
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows("op2_substring_dedup")} == want
+    short = {i: t for i, t in texts.items() if len(t) < 20_000}
+    df = spark.createDataFrame(list(short.items()), "doc_id long, text string")
+    df.write.parquet(f"{(folder := tempfile.mkdtemp())}/documents.parquet")
+    want = {i: (n, k, s, sha(kept)) for i, n, k, s, kept in byte_dedup(list(short.items()))}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in names["op7_suffix_array_dedup"](spark, folder).collect()} == want
+    want = {i: (n, c, c == i) for i, (n, c) in near_groups(list(texts.items())).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows("op8_near_dedup")} == want
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = collections.defaultdict(list)
+    for r in rows("op9_packing"):
+        pieces[r.doc_id].append(r)
+    for i, t in texts.items():
+        ids = np.array([*own.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, ids.size, zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == ids.size
+    vectors = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{data_dir}/embeddings.parquet").collect() if r.embedding is not None}
+    found = rows("op10_vector_search")
+    assert {r.query_id for r in found} == {i for i in vectors if i % 100 == 0}
+    assert all(abs(r.score - np.sqrt(((vectors[r.query_id] - vectors[r.vec_id]) ** 2).sum())) < 1e-12 for r in found)
+
+
+def test_stages_with_clashing_names_and_no_rows(spark, data_dir):
+    """Columns that the operators use inside stay as they are in every stage; an empty table gives an empty one."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").limit(60)
+    for c in ("row", "chunk", "n_words", "n_removed", "kept_text", "spans", "print", "id", "lang_pred", "score", "gone", "node", "a.b"):
+        docs = docs.withColumn(c, F.lit("mine"))
+    none = docs.where("false")
+    for _, stage in pipeline.STAGES[:-1]:
+        out = pipeline.common.saved(stage(spark, docs, data_dir))
+        assert out.columns == docs.columns and out.count() > 30
+        assert all(set(r[7 - 2 :]) == {"mine"} or {r[c] for c in out.columns[5:]} == {"mine"} for r in out.collect())
+        assert stage(spark, none, data_dir).collect() == []
+        docs = out
+    assert pipeline.STAGES[-1][1](spark, none, data_dir).collect() == [] and pipeline.STAGES[-1][1](spark, docs, data_dir).count() > 0
+
+
 def test_pipeline(spark, data_dir, tmp_path, corpus):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{data_dir}/documents.parquet")
