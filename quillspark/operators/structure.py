@@ -88,36 +88,44 @@ def to_blocks(raw: DataFrame, page: list[str]) -> DataFrame:
     return out.withColumn("pos", F.row_number().over(Window.partitionBy(*page).orderBy("idx")) - 1)
 
 
-def visual_parents(blocks: DataFrame, page: list[str]) -> DataFrame:
-    """For each caption or footnote the index of its visual block (parent_idx, null if there is none).
+def with_parents(blocks: DataFrame, page: list[str]) -> DataFrame:
+    """blocks with v_idx: for each caption or footnote the index of its visual block, null if there is none, and for other blocks.
 
     A candidate has only captions (for a footnote: captions and footnotes)
-    between it and the child: counts of other blocks up to both places are
-    equal. A footnote does not come before its parent. The nearest wins by
-    place, then by distance of the boxes, then by index.
+    between it and the child, so it is the last visual block before or the
+    first one after: counts of other blocks up to both places are equal. A
+    footnote does not come before its parent. The nearer wins by place, then by
+    distance of the boxes, then by index.
     """
-    w = Window.partitionBy(*page).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kind = F.col("type")
-    counted = blocks.select(*page, "pos", "idx", "type", *BOX, (kind != "caption").cast("int").alias("oc"), (~kind.isin(*CHILD)).cast("int").alias("of"))
-    counted = counted.withColumn("nc", F.sum("oc").over(w)).withColumn("nf", F.sum("of").over(w))
-    child = counted.where(kind.isin(*CHILD))
-    main = counted.where(kind.isin(*MAIN))
-    main = main.select(*page, *[F.col(c).alias(f"m_{c}") for c in ("pos", "idx", *BOX, "oc", "of", "nc", "nf")])
-    between = lambda n, o: F.when(F.col("m_pos") > F.col("pos"), F.col(f"m_{n}") - F.col(f"m_{o}") - F.col(n)).otherwise(F.col(n) - F.col(o) - F.col(f"m_{n}"))
-    near = F.when(F.col("type") == "caption", between("nc", "oc") == 0).otherwise((between("nf", "of") == 0) & (F.col("idx") > F.col("m_idx")))
-    pairs = child.join(main, page).where(near)
-    gap = F.abs(F.col("m_pos") - F.col("pos"))
-    away = geometry.distance([F.col(c) for c in BOX], [F.col(f"m_{c}") for c in BOX])
-    best = pairs.groupBy(*page, "idx").agg(F.min(F.struct(gap.alias("gap"), away.alias("away"), F.col("m_idx").alias("m"))).alias("best"))
-    return child.select(*page, "idx", "type").join(best.select(*page, "idx", F.col("best.m").alias("parent_idx")), [*page, "idx"], "left")
+    w = Window.partitionBy(*page).orderBy("pos")
+    upto, kind = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), F.col("type")
+    counted = blocks.withColumn("__nc", F.sum((kind != "caption").cast("int")).over(upto)).withColumn("__nf", F.sum((~kind.isin(*CHILD)).cast("int")).over(upto))
+    main = F.when(kind.isin(*MAIN), F.struct("pos", "idx", *BOX, F.col("__nc").alias("nc"), F.col("__nf").alias("nf")))
+    counted = counted.withColumn("__l", F.last(main, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("__r", F.first(main, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # neither a child nor the blocks between count; a visual block counts in both sums
+    left = F.when(kind == "caption", F.col("__nc") == F.col("__l.nc")).otherwise((F.col("__nf") == F.col("__l.nf")) & (F.col("idx") > F.col("__l.idx")))
+    right = F.when(kind == "caption", F.col("__r.nc") - 1 == F.col("__nc")).otherwise((F.col("__r.nf") - 1 == F.col("__nf")) & (F.col("idx") > F.col("__r.idx")))
+    rank = lambda m: F.struct(F.abs(F.col(f"{m}.pos") - F.col("pos")).alias("gap"), geometry.distance([F.col(c) for c in BOX], [F.col(f"{m}.{c}") for c in BOX]).alias("away"), F.col(f"{m}.idx").alias("idx"))
+    best = F.least(F.when(left, rank("__l")), F.when(right, rank("__r")))
+    return counted.withColumn("v_idx", F.when(kind.isin(*CHILD), best["idx"])).drop("__nc", "__nf", "__l", "__r")
+
+
+def visual_parents(blocks: DataFrame, page: list[str]) -> DataFrame:
+    """(page, idx, type, parent_idx) of each caption and footnote; see with_parents."""
+    return with_parents(blocks, page).where(F.col("type").isin(*CHILD)).select(*page, "idx", "type", F.col("v_idx").alias("parent_idx"))
+
+
+def with_lists(blocks: DataFrame, page: list[str], least: float = 0.8) -> DataFrame:
+    """blocks with list_idx: for each text or reference the first list of its page that covers `least` of it. A page's lists are one array."""
+    lists = F.collect_list(F.when(F.col("type") == "list", F.struct("idx", *BOX))).over(Window.partitionBy(*page))
+    held = blocks.withColumn("__lists", lists)
+    covering = F.filter("__lists", lambda x: geometry.overlap([F.col(c) for c in BOX], [x[c] for c in BOX]) >= least)
+    return held.withColumn("list_idx", F.when(F.col("type").isin("text", "ref_text"), F.array_min(F.transform(covering, lambda x: x["idx"])))).drop("__lists")
 
 
 def list_items(blocks: DataFrame, page: list[str], least: float = 0.8) -> DataFrame:
-    """(page, idx, list_idx): each text or reference of which a list covers `least`, with the first such list."""
-    items = blocks.where(F.col("type").isin("text", "ref_text")).select(*page, "idx", *BOX)
-    lists = blocks.where("type = 'list'").select(*page, F.col("idx").alias("list_idx"), *[F.col(c).alias(f"l_{c}") for c in BOX])
-    inside = geometry.overlap([F.col(c) for c in BOX], [F.col(f"l_{c}") for c in BOX]) >= least
-    return items.join(lists, page).where(inside).groupBy(*page, "idx").agg(F.min("list_idx").alias("list_idx"))
+    """(page, idx, list_idx): each text or reference that is in a list."""
+    return with_lists(blocks, page, least).where("list_idx is not null").select(*page, "idx", "list_idx")
 
 
 def list_kinds(items: DataFrame, page: list[str]) -> DataFrame:
@@ -141,28 +149,29 @@ def assemble(blocks: DataFrame, page: list[str]) -> DataFrame:
 
     Children are the body, captions and footnotes of a visual block, or the items of a list.
     """
-    parents = visual_parents(blocks, page).select(*page, "idx", F.col("parent_idx").alias("v_idx"))
-    rows = blocks.join(parents, [*page, "idx"], "left")
-    lone = F.col("type").isin(*CHILD) & F.col("v_idx").isNull()
-    rows = rows.withColumn("type", F.when(lone, F.lit("text")).otherwise(F.col("type"))).withColumn("merge_prev", F.when(~lone, F.col("merge_prev")))
-    rows = rows.join(list_items(rows, page), [*page, "idx"], "left")
-    kind = F.col("type")
+    rows, kind = with_parents(blocks, page), F.col("type")
+    lone = kind.isin(*CHILD) & F.col("v_idx").isNull()
+    rows = rows.withColumn("__lone", lone).withColumn("type", F.when(lone, F.lit("text")).otherwise(kind)).withColumn("merge_prev", F.when(~F.col("__lone"), F.col("merge_prev"))).drop("__lone")
     main = _lookup(kind, MAIN, F.lit(None))
-    owner = F.coalesce(F.when(main.isNotNull(), F.col("idx")), F.col("v_idx"), F.col("list_idx"))
-    rows = rows.withColumn("owner", owner)
-    own = F.struct("idx", F.col("type"), "spans", "sub_type", "guess_lang", *BOX, "angle")
-    held = rows.where("owner is not null").groupBy(*page, F.col("owner").alias("idx")).agg(F.array_sort(F.collect_list(own)).alias("children"))
-    kinds = list_kinds(rows.where("list_idx is not null"), page).select(*page, F.col("list_idx").alias("idx"), F.col("sub_type").alias("list_kind"))
-
-    top = rows.where("v_idx is null and list_idx is null")
-    merged = merge_previous(top, page)
-    lines = merged.groupBy(*page, F.col("group_idx").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "spans"))), lambda x: x["spans"]).alias("merged"))
-    top = top.join(lines, [*page, "idx"], "left").join(held, [*page, "idx"], "left").join(kinds, [*page, "idx"], "left")
+    rows = with_lists(rows, page).withColumn("owner", F.coalesce(F.when(main.isNotNull() | (kind == "list"), F.col("idx")), F.col("v_idx"), F.col("list_idx")))
+    # windows within the page's partition: no join, and one shuffle for all of them
+    own = F.struct("idx", kind, "spans", "sub_type", "guess_lang", *BOX, "angle")
+    held = F.collect_list(F.when(F.col("owner").isNotNull() & (kind != "list"), own)).over(Window.partitionBy(*page, "owner"))
+    top = rows.withColumn("children", F.array_sort(held)).where("v_idx is null and list_idx is null")
+    count = lambda t: F.filter("children", lambda c: c["type"] == t)
+    kinds = F.transform(F.array_distinct(F.transform("children", lambda c: c["type"])), lambda t: F.struct(F.size(count(t)).alias("n"), (-F.array_min(F.transform(count(t), lambda c: c["idx"]))).alias("first"), t.alias("type")))
+    top = top.withColumn("list_kind", F.when(kind == "list", F.array_max(kinds)["type"])).withColumn("__text", kind == "text")
+    w = Window.partitionBy(*page, "__text").orderBy("idx")
+    starts = ~F.coalesce("merge_prev", F.lit(False)) | (F.row_number().over(w) == 1)
+    top = top.withColumn("__starts", starts).withColumn("__group", F.max(F.when(F.col("__starts"), F.col("idx"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = F.array_sort(F.collect_list(F.when(F.col("__text"), F.struct("idx", "spans"))).over(Window.partitionBy(*page, "__text", "__group")))
+    top = top.withColumn("merged", merged)
     none = F.array().cast("array<array<" + SPAN + ">>")
-    out_lines = F.when(kind == "text", F.coalesce("merged", none)).when((kind == "list") | main.isNotNull(), none).otherwise(F.array("spans"))
+    own_lines = F.when(F.col("idx") == F.col("__group"), F.transform("merged", lambda x: x["spans"])).otherwise(none)
+    out_lines = F.when(F.col("__text"), own_lines).when((kind == "list") | main.isNotNull(), none).otherwise(F.array("spans"))
     parent = F.coalesce(main, kind)
     named = F.transform(
-        F.coalesce("children", F.array().cast(held.schema["children"].dataType)),
+        "children",
         lambda c: c.withField("type", F.when(c["type"] == "caption", F.concat(parent, F.lit("_caption"))).when(c["type"] == "footnote", F.concat(parent, F.lit("_footnote"))).when(c["type"] == "image_block_body", F.lit("image_body")).otherwise(c["type"])),
     )
     out = top.select(*page, "idx", parent.alias("type"), *BOX, "angle", out_lines.alias("lines"), named.alias("children"), F.coalesce("list_kind", "sub_type").alias("sub_type"), "guess_lang", "merge_prev", kind.isin(*DISCARDED).alias("discarded"))
