@@ -164,6 +164,23 @@ def task_states(spark, sf_dir):
     return ingest.fold_status(rows)
 
 
+def task_state_stream(spark, sf_dir):
+    """The same as a stream with state, by the time of the events."""
+    folder = f"{shared_folder(spark)}/stream-{os.urandom(6).hex()}"
+    schema = table(spark, sf_dir, "events").schema
+    events = ingest.parquet_stream(spark, f"{sf_dir}/events.parquet*", schema)
+    status = F.element_at(F.array(*map(F.lit, tasks.STATUSES)), (F.col("event_id") % 4 + 1).cast("int"))
+    states = ingest.live_states(events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("ts").cast("timestamp").alias("at")))
+    query = states.writeStream.outputMode("update").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = spark.read.parquet(f"{folder}/out").groupBy("task_id").agg(F.max_by(F.struct("status", "created_at", "started_at", "completed_at"), "batch").alias("s"))
+    return last.select("task_id", "s.status", *[F.unix_micros(f"s.{c}").alias(c) for c in ("created_at", "started_at", "completed_at")])
+
+
+STATE_STREAM = """with e as (select user_id as task_id, event_id as seq, epoch_us(ts) as t, ['pending', 'processing', 'completed', 'failed'][event_id % 4 + 1] as status from events),
+m as (select *, min(case when status in ('completed', 'failed') then seq end) over (partition by task_id) as done from e), v as (select * from m where done is null or seq <= done)
+select task_id, arg_max(status, seq) as status, min(t) as created_at, min(case when status = 'processing' then t end) as started_at, min(case when status in ('completed', 'failed') then t end) as completed_at from v group by 1"""
+
 STATES_SQL = """with e as (select user_id as task_id, event_id as seq, ['pending', 'processing', 'completed', 'failed'][event_id % 4 + 1] as status from events),
 m as (select *, min(case when status in ('completed', 'failed') then seq end) over (partition by task_id) as done from e), v as (select * from m where done is null or seq <= done)
 select task_id, arg_max(status, seq) as status, min(seq) as created_at, min(case when status = 'processing' then seq end) as started_at, min(case when status in ('completed', 'failed') then seq end) as completed_at from v group by 1"""
@@ -204,7 +221,7 @@ PARTS = "select content_type, count(*) * m as n from nation, (values ('image/png
 RESULT_JSON = """with d as (select doc_id // 4 as task_id, 'd' || doc_id as stem, '"d' || doc_id || '":{"md_content":' || to_json(text) || ',"middle_json":' || to_json('{"lang":"' || lang || '"}') || '}' as one from documents)
 select task_id, '{"backend":"vlm","version":"1.0.0","results":{' || string_agg(one, ',' order by stem) || '}}' as body from d group by task_id"""
 
-QUERIES = {f.__name__: f for f in (ooxml_blocks, ooxml_markdown, ooxml_content_list, ooxml_content_list_v2, ooxml_parts, ooxml_relationships, zip_manifest, result_json, original_names, stream_ingest, task_states)}
+QUERIES = {f.__name__: f for f in (ooxml_blocks, ooxml_markdown, ooxml_content_list, ooxml_content_list_v2, ooxml_parts, ooxml_relationships, zip_manifest, result_json, original_names, stream_ingest, task_states, task_state_stream)}
 SQL = {
     "ooxml_blocks": BLOCKS_SQL,
     "ooxml_markdown": MARKDOWN_SQL,
@@ -217,4 +234,5 @@ SQL = {
     "original_names": "select c_custkey, case c_custkey % 5 when 0 then 's' || c_custkey || '_origin.pdf' when 1 then 's' || c_custkey || '_origin.pdf' when 2 then 's' || c_custkey || '_origin.docx' when 3 then 's' || c_custkey || '_origin.xlsx' end as name from customer",
     "stream_ingest": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "task_states": STATES_SQL,
+    "task_state_stream": STATE_STREAM,
 }

@@ -384,3 +384,16 @@ def test_html_blocks_against_a_parser(spark, data_dir):
         parser = Parser()
         parser.feed(r.html)
         assert got.get(r.page_id, []) == parser.found, r.page_id
+
+
+def test_states_over_batches(spark, tmp_path):
+    """State is kept between batches, a terminal one is never left, and late changes count for nothing."""
+    batches = [[("a", 1, "pending", 1000), ("b", 1, "pending", 1005)], [("a", 2, "processing", 1060), ("b", 2, "failed", 1070)], [("a", 3, "completed", 1090), ("b", 3, "processing", 1095), ("a", 1, "failed", 1099)]]
+    for i, rows in enumerate(batches):
+        made = spark.createDataFrame([(t, n, s, x) for t, n, s, x in rows], "task_id string, seq long, status string, x long").select("task_id", "seq", "status", F.timestamp_seconds("x").alias("at"))
+        made.coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        seen = {}
+        query = ingest.live_states(ingest.parquet_stream(spark, str(tmp_path / "in" / "*"), made.schema, 1)).select("task_id", "status", *[F.unix_seconds(c).alias(c) for c in ("created_at", "started_at", "completed_at")]).writeStream.outputMode("update").foreachBatch(lambda df, n: seen.update({r.task_id: tuple(r)[1:] for r in df.collect()})).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        want = [{"a": ("pending", 1000, None, None), "b": ("pending", 1005, None, None)}, {"a": ("processing", 1000, 1060, None), "b": ("failed", 1005, None, 1070)}, {"a": ("completed", 1000, 1060, 1090)}][i]
+        assert seen == want
