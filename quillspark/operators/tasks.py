@@ -153,6 +153,38 @@ def parse_boolean(c: Column) -> Column:
     return F.when(v.isin("true", "1", "yes", "on"), F.lit(True)).when(v.isin("false", "0", "no", "off"), F.lit(False))
 
 
+# The fields of a request that are options, and what they are without being given.
+FLAGS = {
+    "formula_enable": True, "table_enable": True, "image_analysis": True, "return_md": True, "return_middle_json": False, "return_model_output": False,
+    "return_content_list": False, "return_images": False, "response_format_zip": False, "return_original_file": False,
+}
+NUMBERS = {"start_page_id": 0, "end_page_id": 99_999}
+TEXTS = {"backend": "vlm-http-client", "parse_method": "auto", "server_url": None}
+
+
+def parse_integer(c: Column) -> Column:
+    """Digits with a plus sign at most, up to 2**64 - 1, as a decimal; anything else, also with white space, is null."""
+    number = F.when(c.rlike(r"^\+?[0-9]+$"), F.ltrim(F.regexp_replace(c, r"^\+", ""))).try_cast("decimal(38,0)")
+    return F.when(number < F.lit(str(2**64)).cast("decimal(38,0)"), number).cast("decimal(20,0)")
+
+
+def form_options(fields: DataFrame) -> DataFrame:
+    """The options of each task from the fields of its request (task_id, ord, name, value): the last value of a name counts, others have
+    their default; languages are a list. field_error: that of the first field that cannot be read, as it would have ended the reading."""
+    known = F.col("name").isin(*FLAGS)
+    number = F.col("name").isin(*NUMBERS)
+    bad = F.when(known & parse_boolean(F.col("value")).isNull(), F.concat(F.lit("Invalid boolean value: "), F.lower(text.trim(F.col("value"))))).when(number & parse_integer(F.col("value")).isNull(), F.concat(F.lit("Invalid integer value for "), "name", F.lit(": "), "value"))
+    last = lambda n: F.max_by("value", F.when(F.col("name") == n, F.col("ord")))
+    given = lambda n: F.when(F.max(F.when(F.col("name") == n, F.col("ord"))).isNotNull(), last(n))
+    flags = [F.coalesce(parse_boolean(given(n)), F.lit(d)).alias(n) for n, d in FLAGS.items() if n != "return_original_file"]
+    original = F.coalesce(parse_boolean(given("return_original_file")), F.lit(False)) & F.coalesce(parse_boolean(given("response_format_zip")), F.lit(False))
+    numbers = [F.coalesce(parse_integer(given(n)), F.lit(d).cast("decimal(20,0)")).alias(n) for n, d in NUMBERS.items()]
+    texts = [F.coalesce(given(n), F.lit(d)).alias(n) for n, d in TEXTS.items()]
+    langs = F.array_sort(F.collect_list(F.when(F.col("name") == "lang_list", F.struct("ord", "value"))))
+    error = F.min(F.when(F.col("__bad").isNotNull(), F.struct(F.col("ord").alias("ord"), F.col("__bad").alias("e"))))
+    return fields.withColumn("__bad", bad).groupBy("task_id").agg(*texts, *flags, original.alias("return_original_file"), *numbers, F.concat(F.array(F.lit("ch")), F.transform(langs, lambda x: x["value"])).alias("lang_list"), error["e"].alias("field_error"))
+
+
 def option_errors(options: DataFrame) -> DataFrame:
     """options with backend (alias resolved) and error (null if valid); columns parse_method, backend, start_page_id, end_page_id, n_files."""
     backend = F.when(F.col("backend") == "vllm-http-client", F.lit("vlm-http-client")).otherwise(F.col("backend"))

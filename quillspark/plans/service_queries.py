@@ -160,6 +160,23 @@ LANDING = """select idx, case when n = 1 then b || s when s = '' then b || '__up
 select c_custkey as idx, 'n' || c_nationkey % 4 as b, case when c_custkey % 2 = 0 then '.tar.gz' else '' end as s, row_number() over (partition by c_custkey // 50, c_nationkey % 4, c_custkey % 2 order by c_custkey) as n from customer) q"""
 
 
+#: Fields of requests: orders as requests, lines as fields.
+FIELDS = """SELECT l_orderkey AS task_id, l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey AS ord, CASE l_partkey % 7 WHEN 0 THEN 'return_md' WHEN 1 THEN 'start_page_id' WHEN 2 THEN 'lang_list' WHEN 3 THEN 'response_format_zip' WHEN 4 THEN 'return_original_file' WHEN 5 THEN 'backend' ELSE 'other' END AS name,
+CASE l_partkey % 7 WHEN 0 THEN CASE l_suppkey % 3 WHEN 0 THEN ' No ' WHEN 1 THEN 'TRUE' ELSE 'perhaps' END WHEN 1 THEN CASE l_suppkey % 3 WHEN 0 THEN '+12' WHEN 1 THEN concat('', CAST(l_suppkey AS VARCHAR(20))) ELSE ' 7' END WHEN 2 THEN concat('l', CAST(l_suppkey AS VARCHAR(20))) WHEN 5 THEN concat('b', CAST(l_suppkey AS VARCHAR(20))) ELSE 'yes' END AS value FROM lineitem"""
+
+
+def form_options(spark, sf_dir):
+    rows = tasks.form_options(derived(spark, sf_dir, FIELDS))
+    return rows.select("task_id", "backend", "return_md", "response_format_zip", "return_original_file", F.col("start_page_id").cast("long").alias("start_page_id"), F.col("end_page_id").cast("long").alias("end_page_id"), F.array_join("lang_list", "|").alias("langs"), "field_error")
+
+
+OPTIONS = f"""with f as (select *, case when name = 'return_md' then case lower(trim(value)) when 'no' then false when 'true' then true end end as flag, case when name = 'start_page_id' and regexp_full_match(value, '[+]?[0-9]+') then cast(value as bigint) end as num from ({FIELDS}) q),
+e as (select *, case when name = 'return_md' and flag is null then 'Invalid boolean value: ' || lower(trim(value)) when name = 'start_page_id' and num is null then 'Invalid integer value for start_page_id: ' || value end as bad from f)
+select task_id, coalesce(arg_max(value, ord) filter (name = 'backend'), 'vlm-http-client') as backend, coalesce(list(flag order by ord desc) filter (name = 'return_md')[1], true) as return_md, count(*) filter (name = 'response_format_zip') > 0 as response_format_zip,
+count(*) filter (name = 'response_format_zip') > 0 and count(*) filter (name = 'return_original_file') > 0 as return_original_file, coalesce(list(num order by ord desc) filter (name = 'start_page_id')[1], 0) as start_page_id, 99999::bigint as end_page_id,
+concat_ws('|', 'ch', string_agg(value, '|' order by ord) filter (name = 'lang_list')) as langs, arg_min(bad, ord) filter (bad is not null) as field_error from e group by task_id"""
+
+
 def window_timings(spark, sf_dir):
     """Orders as documents, lines as pages of eight a window; quantities as milliseconds."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.floor((F.col("l_linenumber") - 1) / 3).alias("window_id"), F.col("l_linenumber").alias("page_idx"), F.element_at(F.array(*map(F.lit, model_stage.STAGES)), (F.col("l_partkey") % 2 + 1).cast("int")).alias("stage"), F.lit(2).alias("n_blocks"), F.col("l_quantity").cast("long").alias("elapsed_ms"))
@@ -168,8 +185,8 @@ def window_timings(spark, sf_dir):
 
 TIMINGS = """select l_orderkey as doc, (l_linenumber - 1) // 3 as window_id, count(distinct l_linenumber) as n_pages, cast(count(*) * 2 as bigint) as n_blocks, cast(coalesce(sum(cast(l_quantity as bigint)) filter (l_partkey % 2 = 0), 0) as bigint) as layout_ms, cast(coalesce(sum(cast(l_quantity as bigint)) filter (l_partkey % 2 = 1), 0) as bigint) as extract_ms from lineitem group by 1, 2"""
 
-QUERIES = {f.__name__: f for f in (document_blocks, document_pipeline, block_images, submitted_tasks, task_answers, result_answers, health, landing_names, window_timings)}
+QUERIES = {f.__name__: f for f in (document_blocks, document_pipeline, block_images, submitted_tasks, task_answers, result_answers, health, landing_names, window_timings, form_options)}
 SQL = {
     "document_blocks": DOC_BLOCKS, "document_pipeline": DOC_MARKDOWN, "block_images": IMAGES, "submitted_tasks": SUBMITTED, "task_answers": ANSWERS, "result_answers": RESULTS, "health": HEALTH,
-    "landing_names": LANDING, "window_timings": TIMINGS,
+    "landing_names": LANDING, "window_timings": TIMINGS, "form_options": OPTIONS,
 }

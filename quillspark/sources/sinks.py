@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zipfile
@@ -27,6 +28,25 @@ def artifacts(results: DataFrame) -> DataFrame:
     return rows.select("task_id", "stem", "subdir", "f.kind", F.concat_ws("/", "stem", "subdir", "f.name").alias("rel_path"), "f.content")
 
 
+def pretty(files: DataFrame) -> DataFrame:
+    """files (with rel_path and content) with JSON contents in lines, two blanks a level; what is no JSON stays as it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("content")
+            shown = [_in_lines(c) if c is not None and n.endswith(".json") else c for n, c in zip(b.column("rel_path").to_pylist(), b.column(at).to_pylist(), strict=True)]
+            yield b.set_column(at, "content", pa.array(shown, b.schema.field(at).type))
+
+    return files.mapInArrow(run, files.schema)
+
+
+def _in_lines(content: str) -> str:
+    try:
+        return json.dumps(json.loads(content), indent=2, ensure_ascii=False)
+    except ValueError:
+        return content
+
+
 def write_table(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").partitionBy("subdir").parquet(path)
 

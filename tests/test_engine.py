@@ -312,6 +312,8 @@ def test_sinks(spark, tmp_path):
     assert manifest == {i.filename: (i.file_size, i.CRC, i.header_offset) for i in infos}
     body = json.loads(sinks.result_json(results, "vlm", "1", {"markdown": True}).first().body)
     assert body == {"backend": "vlm", "version": "1", "results": {"a": {"md_content": "# é"}, "b": {"md_content": None}}}
+    shown = {r.rel_path: r.content for r in sinks.pretty(spark.createDataFrame([("a.json", '{"é":[1,{"b":[]}]}'), ("b.json", "no"), ("c.md", "{}"), ("d.json", None)], "rel_path string, content string")).collect()}
+    assert shown == {"a.json": '{\n  "é": [\n    1,\n    {\n      "b": []\n    }\n  ]\n}', "b.json": "no", "c.md": "{}", "d.json": None}
     assert sinks.write_documents(arts, str(tmp_path / "d")).count() == 2 and (tmp_path / "d/a/vlm/a.md").read_text() == "# é"
 
 
