@@ -12,6 +12,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SENT = "bucket int, chunk int, names binary, firsts binary"
 ANSWER = "kind int, bucket int, chunk int, bits binary"
@@ -19,10 +21,18 @@ _ANSWER = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.
 _SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("names", pa.binary()), ("firsts", pa.binary())])
 
 
-def sizes(rows: int, most: int = 4_096) -> tuple[int, int]:
-    """Chunks and buckets for so many documents: chunks of 64 to `most` documents, a bucket for every 1,024."""
+#: Bytes of text of a chunk, about; bytes of text whose names one bucket gets.
+CHUNK_BYTES, BUCKET_BYTES = 32 << 20, 256 << 20
+
+
+def sizes(docs: DataFrame, most: int = 4_096) -> tuple[int, int]:
+    """Chunks and buckets for the texts of docs: chunks of 64 to `most` documents and CHUNK_BYTES at most on average, a bucket for BUCKET_BYTES.
+
+    A chunk sends a row to each bucket, so both are as large as a task may hold.
+    """
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     per = min(most, max(64, rows // 2_000))
-    return max(1, math.ceil(rows / per)), max(128, rows // 1_024)
+    return max(1, math.ceil(rows / per), math.ceil(size / CHUNK_BYTES)), max(128, size // BUCKET_BYTES)
 
 
 def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:

@@ -121,8 +121,10 @@ def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
             return order
         at = order[open_]
         after = at + h
+        if n >= 2**31 - 1:
+            raise ValueError("a shard has 2**31 bytes of regions or more; lower exchange.CHUNK_BYTES")
         follow = np.where(after < ends[at], rank[np.minimum(after, n - 1)], -1 - ends[at])
-        pair = (rank[at] << 32) + (follow + (n + 1))  # a shard has fewer than 2**31 bytes
+        pair = (rank[at] << 32) + (follow + (n + 1))
         again = np.argsort(pair)
         at, pair = at[again], pair[again]
         order[open_] = at
@@ -353,7 +355,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     a doc_id are not earlier than each other at one start. Empty table: empty
     result. Other columns have no effect. A chunk must fit in a task's memory.
     """
-    chunks, buckets = exchange.sizes(docs.count(), 2048)
+    chunks, buckets = exchange.sizes(docs, 2048)
     rows = docs.select(F.col("doc_id").cast("long"), "text", common.chunk_id(chunks).alias("chunk"))
     asks = lambda table: table.column("chunk")[0].as_py()
 

@@ -123,7 +123,7 @@ def substring_dedup(docs: DataFrame, width: int = 13) -> DataFrame:
     Empty table: empty result. A chunk of documents (see exchange.sizes) must fit in a task's memory.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    chunks, buckets = exchange.sizes(docs.count())
+    chunks, buckets = exchange.sizes(docs)
     key = common.fresh("chunk", [*docs.columns, "n_words", "n_removed", "kept_text"])
     rows = docs.select("*", common.chunk_id(chunks).alias(key))
 
