@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_near_dedup": "near_dedup",
     "op9_packing": "packing",
     "op10_vector_search": "vector_search",
+    "op11_ranked_search": "ranked_search",
 }
 
 
