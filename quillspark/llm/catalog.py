@@ -17,6 +17,7 @@ _QUERIES = {
     "op9_packing": "packing",
     "op10_vector_search": "vector_search",
     "op11_ranked_search": "ranked_search",
+    "op12_kd_shards": "kd_shards",
     "op13_token_alignment": "token_alignment",
 }
 
