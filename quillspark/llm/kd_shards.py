@@ -103,7 +103,7 @@ def _divide(rows: DataFrame, shards: int) -> DataFrame:
         for node in cuts:  # nodes without rows are not divided: their shards are empty
             first, k = open_[node]
             many |= {2 * node: (first, k // 2), 2 * node + 1: (first + k // 2, k - k // 2)}
-    return placed.join(F.broadcast(_values(spark, "node, shard", leaves)), "node").drop("node", *keys)
+    return placed.join(F.broadcast(_values(spark, "node, shard", leaves or [(1, 0)])), "node").drop("node", *keys)
 
 
 def _within(placed: DataFrame, active: list[tuple[int, ...]], key) -> DataFrame:

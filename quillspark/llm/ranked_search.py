@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bytes of text of a shard, about; a longer text is a shard for itself.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Queries of a block on average; a block is broadcast, and every shard sees every block.
 BLOCK_ITEMS = 512
 #: Documents of a stretch after which the terms that take part in the merge are chosen anew: first, and at most.
@@ -151,7 +151,7 @@ def parsed(items: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "item long, item_id long, terms array<binary>").where(F.size("terms") > 0)
 
 
-def _found(index: DataFrame, block: DataFrame) -> DataFrame:
+def _found(index: DataFrame, block: DataFrame, number: int) -> DataFrame:
     """term, df of the block's terms: counts of each task's shards, summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +168,8 @@ def _found(index: DataFrame, block: DataFrame) -> DataFrame:
             own = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([wanted.take(pa.array(own)), pa.array(total[own])], ["term", "df"])
 
-    words = block.select(F.explode("terms").alias("term")).distinct().agg(F.collect_list("term").alias("wanted"))
-    beside = index.select("terms", "found", F.lit(0).alias("__one")).join(F.broadcast(words.withColumn("__one", F.lit(0))), "__one")
+    words = block.select("block", F.explode("terms").alias("term")).distinct().groupBy("block").agg(F.collect_list("term").alias("wanted"))
+    beside = index.select("terms", "found", (F.pmod("n", F.lit(1)) + number).alias("block")).join(F.broadcast(words), "block")
     return beside.select("terms", "found", "wanted").mapInArrow(run, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
@@ -267,7 +267,7 @@ def weight(documents: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * documents + 2) / (2 * df + 1)))
 
 
-def _best(index: DataFrame, block: DataFrame, dfs: DataFrame, documents: int, total: int, k: int) -> DataFrame:
+def _best(index: DataFrame, block: DataFrame, number: int, dfs: DataFrame, documents: int, total: int, k: int) -> DataFrame:
     """item, item_id, doc_id and score: of each task's shards, the k best documents of each query of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,10 +286,9 @@ def _best(index: DataFrame, block: DataFrame, dfs: DataFrame, documents: int, to
             rows = [(x["item"], x["item_id"], -d if -d != int(common.NULL_ID) else None, s) for x in items for s, d in best[x["item"]]]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["item", "item_id", "doc_id", "score"])
 
-    one = F.lit(0).alias("__one")
-    beside = block.agg(F.collect_list(F.struct("item", "item_id", "terms")).alias("items")).withColumn("__one", F.lit(0))
-    weights = dfs.agg(F.collect_list(F.struct("term", "df")).alias("dfs")).withColumn("__one", F.lit(0))
-    rows = index.select("*", one).join(F.broadcast(beside), "__one").join(F.broadcast(weights), "__one").drop("__one")
+    beside = block.groupBy("block").agg(F.collect_list(F.struct("item", "item_id", "terms")).alias("items"))
+    weights = dfs.groupBy((F.pmod("df", F.lit(1)) + number).alias("block")).agg(F.collect_list(F.struct("term", "df")).alias("dfs"))
+    rows = index.withColumn("block", F.pmod("n", F.lit(1)) + number).join(F.broadcast(beside), "block").join(F.broadcast(weights), "block").drop("block")
     return rows.mapInArrow(run, "item long, item_id long, doc_id long, score long")
 
 
@@ -309,8 +308,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     blocks = max(1, math.ceil(queries.count() / BLOCK_ITEMS))
     found = None
     for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        own = common.saved(_best(index, block, common.saved(_found(index, block)), documents, total, k))
+        block = queries.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("long")).where(F.col("block") == b)
+        own = common.saved(_best(index, block, b, common.saved(_found(index, block, b)), documents, total, k))
         found = own if found is None else found.unionAll(own)
     order = (F.desc("score"), F.asc_nulls_last("doc_id"))
     salted = found.where("score > 0").withColumn("__salt", F.pmod(F.xxhash64("doc_id", "score"), F.lit(SALTS)))
