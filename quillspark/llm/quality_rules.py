@@ -3,10 +3,12 @@
 Labelled documents (quality 1: good) are a holdout: nothing is fitted on them
 but the choice of cutoffs. For each stratum (class of length), rule and cutoff
 of a fixed grid, the exact (Clopper-Pearson) upper bound of the rate at which
-good documents would be rejected is computed at level DELTA divided by the
-number of all tests (Bonferroni). Only cutoffs whose bound is at most the rule's
-share of ALPHA may be used, so that with probability 1 - DELTA every stratum
-loses at most ALPHA of its good documents, whichever of them are chosen.
+good documents would be rejected is computed. Each stratum and rule gets its
+share of DELTA (Bonferroni over these); within it the cutoffs are tested in the
+fixed order of the grid, from the laxest on, each at the whole share, up to the
+first whose bound is above the rule's share of ALPHA. So with probability
+1 - DELTA no stratum loses more than ALPHA of its good documents, whichever of
+the cutoffs that passed are chosen.
 """
 
 from __future__ import annotations
@@ -128,10 +130,11 @@ def upper_bound(k: int, n: int, level: float) -> float:
 def calibrate(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[int, str], float]:
     """Cutoffs by stratum and rule, from rows with STATS and quality (1 good, 0 bad; null is not used).
 
-    Only rows that pass the base rules count. Of the cutoffs whose bound holds,
-    the one is taken that catches most bad documents less PRICE times the good
-    ones; ties: the highest. A rule for which no cutoff qualifies or gains is
-    absent. All labelled rows are counted, in a table of fixed size.
+    Only rows that pass the base rules count, each as a draw of its own: equal
+    ids are the caller's to put together. Of the cutoffs that passed, the one is
+    taken that catches most bad documents less PRICE times the good ones; ties:
+    the highest. A rule for which no cutoff passes or gains is absent. All
+    labelled rows are counted, in a table of fixed size.
     """
     rows = labelled.where("quality is not null").where(~base_failed())
     bins = F.array(*[F.struct(F.lit(r).alias("rule"), sum((v > c).cast("int") for c in GRID).alias("bin")) for r, v in values().items()])
@@ -139,17 +142,20 @@ def calibrate(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -
     seen: dict = defaultdict(lambda: np.zeros((2, len(GRID) + 1), np.int64))
     for r in counts.collect():
         seen[r.stratum, r.rule][int(r.good), r.bin] = r["count"]
-    level = delta / (len(STRATA) * len(RULES) * len(GRID))
-    out = {}
-    for key, n in sorted(seen.items()):
-        above = n[:, ::-1].cumsum(1)[:, ::-1][:, 1:]  # rows above each cutoff
-        total = int(n[1].sum())
-        best = 0
-        for i in reversed(range(len(GRID))):
-            bad, good = int(above[0, i]), int(above[1, i])
-            gain = bad - PRICE * good
-            if gain > best and total and good <= alpha * total and upper_bound(good, total, level) <= alpha / len(RULES):
-                best, out[key] = gain, GRID[i]
+    found = {key: choose(n, alpha / len(RULES), delta / (len(STRATA) * len(RULES))) for key, n in sorted(seen.items())}
+    return {key: GRID[i] for key, i in found.items() if i is not None}
+
+
+def choose(n: np.ndarray, limit: float, level: float) -> int | None:
+    """The place in GRID of the best cutoff that passed; n: bad and good rows by the number of cutoffs that they are above."""
+    above = n[:, ::-1].cumsum(1)[:, ::-1][:, 1:]  # rows above each cutoff
+    total, best, out = int(n[1].sum()), 0, None
+    for i in reversed(range(len(GRID))):
+        bad, good = int(above[0, i]), int(above[1, i])
+        if not total or good > limit * total or upper_bound(good, total, level) > limit:
+            break
+        if bad - PRICE * good > best:
+            best, out = bad - PRICE * good, i
     return out
 
 
@@ -163,6 +169,7 @@ def judge(stats: DataFrame, cutoffs: dict[tuple[int, str], float]) -> DataFrame:
 
 def op5_quality_rules(spark, sf_dir):
     stats = common.saved(statistics(common.documents(spark, sf_dir, "doc_id", "text")).drop("text"))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    cutoffs = calibrate(stats.join(labels, "doc_id"))
+    # a label that occurs again is one draw, and bad if any says so; so is a document
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    cutoffs = calibrate(stats.join(labels, "doc_id").dropDuplicates(["doc_id"]))
     return judge(stats, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
