@@ -97,7 +97,18 @@ class Codebooks:
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each byte of a code, its 256 products with the query."""
         t = np.einsum("pkw,pw->pk", self.codes, self.padded(q[None]).reshape(self.parts, self.width))
-        return (t[::2, :, None] + t[1::2, None, :]).reshape(self.parts // 2, 256).astype(np.float32)
+        return (t[::2, :, None] + t[1::2, None, :]).reshape(self.parts // 2, 256)
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; where squares overflow, with differences scaled by a power of two."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.sqrt(((x - q) ** 2).sum(1))
+        for i in np.flatnonzero(~np.isfinite(out)):
+            half = x[i] / 2 - q / 2  # cannot overflow
+            unit = 2.0 ** np.floor(np.log2(np.abs(half).max()))
+            out[i] = np.sqrt(((half / unit) ** 2).sum()) * unit * 2
+    return out
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -133,7 +144,7 @@ def nearest(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | None = None, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest vectors; score is the Euclidean distance in double precision.
 
     vectors, queries: vec_id and embedding. Null, zero, or non-finite vectors,
@@ -144,16 +155,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | Non
     Empty table: empty result. Codebooks are fitted on at most SAMPLE vectors,
     cells on CELL_SAMPLE (those of smallest id hash); every vector is coded and
     in a cell. Other columns have no effect. cells: their number, by default
-    one for CELL vectors.
+    one for CELL vectors. probes: cells that a query looks at, by default
+    PROBES or, if that is more, a quarter of all, at which vectors without any
+    clusters were found with a recall of 0.92. Components may have any finite
+    size.
     """
     spark = vectors.sparkSession
     rows, asked = usable(vectors), usable(queries)
-    top = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(100).collect()
+    most = F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most")
+    top = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), most).orderBy(F.desc("n"), "d").limit(100).collect()
     dim, total = (top[0].d, top[0].n) if top else (1, 0)
+    # estimates are made of vectors divided by the power of two above all components, so that no product overflows
+    small = 2.0 ** -min(1022, int(np.frexp(top[0].most)[1])) if top else 1.0
     rows, asked = rows.where(F.size("v") == dim), asked.where(F.size("v") == dim).distinct()
     cells = min(MOST_CELLS, cells or max(1, total // CELL))
+    probes = probes or max(PROBES, cells // 4)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE if cells == 1 else CELL_SAMPLE).collect()
-    sample = np.array([r.v for r in sample], np.float64).reshape(-1, dim)
+    sample = np.array([r.v for r in sample], np.float64).reshape(-1, dim) * small
     books, centre = Codebooks(sample[:SAMPLE]), centres(sample, cells) if len(sample) else np.zeros((1, dim))
     size = max(1, min(BLOCK, BLOCK_BYTES // (8 * dim), max(1024, total // 48)))
     common.arrow_batches(spark)
@@ -169,12 +187,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | Non
     def deal(batches):
         for b in batches:
             x = matrix(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(nearest(x, centre, 1)[:, 0], pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), b.column(1)], ["cell", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(nearest(x * small, centre, 1)[:, 0], pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), b.column(1)], ["cell", "v", "ids"])
 
     def aim(batches):
         for b in batches:
             x = matrix(b.column(1))
-            near = nearest(x, centre, probes)
+            near = nearest(x * small, centre, probes)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(near.tolist(), pa.list_(pa.int32()))], ["vec_id", "v", "cells"])
 
     def scan(data: pa.Table, asked: pa.Table) -> pa.Table:
@@ -184,21 +202,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, cells: int | Non
         own_id, own_n = flat.field("vec_id").to_numpy(), flat.field("n").to_numpy()
         order = np.argsort(own_id[begin[:-1]], kind="stable") if len(ids) else np.zeros(0, np.int64)
         x = _matrix(data.column("v"), dim)[order]
-        codes = books.pack(x)
-        half = ((x**2).sum(1) / 2).astype(np.float32)
+        codes = books.pack(x * small)
+        half = ((x * small) ** 2).sum(1) / 2
         out_q, out_v, out_s = [], [], []
         for q_id, q in zip(asked.column("vec_id").to_pylist(), _matrix(asked.column("v"), dim), strict=True):
             if not order.size:
                 break
             score = half.copy()
-            for j, t in enumerate(books.tables(q)):
+            for j, t in enumerate(books.tables(q * small)):
                 score -= t[codes[:, j]]
             n = min(RERANK, order.size) - 1
             near = np.flatnonzero(score <= np.partition(score, n)[n])
-            exact = np.sqrt(((x[near] - q) ** 2).sum(1))
+            exact = distances(x[near], q)
             # one more than k, as one may have the query's own id only
             best = near[np.argsort(exact, kind="stable")[: k + 1]] if near.size <= k + 1 else near[np.flatnonzero(exact <= np.partition(exact, k)[k])]
-            away = np.sqrt(((x[best] - q) ** 2).sum(1))
+            away = exact[np.searchsorted(near, best)]
             a, b = begin[order[best]], begin[order[best] + 1]
             at = common.ranges(a, b - a)
             v, s, times = own_id[at], np.repeat(away, b - a), own_n[at]
