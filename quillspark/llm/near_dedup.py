@@ -6,7 +6,7 @@ second is a table key. 2 * ROWS * PAIR = 32 minimum hashes so serve
 ROWS * ROWS = 64 tables of 4. At a similarity of 0.85 a pair misses all tables
 with probability 2 * (1 - 0.85**2) ** 8 = 7e-5.
 
-Documents with equal sets are one node. In a bucket, every node is first
+Documents with equal sets are one node, with a number of its own. In a bucket, every node is first
 compared with the bucket's smallest one only. Nodes that are in one component
 then need no more comparison. What buckets still hold several components is
 compared in crowds (see crowd_links): up to CROWD nodes within a task, which
@@ -33,8 +33,8 @@ SHINGLE, PERCENT = 5, 85
 PAIR, ROWS = 2, 8
 #: Nodes that are compared within one task; larger crowds are divided.
 CROWD = 512
-#: Pairs that are confirmed together.
-PART = 1024
+#: Pairs that are confirmed together, and their shingles; shingles of a crowd that is compared within one task.
+PART, PART_ITEMS, CROWD_ITEMS = 1024, 1 << 20, 1 << 22
 #: Rows that miss a pair at 0.8 as rarely: 2 * (1 - 0.8**2) ** 10 = 7e-5.
 ROWS_80 = 10
 #: Of the 2 * ROWS half-keys of two linked documents about 11.6 agree, at 0.8 12.8 of 20; fewer than this has probability 1e-5.
@@ -95,8 +95,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], halves_of: int) -> Iterator[p
                         key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(mixed * f, bounds[:-1][full]))
                 halves[full, i] = key.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(_set_digests(value, more, bounds), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, halves_of * n.size + 1, halves_of, dtype=np.int32)), pa.array(halves.ravel()))],
-                ["doc_id", "n_shingles", "digest", "halves"],
+                [batch.column(0), batch.column(2), pa.array(n), pa.array(_set_digests(value, more, bounds), pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, halves_of * n.size + 1, halves_of, dtype=np.int32)), pa.array(halves.ravel()))],
+                ["doc_id", "print", "n_shingles", "digest", "halves"],
             )
 
 
@@ -242,7 +242,7 @@ def crowds_of(rows: DataFrame) -> DataFrame:
 def crowd_links(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components as far as all links within the buckets (key, node, component) do.
 
-    Crowds of up to CROWD nodes are compared in a task. For larger ones let V be
+    Crowds of up to CROWD nodes and CROWD_ITEMS items are compared in a task. For larger ones let V be
     the items that more than half of a crowd's sets have, D = set xor V. Two
     sets x, x' differ by |D| + |D'| - 2 |D and D'|, which may be (100 - p) / p of
     |x| at most, since |x'| may be 100 / p of |x|. So linked ones share at least
@@ -260,14 +260,15 @@ def crowd_links(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     rows = common.saved(own.join(items, "node").select("key", "node", "component", F.size("items").cast("long").alias("size"), "items"))
     links = []
     while not rows.isEmpty():
-        total = common.saved(rows.groupBy("key").agg(F.count("*").alias("n")))
-        sized = rows.join(total, "key")
-        parts = F.lit(max(1, total.where(F.col("n") <= CROWD).agg(F.sum("n")).first()[0] or 0) // (2 * CROWD) + 1)
-        small = sized.where(F.col("n") <= CROWD).select(F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), "key", "node", "component", "size", "items")
+        total = common.saved(rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.size("items")).alias("m")))
+        sized, fits = rows.join(total, "key"), (F.col("n") <= CROWD) & (F.col("m") <= CROWD_ITEMS)
+        n, m = total.where(fits).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        parts = F.lit(max(n // (2 * CROWD), m // CROWD_ITEMS) + 1)
+        small = sized.where(fits).select(F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"), "key", "node", "component", "size", "items")
         links.append(common.saved(small.groupBy("part").applyInArrow(lambda t: compare_crowds(t, percent), "a long, b long")))
-        if total.where(F.col("n") > CROWD).isEmpty():
+        if total.where(~fits).isEmpty():
             break
-        rows = sized.where(F.col("n") > CROWD)
+        rows = sized.where(~fits).drop("m")
         counts = rows.select("key", "n", F.explode("items").alias("item")).groupBy("key", "n", "item").agg(F.count("*").alias("c")).where("c > 1")
         counts = common.saved(counts.select("key", "item", F.least("c", F.col("n") - F.col("c")).alias("c"), (2 * F.col("c") > F.col("n")).alias("most")))
         major = counts.where("most").groupBy("key").agg(F.collect_list("item").alias("v"))
@@ -288,40 +289,44 @@ def crowd_links(buckets: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row.
+    """doc_id, n_shingles, component_id, kept and print (xxhash64 of the text) of each row.
 
     Words of lower-cased A-Z text; a document's set holds its distinct 5-word
     shingles, or the whole sequence if it has fewer words. Documents are linked
     if 100 * |intersection| >= percent * |union|; rows: half-keys in each of both
     collections, ROWS for 85 and ROWS_80 for 80. Null, empty or blank text: an empty
     set, linked with nothing. component_id: smallest doc_id reachable; kept:
-    doc_id = component_id (all rows with that id, should it occur again).
-    Null doc_id: never linked, component_id null, kept. Empty table: empty
-    result. Other columns have no effect.
+    doc_id = component_id. A doc_id that occurs again with another text is a
+    document of its own: its rows may differ in component and kept, and print
+    tells them apart; rows that are equal are kept or not together. Null doc_id:
+    never linked, component_id null, kept. Empty table: empty result. Other
+    columns have no effect.
     """
     common.arrow_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signs = common.saved(docs.mapInArrow(partial(_signatures, halves_of=2 * rows), "doc_id long, n_shingles long, digest binary, halves array<long>"))
-    nodes = common.saved(signs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("halves").alias("halves"), F.count("*").alias("n")))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("print"))
+    signs = common.saved(docs.mapInArrow(partial(_signatures, halves_of=2 * rows), "doc_id long, print long, n_shingles long, digest binary, halves array<long>"))
+    nodes = signs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("halves").alias("halves"), F.count("*").alias("n"), F.first("n_shingles").alias("size"))
+    nodes = common.saved(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     # a task gets a few thousand nodes, as each becomes rows * rows keys
     dealt = nodes.select("node", "halves").repartition(max(1, nodes.count() // 4096))
     keys = dealt.select(F.posexplode(_tables(rows)).alias("table", "key"), "node")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     members = common.saved(keys.join(buckets, "key"))
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "digest")
-    texts = docs.join(wanted, F.col("doc_id") == F.col("node")).select("node", "text", "digest").mapInArrow(_digests, "node long, text string")
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc", "digest")
+    texts = docs.join(wanted, F.col("doc_id") == F.col("doc")).select("node", "text", "digest").mapInArrow(_digests, "node long, text string")
     texts = common.saved(texts.dropDuplicates(["node"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are linked; those with few half-keys in common are left out first."""
         at = lambda name: nodes.select(F.col("node").alias(name), F.col("halves").alias(f"h{name}"))
         agree = F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda x: x))
-        pairs = pairs.join(at("a"), "a").join(at("b"), "b").where(agree >= AGREE).select("a", "b")
+        pairs = pairs.join(at("a").join(nodes.select(F.col("node").alias("a"), "size"), "a"), "a").join(at("b"), "b").where(agree >= AGREE).select("a", "b", "size")
         pairs = common.saved(pairs)
-        # parts of some PART pairs: a b with many partners is in several, once in each
+        # parts of some PART pairs or PART_ITEMS shingles: a b with many partners is in several, once in each
         many = common.saved(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("n")))
-        parts = F.lit(max(1, pairs.count() // PART))
+        number, items = pairs.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        parts = F.lit(max(1, number // PART, items // PART_ITEMS))
         salt = F.pmod(F.xxhash64("a"), F.col("n")).cast("int")
         part = lambda c: F.pmod(F.xxhash64("b", c), parts).cast("int").alias("part")
         left = pairs.join(many, "b").select(part(salt), "a", F.col("b").alias("b")).join(texts.select(F.col("node").alias("a"), F.col("text").alias("own")), "a").select("part", "a", "b", "own")
@@ -337,13 +342,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
     if not more.isEmpty():
         groups = components(links.unionAll(more))
 
-    # every document gets the component of its node
-    found = nodes.join(groups, "node", "left").select("digest", "n", F.coalesce("component", "node").alias("component"))
-    spread = signs.select("doc_id", "n_shingles", F.coalesce("digest", F.encode(F.concat(F.lit("-"), F.col("doc_id").cast("string")), "utf-8")).alias("digest"))
+    # every document gets the smallest doc_id of its node's component
+    placed = groups.join(nodes.select("node", "doc"), "node")
+    lead = common.saved(placed.groupBy("component").agg(F.min("doc").alias("lead"), F.count("*").alias("n")))
+    led = common.join_counted(groups, lead, "component", F.xxhash64("node")).select("node", "lead")
+    found = nodes.join(led, "node", "left").select("digest", "n", F.coalesce("lead", "doc").alias("component"))
+    spread = signs.select("doc_id", "print", "n_shingles", F.coalesce("digest", F.encode(F.concat(F.lit("-"), F.col("doc_id").cast("string")), "utf-8")).alias("digest"))
     out = common.join_counted(spread, found, "digest", F.xxhash64("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "print").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_near_dedup(spark, sf_dir):
-    return near_duplicates(common.documents(spark, sf_dir, "doc_id", "text"))
+    return near_duplicates(common.documents(spark, sf_dir, "doc_id", "text")).drop("print")
