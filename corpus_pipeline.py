@@ -46,14 +46,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (similarity 0.8 of five-word shingles), that of smallest doc_id.
 
-    Null, empty and blank texts and rows without doc_id stay. Rows that repeat
-    the doc_id that stays, stay as well. Other columns, whatever their names,
-    have no effect. No rows: no rows.
+    Null, empty and blank texts and rows without doc_id stay. A doc_id that
+    occurs again with another text is a document of its own, so rows go by
+    doc_id and text; rows that repeat the one that stays, stay as well. Other
+    columns, whatever their names, have no effect. No rows: no rows.
     """
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"), 80, near_dedup.ROWS_80)
-    dropped = common.saved(found.where("not kept").select("doc_id").distinct())
-    gone = common.fresh("gone", docs.columns)
-    return docs.join(dropped.withColumnRenamed("doc_id", gone), F.col("doc_id") == F.col(gone), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone, print_ = common.fresh("gone", docs.columns), common.fresh("print", docs.columns)
+    dropped = common.saved(found.where("not kept").select(F.col("doc_id").alias(gone), F.col("print").alias(print_)).distinct())
+    return docs.join(dropped, (F.col("doc_id") == F.col(gone)) & (F.xxhash64("text") == F.col(print_)), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
