@@ -9,6 +9,11 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parent.parent
 
 
+def _before(copy: Path) -> dict[str, str]:
+    """The environment with the copy ahead of what is on the path anyway."""
+    return os.environ | {"PYTHONPATH": os.pathsep.join([str(copy), *filter(None, [os.environ.get("PYTHONPATH")])])}
+
+
 def test_names_match():
     import __spark_entry__ as entry
 
@@ -21,17 +26,18 @@ def test_without_the_optional_parts(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "tests"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'doc_markdown' in q and not any(n.startswith('op') and '_' in n and n[2].isdigit() for n in q) and 'pipeline' not in q"
-    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)}, timeout=120)
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=_before(copy), timeout=120)
 
 
 def test_tests_without_the_optional_parts(tmp_path):
     """All other tests can be collected, and those without Spark pass, when the optional folders are gone."""
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
-    run = lambda *more: subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-p", "no:cacheprovider", *more], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, timeout=300, capture_output=True, text=True)
-    assert run("--collect-only").returncode == 0
+    run = lambda *more: subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-p", "no:cacheprovider", *more], cwd=copy, env=_before(copy), timeout=300, capture_output=True, text=True)
+    found = run("--collect-only")
+    assert found.returncode == 0, found.stdout + found.stderr
     done = run("-k", "settings or part_paths or names_match or inline_markup or every_oracle or http_transport")
-    assert done.returncode == 0, done.stdout
+    assert done.returncode == 0, done.stdout + done.stderr
 
 
 def test_entry(spark):
