@@ -141,6 +141,52 @@ def inline_spans(c: Column) -> Column:
     return F.filter(F.flatten(pairs), lambda s: s["content"].isNotNull())
 
 
+#: Texts with tags as tokens: whole tags, what stands between, and from a tag without end on the rest. A text of any length is read without backtracking.
+MARKUP = r"(?s)<eq>.*?</eq>|<text[^>]*+>.*?</text>|<hyperlink>.*?</hyperlink>|[^<]++|<(?!eq>|hyperlink>|text)|.+"
+_WORDS, _URL = r"(?s)^<text[^>]*>(.*?)</text>", r"(?s)<url>(.*?)</url>"
+
+
+def markup_spans(c: Column) -> Column:
+    """Spans (type, content, url, style) of a text with eq, text and hyperlink tags, entities decoded.
+
+    A tag without its end, or a link without words or address, makes the rest
+    of the text plain. Neighbouring texts of one style are joined. Null: null.
+    """
+    inner = lambda t: F.substr(t, F.lit(len("<hyperlink>") + 1), F.length(t) - len("<hyperlink></hyperlink>"))
+    unfit = lambda t: t.startswith("<hyperlink>") & ~(t.endswith("</hyperlink>") & inner(t).rlike(_WORDS) & inner(t).rlike(_URL))
+    mark = lambda t, plain: F.struct(t.alias("t"), plain.alias("plain"))
+
+    def cut(tokens: Column) -> Column:
+        at = F.array_position(F.transform(tokens, unfit), True).cast("int")
+        own = F.transform(tokens, lambda t: mark(t, F.lit(False)))
+        rest = F.array(mark(F.array_join(F.slice(tokens, at, F.size(tokens)), ""), F.lit(True)))
+        return let(at, lambda a: F.when(a == 0, own).otherwise(F.concat(F.slice(own, 1, a - 1), rest)))
+
+    def styles(tag: Column) -> Column:
+        return F.filter(F.transform(F.split(F.regexp_extract(F.regexp_extract(tag, r"^(<text[^>]*>)", 1), r'style="([^"]*)"', 1), ","), trim), lambda x: x != "")
+
+    none = F.array().cast("array<string>")
+    span = lambda kind, content, url=F.lit(None).cast("string"), style=none: F.struct(F.lit(kind).alias("type"), html_unescape(content).alias("content"), url.alias("url"), style.alias("style"))
+
+    def one(x: Column) -> Column:
+        t = x["t"]
+        return (
+            F.when(~x["plain"] & t.rlike("(?s)^<eq>.*</eq>$"), span("equation_inline", trim(F.substr(t, F.lit(5), F.length(t) - 9))))
+            .when(~x["plain"] & t.rlike("(?s)^<text[^>]*>.*</text>$"), span("text", F.regexp_extract(t, _WORDS, 1), style=styles(t)))
+            .when(~x["plain"] & t.startswith("<hyperlink>"), span("hyperlink", F.regexp_extract(inner(t), _WORDS, 1), html_unescape(F.regexp_extract(inner(t), _URL, 1)), styles(inner(t))))
+            .otherwise(span("text", t))
+        )
+
+    def joined(spans: Column) -> Column:
+        same = lambda a, b: (a["type"] == "text") & (b["type"] == "text") & (a["style"] == b["style"])
+        at = F.filter(F.sequence(F.lit(1), F.size(spans)), lambda i: (i == 1) | ~same(F.get(spans, i - 2), F.get(spans, i - 1)))
+        run = lambda b, e: let(F.get(spans, b - 1), lambda s: F.struct(s["type"].alias("type"), F.array_join(F.transform(F.slice(spans, b, e - b), lambda x: x["content"]), "").alias("content"), s["url"].alias("url"), s["style"].alias("style")))
+        ends = lambda a: F.zip_with(a, F.concat(F.slice(a, 2, F.size(a)), F.array(F.size(spans) + 1)), run)
+        return F.when(F.size(spans) == 0, spans).otherwise(let(at, ends))
+
+    return let(let(let(F.regexp_extract_all(c, F.lit(MARKUP), F.lit(0)), cut), lambda x: F.transform(x, one)), joined)
+
+
 def has_inline_equations(c: Column) -> Column:
     return c.contains("\\(") & (F.regexp_count(c, F.lit(r"\\\(")) == F.regexp_count(c, F.lit(r"\\\)")))
 

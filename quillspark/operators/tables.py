@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -67,13 +67,63 @@ def rebase_merges(merges: DataFrame, boxes: DataFrame, sheet: list[str]) -> Data
     return out.where("m_r1 > m_r0 or m_c1 > m_c0")
 
 
+def covered_columns(merges: DataFrame, sheet: list[str]) -> DataFrame:
+    """(sheet, row, col, reach): the columns of each row that a merge covers, its own cell left out. Merges are taken apart by rows, never by cells."""
+    rows = merges.withColumn("row", F.explode(F.sequence("m_r0", "m_r1")))
+    first = F.col("m_c0") + F.when(F.col("row") == F.col("m_r0"), 1).otherwise(0)
+    return rows.select(*sheet, "row", first.alias("col"), F.col("m_c1").alias("reach")).where("reach >= col")
+
+
+def _anchors(merges: DataFrame, sheet: list[str]) -> DataFrame:
+    return merges.groupBy(*sheet, F.col("m_r0").alias("row"), F.col("m_c0").alias("col")).agg(F.max(F.struct((F.col("m_r1") - F.col("m_r0") + 1).alias("rowspan"), (F.col("m_c1") - F.col("m_c0") + 1).alias("colspan"))).alias("s"))
+
+
+def _swept(sheet: list[str]) -> Window:
+    """The intervals and cells of a row by their first column, intervals first."""
+    return Window.partitionBy(*sheet, "row").orderBy("col", F.col("reach").isNull())
+
+
 def sheet_cells(grid: DataFrame, merges: DataFrame, sheet: list[str]) -> DataFrame:
-    """Cells that a merge does not cover, with rowspan and colspan at its anchor."""
-    places = merges.withColumn("row", F.explode(F.sequence("m_r0", "m_r1"))).withColumn("col", F.explode(F.sequence("m_c0", "m_c1")))
-    covered = places.where("row <> m_r0 or col <> m_c0").select(*sheet, "row", "col").distinct()
-    left = grid.join(covered, [*sheet, "row", "col"], "left_anti")
-    anchors = merges.groupBy(*sheet, F.col("m_r0").alias("row"), F.col("m_c0").alias("col")).agg(F.max(F.struct((F.col("m_r1") - F.col("m_r0") + 1).alias("rowspan"), (F.col("m_c1") - F.col("m_c0") + 1).alias("colspan"))).alias("s"))
-    return left.join(anchors, [*sheet, "row", "col"], "left").select(left["*"], F.coalesce("s.rowspan", F.lit(1)).alias("rowspan"), F.coalesce("s.colspan", F.lit(1)).alias("colspan"))
+    """Cells that a merge does not cover, with rowspan and colspan at its anchor.
+
+    A cell is covered if an interval that begins at or before it reaches it: the
+    largest reach so far tells, in one pass over the sorted row.
+    """
+    both = grid.withColumn("reach", F.lit(None).cast("int")).unionByName(covered_columns(merges, sheet), allowMissingColumns=True)
+    seen = F.max("reach").over(_swept(sheet).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    left = both.withColumn("__seen", seen).where("reach is null and coalesce(__seen, -1) < col").drop("reach", "__seen")
+    return left.join(_anchors(merges, sheet), [*sheet, "row", "col"], "left").select(left["*"], F.coalesce("s.rowspan", F.lit(1)).alias("rowspan"), F.coalesce("s.colspan", F.lit(1)).alias("colspan"))
+
+
+def whole_grid_html(cells: DataFrame, merges: DataFrame, boxes: DataFrame, sheet: list[str], caption: str) -> DataFrame:
+    """(sheet, html) of the boxes (sheet, r0, r1, c0, c1, caption): every cell that no merge covers, also where there is none in cells.
+
+    Cells that are missing between two others, and rows without any, are written
+    as often as they are missing, so no table of empty or covered cells is made.
+    """
+    attribute = lambda name: F.when(F.col(f"s.{name}") > 1, F.concat(F.lit(f' {name}="'), F.col(f"s.{name}").cast("string"), F.lit('"'))).otherwise(F.lit(""))
+    empty = "<td></td>"
+    filled = cells.select(*sheet, "row", "col", "text", F.lit(None).cast("struct<rowspan:bigint,colspan:bigint>").alias("s"))
+    spans = _anchors(merges, sheet).select(*sheet, "row", "col", F.lit(None).cast("string").alias("text"), F.col("s").cast("struct<rowspan:bigint,colspan:bigint>").alias("s"))
+    own = filled.unionByName(spans).groupBy(*sheet, "row", "col").agg(F.max("text").alias("text"), F.max("s").alias("s"))
+    items = own.withColumn("reach", F.lit(None).cast("long")).unionByName(covered_columns(merges, sheet), allowMissingColumns=True)
+    before = _swept(sheet).rowsBetween(Window.unboundedPreceding, -1)
+    taken = F.coalesce(F.max(F.coalesce("reach", "col")).over(before), F.lit(-1))
+    shut = F.coalesce(F.max("reach").over(before), F.lit(-1))
+    td = F.concat(F.lit("<td"), F.coalesce(attribute("rowspan"), F.lit("")), F.coalesce(attribute("colspan"), F.lit("")), F.lit(">"), text.html_escape(F.coalesce("text", F.lit(""))), F.lit("</td>"))
+    gap = F.repeat(F.lit(empty), F.greatest(F.lit(0), F.col("col") - taken - 1).cast("int"))
+    items = items.select(*sheet, "row", "col", F.coalesce("reach", "col").alias("reach"), F.concat(gap, F.when(F.col("reach").isNull() & (F.col("col") > shut), td).otherwise(F.lit(""))).alias("html"), F.col("reach").isNull().alias("last"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("col", "last", "html"))), lambda x: x["html"])
+    rows = items.groupBy(*sheet, "row").agg(F.array_join(pieces, "").alias("tds"), F.max("reach").alias("reach"))
+    width, height = F.col("c1") - F.col("c0") + 1, F.col("r1") - F.col("r0") + 1
+    rows = rows.join(boxes.select(*sheet, "c0", "c1"), sheet).select(*sheet, "row", F.concat(F.lit("<tr>"), "tds", F.repeat(F.lit(empty), (width - 1 - F.col("reach")).cast("int")), F.lit("</tr>")).alias("tr"))
+    blank = F.concat(F.lit("<tr>"), F.repeat(F.lit(empty), width.cast("int")), F.lit("</tr>"))
+    rows = rows.withColumn("before", (F.col("row") - F.coalesce(F.lag("row").over(Window.partitionBy(*sheet).orderBy("row")), F.lit(-1)) - 1).cast("int"))
+    listed = F.array_sort(F.collect_list(F.struct("row", "before", "tr")))
+    whole = boxes.join(rows.groupBy(*sheet).agg(listed.alias("rows"), F.max("row").alias("last")), sheet)
+    body = F.array_join(F.transform("rows", lambda x: F.concat(F.repeat(blank, x["before"]), x["tr"])), "")
+    head = F.concat(F.lit("<table><caption>"), text.html_escape(F.col(caption)), F.lit("</caption>"))
+    return whole.select(*sheet, F.concat(head, body, F.repeat(blank, (height - 1 - F.col("last")).cast("int")), F.lit("</table>")).alias("html"))
 
 
 def grid_html(cells: DataFrame, sheet: list[str], caption: str) -> DataFrame:

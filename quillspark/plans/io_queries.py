@@ -5,16 +5,20 @@ from __future__ import annotations
 import io
 import os
 import zipfile
+from xml.sax.saxutils import escape
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import office, tasks
-from ..session import shared_folder
+from ..session import saved, shared_folder
 from ..sources import ooxml, sinks
 from ..streaming import ingest
 from .inputs import table
+from .text_queries import d_trim
 
 _NS = 'xmlns:w="w" xmlns:r="r" xmlns:a="a" xmlns:p="p" xmlns:m="m"'
+#: Name spaces and types of relationships.
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PNG = b"\x89PNG\r\n\x1a\n" + b"\0" * 16
 
@@ -33,80 +37,88 @@ def rels(*rows: tuple[str, str, str, bool]) -> str:
     return "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="{_REL}/{k}" Target="{t}"{" TargetMode=" + chr(34) + "External" + chr(34) if e else ""}/>' for i, k, t, e in rows) + "</Relationships>"
 
 
-def docx_package(title: str, cell: str) -> bytes:
-    body = f"""<w:document {_NS}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{title}</w:t></w:r></w:p>
-<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>Bold</w:t></w:r><w:r><w:t> &amp; plain </w:t></w:r><w:hyperlink r:id="rId2"><w:r><w:rPr><w:u/></w:rPr><w:t>link</w:t></w:r></w:hyperlink><m:oMath><m:r><m:t>x+1</m:t></m:r></m:oMath></w:p>
-<w:tbl><w:tr><w:tc><w:p><w:r><w:t>{cell}</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr></w:tbl>
-<w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>one</w:t></w:r></w:p><w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>two</w:t></w:r></w:p>
-<w:p><w:r><a:blip r:embed="rId1"/></w:r></w:p><w:p><w:r><a:blip r:embed="rId9"/></w:r></w:p></w:body></w:document>"""
-    return package({"word/document.xml": body, "word/_rels/document.xml.rels": rels(("rId1", "image", "media/i.png", False), ("rId2", "hyperlink", "http://a/b c", True)), "word/media/i.png": PNG})
-
-
-def pptx_package(title: str) -> bytes:
-    shape = lambda y, t: f'<p:sp><p:spPr><a:xfrm><a:off x="0" y="{y}"/><a:ext cx="9" cy="9"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>'
-    slide = lambda *s: f"<p:sld {_NS}><p:cSld><p:spTree>{''.join(s)}</p:spTree></p:cSld></p:sld>"
-    return package({
-        "ppt/presentation.xml": f'<p:presentation {_NS}><p:sldSz cx="9144000" cy="5143500"/><p:sldIdLst><p:sldId id="1" r:id="rId2"/><p:sldId id="2" r:id="rId1"/></p:sldIdLst></p:presentation>',
-        "ppt/_rels/presentation.xml.rels": rels(("rId1", "slide", "slides/slide1.xml", False), ("rId2", "slide", "slides/slide2.xml", False)),
-        "ppt/slides/slide1.xml": slide(shape(500, "lower"), shape(100, f"upper {title}")),
-        "ppt/slides/slide2.xml": slide(shape(0, title)),
-        "ppt/slides/_rels/slide2.xml.rels": rels(("rId1", "notesSlide", "../notesSlides/n1.xml", False)),
-        "ppt/notesSlides/n1.xml": f"<p:notes {_NS}><a:t>first</a:t><a:t>second</a:t></p:notes>",
-    })
-
-
-def xlsx_package(name: str) -> bytes:
+def docx_package(title: str, lines: list[str], *cells: str) -> bytes:
+    """A heading, lines in turn with a bold first word, as list items (two) and as a link with a formula, a table row, an image and a missing one."""
+    def paragraph(k: int, line: str) -> str:
+        if k % 4 == 0:
+            first, space, rest = line.partition(" ")
+            return f"<w:p><w:r><w:rPr><w:b/></w:rPr><w:t>{escape(first)}</w:t></w:r><w:r><w:t>{escape(space + rest)}</w:t></w:r></w:p>"
+        if k % 4 == 3:
+            return f'<w:p><w:hyperlink r:id="rId2"><w:r><w:t>{escape(line)}</w:t></w:r></w:hyperlink><m:oMath><m:r><m:t>{k}</m:t></m:r></m:oMath></w:p>'
+        return f"<w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>{escape(line)}</w:t></w:r></w:p>"
+
+    row = "".join(f"<w:tc><w:p><w:r><w:t>{escape(c)}</w:t></w:r></w:p></w:tc>" for c in cells)
+    images = "".join(f'<w:p><w:r><a:blip r:embed="{i}"/></w:r></w:p>' for i in ("rId1", "rId9"))
+    body = f'<w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{escape(title)}</w:t></w:r></w:p>{"".join(paragraph(k, x) for k, x in enumerate(lines))}<w:tbl><w:tr>{row}</w:tr></w:tbl>{images}'
+    return package({"word/document.xml": f"<w:document {_NS}><w:body>{body}</w:body></w:document>", "word/_rels/document.xml.rels": rels(("rId1", "image", "media/i.png", False), ("rId2", "hyperlink", "http://a/b c", True)), "word/media/i.png": PNG})
+
+
+def pptx_package(lines: list[str], note: str) -> bytes:
+    """Four lines on a slide, the last one on top; slides in the presentation from the last to the first, which has a note."""
+    shape = lambda k, t: f'<p:sp><p:spPr><a:xfrm><a:off x="0" y="{300 - k % 4 * 100}"/><a:ext cx="9" cy="9"/></a:xfrm></p:spPr><p:txBody><a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p></p:txBody></p:sp>'
+    n = (len(lines) + 3) // 4
+    order = "".join(f'<p:sldId id="{i}" r:id="rId{i}"/>' for i in range(n, 0, -1))
+    parts = {"ppt/presentation.xml": f'<p:presentation {_NS}><p:sldSz cx="9144000" cy="5143500"/><p:sldIdLst>{order}</p:sldIdLst></p:presentation>', "ppt/_rels/presentation.xml.rels": rels(*((f"rId{i}", "slide", f"slides/slide{i}.xml", False) for i in range(1, n + 1)))}
+    for i in range(n):
+        parts[f"ppt/slides/slide{i + 1}.xml"] = f"<p:sld {_NS}><p:cSld><p:spTree>{''.join(shape(k, lines[k]) for k in range(4 * i, min(len(lines), 4 * i + 4)))}</p:spTree></p:cSld></p:sld>"
+    return package(parts | {"ppt/slides/_rels/slide1.xml.rels": rels(("rId1", "notesSlide", "../notesSlides/n1.xml", False)), "ppt/notesSlides/n1.xml": f"<p:notes {_NS}><a:t>about</a:t><a:t>{escape(note)}</a:t></p:notes>"})
+
+
+def xlsx_package(name: str, lines: list[str]) -> bytes:
+    """A sheet with the lines, as shared strings, and their numbers; the first line's cells are one. A second sheet is hidden."""
+    sheet = "".join(f'<row r="{k + 1}"><c r="A{k + 1}" t="s"><v>{k}</v></c><c r="B{k + 1}"><v>{k}.0</v></c></row>' for k in range(len(lines)))
     return package({
-        "xl/workbook.xml": f'<workbook {_NS}><sheets><sheet name="{name}" sheetId="1" r:id="rId1"/><sheet name="Hidden" sheetId="2" state="hidden" r:id="rId2"/></sheets></workbook>',
+        "xl/workbook.xml": f'<workbook {_NS}><sheets><sheet name="{escape(name)}" sheetId="1" r:id="rId1"/><sheet name="Hidden" sheetId="2" state="hidden" r:id="rId2"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": rels(("rId1", "worksheet", "worksheets/sheet1.xml", False), ("rId2", "worksheet", "worksheets/sheet2.xml", False)),
-        "xl/sharedStrings.xml": "<sst><si><t>head</t></si><si><r><t>a</t></r><r><t>&lt;b</t></r></si></sst>",
-        "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row r="2"><c r="B2" t="s"><v>0</v></c></row><row r="3"><c r="B3" t="s"><v>1</v></c><c r="C3"><v>2.0</v></c></row></sheetData><mergeCells><mergeCell ref="B2:C2"/></mergeCells></worksheet>',
+        "xl/sharedStrings.xml": f"<sst>{''.join(f'<si><t>{escape(x)}</t></si>' for x in lines)}</sst>",
+        "xl/worksheets/sheet1.xml": f'<worksheet><sheetData>{sheet}</sheetData><mergeCells><mergeCell ref="A1:B1"/></mergeCells></worksheet>',
         "xl/worksheets/sheet2.xml": '<worksheet><sheetData><row r="1"><c r="A1"><v>1</v></c></row></sheetData></worksheet>',
     })
 
 
 def packages(spark, sf_dir):
-    """A docx, pptx and xlsx package for each nation."""
-    names = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    """A package for each document, of its lines: in turn a docx, a pptx and an xlsx."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
 
     def build(batches):
         import pyarrow as pa
 
         for b in batches:
-            rows = [(f"f{k}.{s}", s, raw) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for s, raw in (("docx", docx_package(n, f"cell {k}")), ("pptx", pptx_package(n)), ("xlsx", xlsx_package(n)))]
+            rows = []
+            for d, t, lang, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                suffix, lines = ("docx", "pptx", "xlsx")[d % 3], t.split("\n")
+                raw = docx_package(f"Document {d}", lines, lang, str(n)) if d % 3 == 0 else pptx_package(lines, str(d)) if d % 3 == 1 else xlsx_package(f"S {d}", lines)
+                rows.append((f"f{d}.{suffix}", suffix, raw))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["file", "suffix", "content"])
 
-    return names.mapInArrow(build, "file string, suffix string, content binary")
+    return saved(docs.mapInArrow(build, "file string, suffix string, content binary"))
 
 
-def ooxml_blocks(spark, sf_dir):
-    return ooxml.blocks(packages(spark, sf_dir)).select("file", "page_idx", "idx", "kind", "content", "level", "html", "reason", F.array_join("items", "|").alias("items"))
+_written: dict[tuple[str, str], object] = {}
 
 
-BLOCKS_SQL = """with n as (select n_nationkey as k, n_name as n from nation),
-d(idx, page_idx, kind, level, items) as (values (0, 0, 'title', 1, null), (1, 0, 'text', null, null), (2, 0, 'table', null, null), (3, 0, 'list', null, 'one|two'), (4, 0, 'image', null, null), (5, 0, 'discarded', null, null)),
-p(idx, page_idx, kind, level) as (values (0, 0, 'title', 1), (1, 0, 'text', null), (2, 1, 'title', 1), (3, 1, 'text', null))
-select 'f' || k || '.docx' as file, page_idx, idx, kind, case idx when 0 then n when 1 then '<text style="bold">Bold</text> &amp; plain <hyperlink><text style="underline">link</text><url>http://a/b c</url></hyperlink><eq>x+1</eq>' when 5 then 'missing_image_part: rId9' end as content, level,
-case when idx = 2 then '<table><tr><td>cell ' || k || '</td><td></td></tr></table>' end as html, case when idx = 5 then 'missing_image_part' end as reason, items from n, d
-union all select 'f' || k || '.pptx', page_idx, idx, kind, case idx when 0 then n when 1 then 'Notes: first second' when 2 then 'upper ' || n else 'lower' end, level, null, null, null from n, p
-union all select 'f' || k || '.xlsx', 0, 0, 'table', null, null, '<table><caption>' || n || '</caption><tr><td colspan="2">head</td></tr><tr><td>a&lt;b</td><td>2</td></tr></table>', null, null from n"""
+def office_blocks(spark, sf_dir):
+    """The blocks of all packages, written once for all queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        _written[key] = saved(ooxml.blocks(packages(spark, sf_dir)))
+    return _written[key]
 
 
-def ooxml_markdown(spark, sf_dir):
-    return office.markdown(ooxml.blocks(packages(spark, sf_dir)).where("kind <> 'image'"))
+def ooxml_blocks(spark, sf_dir):
+    return office_blocks(spark, sf_dir).select("file", "page_idx", "idx", "kind", "content", "level", "html", "reason", F.array_join("items", "|").alias("items"))
 
 
-MARKDOWN_SQL = """select 'f' || n_nationkey || '.docx' as file, '# ' || replace(n_name, '_', chr(92) || '_') || chr(10) || chr(10) || '**Bold** & plain [<u>link</u>](http://a/b%20c)$x+1$' || chr(10) || chr(10) || '<table><tr><td>cell ' || n_nationkey || '</td><td></td></tr></table>' || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) as markdown from nation
-union all select 'f' || n_nationkey || '.pptx', '# ' || replace(n_name, '_', chr(92) || '_') || chr(10) || chr(10) || 'Notes: first second' || chr(10) || chr(10) || '# upper ' || replace(n_name, '_', chr(92) || '_') || chr(10) || chr(10) || 'lower' || chr(10) from nation
-union all select 'f' || n_nationkey || '.xlsx', '<table><caption>' || n_name || '</caption><tr><td colspan="2">head</td></tr><tr><td>a&lt;b</td><td>2</td></tr></table>' || chr(10) from nation"""
+def ooxml_markdown(spark, sf_dir):
+    return office.markdown(office_blocks(spark, sf_dir))
 
 
 def ooxml_content_list(spark, sf_dir):
-    return office.content_list(ooxml.blocks(packages(spark, sf_dir))).where("item is not null").select("file", "idx", "item")
+    return office.content_list(office_blocks(spark, sf_dir)).where("item is not null").select("file", "idx", "item")
 
 
 def ooxml_content_list_v2(spark, sf_dir):
-    return office.content_list_v2(ooxml.blocks(packages(spark, sf_dir))).where("item is not null").select("file", "idx", "item")
+    return office.content_list_v2(office_blocks(spark, sf_dir)).where("item is not null").select("file", "idx", "item")
 
 
 def ooxml_parts(spark, sf_dir):
@@ -117,6 +129,47 @@ def ooxml_relationships(spark, sf_dir):
     return ooxml.relationships(packages(spark, sf_dir)).select("file", "base_part", "rel_id", "target", "target_part")
 
 
+def ooxml_elements(spark, sf_dir):
+    """Elements of all main parts by name and depth, and the events that lie within them: intervals of places."""
+    events = ooxml.events(ooxml.parts(packages(spark, sf_dir)), r"^(word/document|ppt/slides/[^/]*|xl/worksheets/sheet1)\.xml$")
+    closing = F.max("pos").over(Window.partitionBy("file", "part", "start"))
+    sized = events.withColumn("inside", closing - F.col("start")).where("open")
+    return sized.groupBy(F.regexp_extract("part", "^([a-z]+)/", 1).alias("folder"), "name", "depth").agg(F.count("*").alias("n"), F.sum("inside").cast("long").alias("inside"))
+
+
+_E = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_Q = lambda x: f"replace({_E(x)}, '\"', '&quot;')"
+_O = lambda x: f"replace(replace(replace(replace({x}, chr(92), chr(92) || chr(92)), '[', chr(92) || '['), ']', chr(92) || ']'), '_', chr(92) || '_')"
+_PATH = f"'images/' || sha256('data:image/png;base64,' || base64(from_hex('{PNG.hex()}'))) || '.png'"
+_LINES = "select doc_id as d, lang, n_chars, len(string_split(text, chr(10))) as n, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k, unnest(string_split(text, chr(10))) as line from documents"
+_FIRST = "split_part(line, ' ', 1)"
+_REST = "substr(line, length(split_part(line, ' ', 1)) + 1)"
+_SPAN = lambda content, more="": f"'{{\"type\":\"text\",\"content\":' || to_json({content}) || '{more}}}'"
+#: Blocks of all packages: content, Markdown (md) and nested spans (v2) of each, from the documents' lines.
+OFFICE_BLOCKS = f"""l as ({_LINES}),
+w as (select d, k, case when line = '' then 'equation' when k % 4 in (1, 2) then 'list' else 'text' end as kind,
+case when k % 4 = 0 then {d_trim(f"case when {_FIRST} <> '' then '<text style=\"bold\">' || {_Q(_FIRST)} || '</text>' else '' end || {_Q(_REST)}")}
+when k % 4 = 3 then case when line = '' then k::varchar else '<hyperlink><text>' || {_Q("line")} || '</text><url>http://a/b c</url></hyperlink><eq>' || k || '</eq>' end else {d_trim(_Q("line"))} end as content,
+case when k % 4 = 0 then case when {_FIRST} = '' then {_O(d_trim(_REST))} else '**' || {_O(_FIRST)} || '**' || {_O(f"rtrim({_REST})")} end
+when k % 4 = 3 then case when line = '' then '$$' || chr(10) || k || chr(10) || '$$' else '[' || {_O("line")} || '](http://a/b%20c)$' || k || '$' end else '- ' || {_O(d_trim("line"))} end as md,
+case when k % 4 = 0 then case when {_FIRST} = '' then {_SPAN(d_trim(_REST))} else {_SPAN(_FIRST, ',"style":["bold"]')} || case when rtrim({_REST}) = '' then '' else ',' || {_SPAN(f"rtrim({_REST})")} end end
+when k % 4 = 3 then '{{"type":"hyperlink","content":' || to_json(line) || ',"url":"http://a/b c"}},{{"type":"equation_inline","content":"' || k || '"}}' else {_SPAN(d_trim("line"))} end as v2
+from l where d % 3 = 0 and (k % 4 = 3 or {d_trim("line")} <> '')),
+x as (select * from w union all select doc_id, -1, 'title', 'Document ' || doc_id, '# Document ' || doc_id, {_SPAN("'Document ' || doc_id")} from documents where doc_id % 3 = 0
+union all select doc_id, 1000000000, 'table', '<table><tr><td>' || lang || '</td><td>' || n_chars || '</td></tr></table>', null, null from documents where doc_id % 3 = 0
+union all select doc_id, 1000000001, 'image', {_PATH}, null, null from documents where doc_id % 3 = 0 union all select doc_id, 1000000002, 'discarded', 'missing_image_part: rId9', null, null from documents where doc_id % 3 = 0),
+y as (select *, case when kind = 'list' and coalesce(lag(kind) over (partition by d order by k), '') = 'list' then 0 else 1 end as fresh from x),
+g as (select *, sum(fresh) over (partition by d order by k) as g from y),
+word as (select 'f' || d || '.docx' as file, 0 as page_idx, cast(g - 1 as int) as idx, any_value(kind) as kind, string_agg(content, '|' order by k) as content, string_agg(md, chr(10) order by k) as md, string_agg(case when kind = 'list' then '{{"item_type":"text","ilevel":0,"prefix":"-","item_content":[' || v2 || ']}}' else v2 end, ',' order by k) as v2, case when any_value(kind) = 'list' then string_agg(to_json({_O("replace(replace(replace(replace(content, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')")})::varchar, ',' order by k) end as shown, case when any_value(kind) = 'title' then 1 end as level from g group by d, g),
+s as (select d, cast((n + 3) // 4 - 1 - k // 4 as int) as page_idx, 0 as o, 3 - k % 4 as y, k, {d_trim("line")} as t from l where d % 3 = 1 and {d_trim("line")} <> '' union all select doc_id, cast((len(string_split(text, chr(10))) + 3) // 4 - 1 as int), 1, 0, 0, 'Notes: about ' || doc_id from documents where doc_id % 3 = 1),
+r as (select *, row_number() over (partition by d order by page_idx, o, y) - 1 as i, row_number() over (partition by d, page_idx order by o, y) as pl from s),
+slides as (select 'f' || d || '.pptx' as file, page_idx, cast(i as int) as idx, case when pl = 1 and o = 0 and strlen(t) < 80 then 'title' else 'text' end as kind, t as content, case when pl = 1 and o = 0 and strlen(t) < 80 then '# ' else '' end || {_O("t")} as md, {_SPAN("t")} as v2, null as shown, case when pl = 1 and o = 0 and strlen(t) < 80 then 1 end as level from r),
+sheets as (select 'f' || d || '.xlsx' as file, 0 as page_idx, 0 as idx, 'table' as kind, '<table><caption>S ' || d || '</caption>' || string_agg(case when k = 0 then '<tr><td colspan="2">' || {_Q("line")} || '</td></tr>' else '<tr><td>' || {_Q("line")} || '</td><td>' || k || '</td></tr>' end, '' order by k) || '</table>' as content, null as md, null as v2, null as shown, null::int as level from l where d % 3 = 2 group by d),
+b as (select * from word union all select * from slides union all select * from sheets)"""
+BLOCKS_SQL = f"""with {OFFICE_BLOCKS} select file, page_idx, idx, kind, case when kind in ('text', 'title', 'equation', 'discarded') then content end as content, level, case when kind = 'table' then content end as html, case when kind = 'discarded' then 'missing_image_part' end as reason, case when kind = 'list' then content end as items from b"""
+MARKDOWN_SQL = f"""with {OFFICE_BLOCKS} select file, string_agg(case kind when 'table' then content when 'image' then '![image](' || content || ')' else md end, chr(10) || chr(10) order by page_idx, idx) filter (where kind <> 'discarded') || chr(10) as markdown from b group by file"""
+
+
 def _results(spark, sf_dir, markdown):
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.floor(F.col("doc_id") / 4).alias("task_id"), F.concat(F.lit("d"), "doc_id").alias("stem"), F.lit("vlm").alias("subdir"), markdown.alias("markdown"), F.to_json(F.struct("lang")).alias("middle_json"))
@@ -185,43 +238,24 @@ STATES_SQL = """with e as (select user_id as task_id, event_id as seq, ['pending
 m as (select *, min(case when status in ('completed', 'failed') then seq end) over (partition by task_id) as done from e), v as (select * from m where done is null or seq <= done)
 select task_id, arg_max(status, seq) as status, min(seq) as created_at, min(case when status = 'processing' then seq end) as started_at, min(case when status in ('completed', 'failed') then seq end) as completed_at from v group by 1"""
 
-_NAMED = "select n_nationkey as k, n_name as n, 'f' || n_nationkey || '.docx' as d, 'f' || n_nationkey || '.pptx' as p, 'f' || n_nationkey || '.xlsx' as x from nation"
-_MD = "replace(replace(n, '_', chr(92) || '_'), chr(92), chr(92) || chr(92))"  # escaped for Markdown, then for JSON
-_PATH = f"'images/' || sha256('data:image/png;base64,' || base64(from_hex('{PNG.hex()}'))) || '.png'"
-_SHEET = """'<table><caption>' || n || '</caption><tr><td colspan=' || chr(92) || '"2' || chr(92) || '">head</td></tr><tr><td>a&lt;b</td><td>2</td></tr></table>'"""
-CONTENT_LIST = f"""with n as ({_NAMED})
-select d as file, 0 as idx, '{{"type":"text","text":"' || {_MD} || '","text_level":1,"page_idx":0}}' as item from n
-union all select d, 1, '{{"type":"text","text":"**Bold** & plain [<u>link</u>](http://a/b%20c)$x+1$","page_idx":0}}' from n
-union all select d, 2, '{{"type":"table","table_caption":[],"table_body":"<table><tr><td>cell ' || k || '</td><td></td></tr></table>","page_idx":0}}' from n
-union all select d, 3, '{{"type":"list","list_items":["one","two"],"page_idx":0}}' from n
-union all select d, 4, '{{"type":"image","img_path":"' || {_PATH} || '","image_path":"' || {_PATH} || '","image_caption":[],"image_footnote":[],"content":"image","page_idx":0}}' from n
-union all select p, 0, '{{"type":"text","text":"' || {_MD} || '","text_level":1,"page_idx":0}}' from n
-union all select p, 1, '{{"type":"text","text":"Notes: first second","page_idx":0}}' from n
-union all select p, 2, '{{"type":"text","text":"upper ' || {_MD} || '","text_level":1,"page_idx":1}}' from n
-union all select p, 3, '{{"type":"text","text":"lower","page_idx":1}}' from n
-union all select x, 0, '{{"type":"table","table_caption":[],"table_body":"' || {_SHEET} || '","page_idx":0}}' from n"""
-_TITLE = """'{"type":"title","content":{"title_content":[{"type":"text","content":"' || """
-CONTENT_LIST_V2 = f"""with n as ({_NAMED})
-select d as file, 0 as idx, {_TITLE} n || '"}}],"level":1}}}}' as item from n
-union all select d, 1, '{{"type":"paragraph","content":{{"paragraph_content":[{{"type":"text","content":"Bold","style":["bold"]}},{{"type":"text","content":" & plain "}},{{"type":"hyperlink","content":"link","url":"http://a/b c","style":["underline"]}},{{"type":"equation_inline","content":"x+1"}}]}}}}' from n
-union all select d, 2, '{{"type":"table","content":{{"table_caption":[],"html":"<table><tr><td>cell ' || k || '</td><td></td></tr></table>","table_type":"simple_table","table_nest_level":1}}}}' from n
-union all select d, 3, '{{"type":"list","content":{{"list_type":"text_list","attribute":"unordered","list_items":[{{"item_type":"text","ilevel":0,"prefix":"-","item_content":[{{"type":"text","content":"one"}}]}},{{"item_type":"text","ilevel":0,"prefix":"-","item_content":[{{"type":"text","content":"two"}}]}}]}}}}' from n
-union all select d, 4, '{{"type":"image","content":{{"image_source":{{"path":"' || {_PATH} || '"}},"image_caption":[]}}}}' from n
-union all select p, 0, {_TITLE} n || '"}}],"level":1}}}}' from n
-union all select p, 1, '{{"type":"paragraph","content":{{"paragraph_content":[{{"type":"text","content":"Notes: first second"}}]}}}}' from n
-union all select p, 2, {_TITLE} 'upper ' || n || '"}}],"level":1}}}}' from n
-union all select p, 3, '{{"type":"paragraph","content":{{"paragraph_content":[{{"type":"text","content":"lower"}}]}}}}' from n
-union all select x, 0, '{{"type":"table","content":{{"table_caption":[],"html":"' || {_SHEET} || '","table_type":"complex_table","table_nest_level":1}}}}' from n"""
-RELATIONSHIPS = f"""with n as ({_NAMED}), r(s, base_part, rel_id, target, target_part) as (values ('d', 'word/document.xml', 'rId1', 'media/i.png', 'word/media/i.png'), ('d', 'word/document.xml', 'rId2', 'http://a/b c', null),
-('p', 'ppt/presentation.xml', 'rId1', 'slides/slide1.xml', 'ppt/slides/slide1.xml'), ('p', 'ppt/presentation.xml', 'rId2', 'slides/slide2.xml', 'ppt/slides/slide2.xml'), ('p', 'ppt/slides/slide2.xml', 'rId1', '../notesSlides/n1.xml', 'ppt/notesSlides/n1.xml'),
-('x', 'xl/workbook.xml', 'rId1', 'worksheets/sheet1.xml', 'xl/worksheets/sheet1.xml'), ('x', 'xl/workbook.xml', 'rId2', 'worksheets/sheet2.xml', 'xl/worksheets/sheet2.xml'))
-select case s when 'd' then d when 'p' then p else x end as file, base_part, rel_id, target, target_part from n, r"""
-# a docx has a document, an image and, as each package, a list of types; relationship parts have a type of their own that is not declared
-PARTS = "select content_type, count(*) * m as n from nation, (values ('image/png', 1), (null, 4), ('application/xml', 12)) t(content_type, m) group by content_type, m"
+CONTENT_LIST = f"""with {OFFICE_BLOCKS} select file, idx, case kind when 'text' then '{{"type":"text","text":' || to_json(md) || ',"page_idx":' || page_idx || '}}' when 'title' then '{{"type":"text","text":' || to_json(substr(md, 3)) || ',"text_level":1,"page_idx":' || page_idx || '}}'
+when 'list' then '{{"type":"list","list_items":[' || shown || '],"page_idx":0}}' when 'equation' then '{{"type":"equation","text":"' || content || '","text_format":"latex","page_idx":0}}' when 'table' then '{{"type":"table","table_caption":[],"table_body":' || to_json(content) || ',"page_idx":0}}'
+else '{{"type":"image","img_path":"' || content || '","image_path":"' || content || '","image_caption":[],"image_footnote":[],"content":"image","page_idx":0}}' end as item from b where kind <> 'discarded'"""
+CONTENT_LIST_V2 = f"""with {OFFICE_BLOCKS} select file, idx, case kind when 'text' then '{{"type":"paragraph","content":{{"paragraph_content":[' || v2 || ']}}}}' when 'title' then '{{"type":"title","content":{{"title_content":[' || v2 || '],"level":1}}}}'
+when 'list' then '{{"type":"list","content":{{"list_type":"text_list","attribute":"unordered","list_items":[' || v2 || ']}}}}' when 'equation' then '{{"type":"equation_interline","content":{{"math_content":"' || content || '","math_type":"latex"}}}}'
+when 'table' then '{{"type":"table","content":{{"table_caption":[],"html":' || to_json(content) || ',"table_type":"' || case when content like '%colspan%' then 'complex_table' else 'simple_table' end || '","table_nest_level":1}}}}' else '{{"type":"image","content":{{"image_source":{{"path":"' || content || '"}},"image_caption":[]}}}}' end as item from b where kind <> 'discarded'"""
+RELATIONSHIPS = """with p as (select doc_id as d, (len(string_split(text, chr(10))) + 3) // 4 as n from documents)
+select 'f' || d || '.docx' as file, 'word/document.xml' as base_part, rel_id, target, target_part from p, (values ('rId1', 'media/i.png', 'word/media/i.png'), ('rId2', 'http://a/b c', null)) t(rel_id, target, target_part) where d % 3 = 0
+union all select 'f' || d || '.pptx', 'ppt/presentation.xml', 'rId' || i, 'slides/slide' || i || '.xml', 'ppt/slides/slide' || i || '.xml' from (select d, unnest(range(1, n + 1)) as i from p where d % 3 = 1)
+union all select 'f' || d || '.pptx', 'ppt/slides/slide1.xml', 'rId1', '../notesSlides/n1.xml', 'ppt/notesSlides/n1.xml' from p where d % 3 = 1
+union all select 'f' || d || '.xlsx', 'xl/workbook.xml', 'rId' || i, 'worksheets/sheet' || i || '.xml', 'xl/worksheets/sheet' || i || '.xml' from p, (values (1), (2)) t(i) where d % 3 = 2"""
+# a list of types and parts in each package; relationship parts have a type of their own that is not declared
+PARTS = """with p as (select doc_id % 3 as m, (len(string_split(text, chr(10))) + 3) // 4 as n from documents)
+select content_type, cast(sum(c) as bigint) as n from (select 'image/png' as content_type, 1 as c from p where m = 0 union all select null, case m when 1 then 2 else 1 end from p union all select 'application/xml', case m when 0 then 2 when 1 then 3 + n else 5 end from p) group by content_type"""
 RESULT_JSON = """with d as (select doc_id // 4 as task_id, 'd' || doc_id as stem, '"d' || doc_id || '":{"md_content":' || to_json(text) || ',"middle_json":' || to_json('{"lang":"' || lang || '"}') || '}' as one from documents)
 select task_id, '{"backend":"vlm","version":"1.0.0","results":{' || string_agg(one, ',' order by stem) || '}}' as body from d group by task_id"""
 
-QUERIES = {f.__name__: f for f in (ooxml_blocks, ooxml_markdown, ooxml_content_list, ooxml_content_list_v2, ooxml_parts, ooxml_relationships, zip_manifest, result_json, original_names, stream_ingest, task_states, task_state_stream)}
+QUERIES = {f.__name__: f for f in (ooxml_blocks, ooxml_markdown, ooxml_content_list, ooxml_content_list_v2, ooxml_parts, ooxml_relationships, ooxml_elements, zip_manifest, result_json, original_names, stream_ingest, task_states, task_state_stream)}
 SQL = {
     "ooxml_blocks": BLOCKS_SQL,
     "ooxml_markdown": MARKDOWN_SQL,

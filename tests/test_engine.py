@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import text
-from quillspark.operators import layout, model_stage, render, structure, tables, tasks
+from quillspark.operators import layout, model_stage, office, render, structure, tables, tasks
 from quillspark.plans import io_queries
 from quillspark.sources import config, files, ooxml, sinks
 from quillspark.streaming import ingest
@@ -151,21 +151,15 @@ def test_settings():
     assert s.remote_inference_allowed() and not config.load({"DOC_BIND": "0.0.0.0"}).remote_inference_allowed()
 
 
-def test_inline_markup():
-    spans = ooxml.inline_spans('plain<text style="bold,italic">b &amp; c</text><eq> x </eq><hyperlink><text style="underline">l</text><url>u</url></hyperlink>')
-    assert [(s["type"], s["content"], s["style"], s["url"]) for s in spans] == [("text", "plain", [], None), ("text", "b & c", ["bold", "italic"], None), ("equation_inline", "x", [], None), ("hyperlink", "l", ["underline"], "u")]
-    assert [s["content"] for s in ooxml.inline_spans('<text style="bold">a</text><text style="bold">b</text>c')] == ["ab", "c"]
-    assert ooxml.inline_spans("a<eq>open") == [{"type": "text", "content": "a<eq>open", "url": None, "style": []}]
-
-
-def test_part_paths():
-    assert ooxml.resolve("word/document.xml", "media/i.png") == "word/media/i.png"
-    assert ooxml.resolve("ppt/slides/slide1.xml", "../media/i.png") == "ppt/media/i.png"
-    assert ooxml.resolve("x", "/docProps/core.xml") == "docProps/core.xml"
+def test_part_paths(spark):
+    resolve = lambda base, target: one(spark, office.resolve_part(F.lit(base), F.col("t")), t=target)
+    assert resolve("word/document.xml", "media/i.png") == "word/media/i.png"
+    assert resolve("ppt/slides/slide1.xml", "../media/i.png") == "ppt/media/i.png"
+    assert resolve("x", "/docProps/core.xml") == "docProps/core.xml"
 
 
 def test_bad_packages(spark):
-    whole = io_queries.xlsx_package("S")
+    whole = io_queries.xlsx_package("S", ["a", "b"])
     torn = bytearray(whole)
     torn[60:90] = b"\xff" * 30
     rows = [("a", "docx", b"no zip"), ("b", "pptx", io_queries.package({})), ("c", "xlsx", bytes(torn)), ("d", "docx", b""), ("e", "xlsx", io_queries.package({"xl/workbook.xml": "<broken"}))]
@@ -274,9 +268,10 @@ def test_folders_of_clusters(spark):
     assert session.shared_folder(Session) == session.shared_folder(Session)
 
 
-def test_pages_decorations_and_repeated_cells():
-    assert [b["html"] for b in ooxml.Docx(ooxml.Package(io_queries.docx_package("T", "A")), repeated_cells=True).blocks() if b["kind"] == "table"] == ["<table><tr><td>A A</td><td></td></tr></table>"]
-    assert ooxml.sheet_block("s", {(2, 2): "x"}, []) == {"kind": "text", "content": "x"} and ooxml.sheet_block("s", {(0, 0): " "}, []) is None
+def test_repeated_cells_and_single_cells(spark):
+    rows = [("a", "docx", io_queries.docx_package("T", [], "A", "")), ("b", "xlsx", io_queries.xlsx_package("s", [" "]))]
+    got = {r.file: (r.kind, r.html, r.content) for r in ooxml.blocks(spark.createDataFrame(rows, "file string, suffix string, content binary"), repeated_cells=True).where("kind in ('table', 'text')").collect()}
+    assert got == {"a": ("table", "<table><tr><td>A A</td><td></td></tr></table>", None), "b": ("text", None, "0")}
 
 
 class Flaky:
