@@ -72,15 +72,15 @@ def _in_bins(rows: DataFrame, by: str, bins: int) -> DataFrame:
     cuts = sorted(set(rows.where(F.col(by).isNotNull()).approxQuantile(by, [i / bins for i in range(1, bins)], 0.25 / bins)))
     if not cuts:
         return rows.withColumn("__bin", F.lit(0))
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-    return rows.withColumn("__bin", F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), lambda s, _: _half(s, cuts, F.col(by)), lambda s: s["low"]))
+    return rows.withColumn("__bin", _bin(cuts, F.col(by), 0))
 
 
-def _half(s: Column, cuts: list[float], value: Column) -> Column:
-    """A step of a binary search for the number of cuts up to a value."""
-    mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
-    up = (s["low"] < s["high"]) & (F.element_at(F.array(*map(F.lit, cuts)), mid + 1) <= value)
-    return F.struct(F.when(up, mid + 1).otherwise(s["low"]).alias("low"), F.when(up | (s["low"] >= s["high"]), s["high"]).otherwise(mid).alias("high"))
+def _bin(cuts: list[float], value: Column, base: int) -> Column:
+    """base and the number of cuts up to a value, as a balanced tree of comparisons, which stays in generated code."""
+    if not cuts:
+        return F.lit(base)
+    mid = len(cuts) // 2
+    return F.when(value >= cuts[mid], _bin(cuts[mid + 1 :], value, base + mid + 1)).otherwise(_bin(cuts[:mid], value, base))
 
 
 def _before(rows: DataFrame, counts: Column, order: list[Column], columns: list[str], name: str, same: bool) -> DataFrame:
@@ -96,14 +96,14 @@ def _before(rows: DataFrame, counts: Column, order: list[Column], columns: list[
     return rows.withColumn("__own", own).join(F.broadcast(before), "__bin").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).select(*columns, name)
 
 
-def queued_ahead(tasks: DataFrame, bins: int = 256) -> DataFrame:
+def queued_ahead(tasks: DataFrame, bins: int = 64) -> DataFrame:
     """tasks with queued_ahead: pending tasks submitted before each pending task; 0 for others. Orders of 0 or less are not counted."""
     counts = ((F.col("status") == "pending") & (F.col("submit_order") > 0)).cast("long")
     out = _before(_in_bins(tasks, "submit_order", bins), counts, [F.col("submit_order")], tasks.columns, "queued_ahead", same=False)
     return out.withColumn("queued_ahead", F.when(F.col("status") == "pending", F.col("queued_ahead")).otherwise(F.lit(0).cast("long")))
 
 
-def numbered(rows: DataFrame, counts: Column, order: list[str], name: str, bins: int = 256) -> DataFrame:
+def numbered(rows: DataFrame, counts: Column, order: list[str], name: str, bins: int = 64) -> DataFrame:
     """rows with their number from 1 on in the order of a time or number and further columns; null where `counts` does not hold."""
     held = _in_bins(rows.withColumn("__at", F.col(order[0]).cast("timestamp").cast("double") if dict(rows.dtypes)[order[0]] != "double" else F.col(order[0])).withColumn("__yes", counts), "__at", bins)
     out = _before(held, F.col("__yes").cast("long"), [F.col(c) for c in order], [*rows.columns, "__yes"], name, same=True)

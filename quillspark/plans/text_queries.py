@@ -158,6 +158,28 @@ def inline_markup_render(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", office.span_markdown(span).alias("md"))
 
 
+_PLANTED = """concat('<text style="bold, italic">', replace(replace(lang, '&', '&amp;'), '<', '&lt;'), '</text><eq> x_', doc_id, ' </eq><hyperlink><text style="underline">', source, '</text><url>http://h/?a=', doc_id, '&amp;b</url></hyperlink>',
+replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), ' the ', '</text> the<text> '), CASE doc_id % 4 WHEN 0 THEN '<eq>open' WHEN 1 THEN '<hyperlink>no</hyperlink> rest<eq>x</eq>' WHEN 2 THEN '<text>same</text>' ELSE '' END)"""
+
+
+def inline_markup_spans(spark, sf_dir):
+    """Spans of all documents with tags around and within them; a tag without an end makes the rest plain."""
+    spans = text.markup_spans(F.expr(_PLANTED))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(spans).alias("pos", "s"))
+    return rows.select("doc_id", "pos", "s.type", "s.content", "s.url", F.array_join("s.style", ",").alias("style"))
+
+
+# " the " is "</text> the<text> " in the tagged text: with an even number of them left, each opens a plain text that the next one closes
+INLINE_SPANS = """with p as (select doc_id, string_split(text, ' the ') as parts, lang, source, case doc_id % 4 when 0 then '<eq>open' when 1 then '<hyperlink>no</hyperlink> rest<eq>x</eq>' when 2 then '<text>same</text>' else '' end as tail from documents),
+q as (select *, len(parts) as n from p),
+t as (select *, case when n = 1 then parts[1] || case doc_id % 4 when 2 then 'same' else tail end
+when doc_id % 4 = 2 then parts[1] || '</text> the' || list_reduce(list_transform(parts[2:n], lambda x: ' ' || x), lambda a, b: a || ' the' || b) || '<text>same'
+else parts[1] || '</text> the' || case when n = 2 then '' else list_reduce(list_transform(parts[2:n-1], lambda x: ' ' || x), lambda a, b: a || ' the' || b) || ' the' end || '<text> ' || parts[n] || tail end as plain from q)
+select doc_id, 0 as pos, 'text' as type, lang as content, null as url, 'bold,italic' as style from t
+union all select doc_id, 1, 'equation_inline', 'x_' || doc_id, null, '' from t
+union all select doc_id, 2, 'hyperlink', source, 'http://h/?a=' || doc_id || '&b', 'underline' from t
+union all select doc_id, 3, 'text', plain, null, '' from t where plain <> ''"""
+
 INLINE_MARKUP = """select n_nationkey, case when n_nationkey % 5 = 0 then '[' || s || '](http://a/b%20(c%29)' else s end as md from (
 select n_nationkey, case n_nationkey % 4 when 0 then '**' || e || '**' when 1 then '~~*' || e || '*~~' when 2 then '<u>**' || e || '**</u>' else e end as s from (
 select n_nationkey, replace(replace(replace(n_name || '_[x]', '[', chr(92) || '['), ']', chr(92) || ']'), '_', chr(92) || '_') as e from nation) a) b"""
@@ -247,6 +269,7 @@ QUERIES = {
     "data_uri": data_uri,
     "utf8_truncate": utf8_truncate,
     "inline_markup_render": inline_markup_render,
+    "inline_markup_spans": inline_markup_spans,
     "html_blocks": html_blocks,
     "page_titles": page_titles,
     "otsl_to_html": otsl_to_html,
@@ -273,6 +296,7 @@ from (select doc_id, replace({MARKED}, ' a', chr(10) || ' - a') as t from docume
     "hash_names": "select doc_id, sha256('image/' || upper(md5(text)) || '_3_1_2_30_40') || '.jpg' as crop, sha256('data:image/png;base64,' || base64(encode(text))) || '.png' as media from documents",
     "data_uri": f"select doc_id, 'data:' || {_MIME} || ';base64,' || base64(encode(text)) as uri from documents",
     "inline_markup_render": INLINE_MARKUP,
+    "inline_markup_spans": INLINE_SPANS,
     "page_titles": f"""select page_id, {d_trim("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} as title, cast(len(regexp_extract_all(html, '(?i)<p[ >]')) as int) as n_paragraphs,
 case when contains(html, 'colspan') or contains(html, 'rowspan') or len(regexp_extract_all(html, '<table')) > 1 then 'complex_table' else 'simple_table' end as table_kind, case when len(regexp_extract_all(html, '<table')) > 1 then 2 else 1 end as level from pages""",
     "otsl_to_html": OTSL_SQL,

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import saved
 
 #: Artifacts of a document and the file that each is written to, behind the document's stem.
 ARTIFACTS = {"markdown": ".md", "middle_json": "_middle.json", "model_output": "_model.json", "content_list": "_content_list.json", "content_list_v2": "_content_list_v2.json"}
@@ -67,86 +68,114 @@ def result_json(results: DataFrame, backend: str, version: str, flags: dict[str,
 
 def zip_manifest(files: DataFrame) -> DataFrame:
     """files (task_id, rel_path, content) with size, crc32, offset of the local header in the task's archive and error; stored, with data descriptors."""
-    from pyspark.sql import Window
-
     raw = F.encode("content", "utf-8") if dict(files.dtypes)["content"] == "string" else F.col("content")
     out = files.where("content is not null").withColumn("size", F.octet_length("content").cast("long")).withColumn("crc32", F.crc32(raw))
     entry = F.lit(30 + 16) + F.octet_length("rel_path") + F.col("size")
-    before = F.sum(entry).over(Window.partitionBy("task_id").orderBy("rel_path").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(entry).over(Window.partitionBy("task_id").orderBy("rel_path", "crc32", "size").rowsBetween(Window.unboundedPreceding, -1))
     out = out.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))
     return out.withColumn("error", F.when((F.col("offset") > ZIP_LIMIT) | (F.col("size") > ZIP_LIMIT), F.lit("archive too large")).when(F.octet_length("rel_path") > NAME_LIMIT, F.lit("name too long")))
 
 
-class _Forward:
-    """A file that cannot be sought: archives are written in one pass, with data descriptors behind the entries."""
-
-    def __init__(self, path: str):
-        self.file = open(path, "wb")  # noqa: SIM115  closed by close()
+def _local(name: bytes) -> bytes:
+    """Header before an entry; crc and sizes follow the entry."""
+    return struct.pack("<4s5H3I2H", b"PK\3\4", 20, 0x808, 0, 0, 0x21, 0, 0, 0, len(name), 0) + name
 
-    def write(self, raw) -> int:
-        return self.file.write(raw)
 
-    def flush(self) -> None:
-        self.file.flush()
-
-    def close(self) -> None:
-        self.file.close()
+def _central(name: bytes, crc: int, size: int, offset: int) -> bytes:
+    return struct.pack("<4s6H3I5H2I", b"PK\1\2", 20, 20, 0x808, 0, 0, 0x21, crc, size, size, len(name), 0, 0, 0, 0, 0, offset) + name
 
 
 def write_zips(files: DataFrame, folder: str) -> DataFrame:
-    """An archive <task_id>.zip for each task below a folder that all executors share; returns task_id, path, n_files.
-
-    Rows are dealt by task and sorted, and go into the archives as they come:
-    a worker holds one Arrow batch, however large a task is. A repeated
-    attempt writes its own part file and puts it in place when it is whole.
+    """An archive <task_id>.zip for each task below a folder that all executors share; task_id, path (null if there is an error), n_files, error.
+
+    Where an entry stands follows from the sizes of those before it, so many
+    tasks write one archive, each entry at its place, however large the archive
+    is; what passes a window are names and sizes. A small task then writes the
+    directory, and renames the file when it is whole. Repeated attempts write
+    the same bytes at the same places. Entries of one name are all kept. Null
+    contents are left out. What the format cannot hold is an error.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    run = uuid.uuid4().hex
+    part = lambda task: os.path.join(folder, f"{task}.{run}.part")
+    nth = F.row_number().over(Window.partitionBy("task_id", "rel_path").orderBy("crc32", "size"))
+    listed = saved(zip_manifest(files).select("task_id", "rel_path", "size", "crc32", "offset", "error", nth.alias("nth")))
+    bound = F.max(F.col("offset") + 46 + F.octet_length("rel_path") + F.col("size")) + F.sum(F.octet_length("rel_path") + 46)
+    error = F.coalesce(F.min("error"), F.when(F.count("*") > NAME_LIMIT, "too many entries").when(bound > ZIP_LIMIT, "archive too large"))
+    whole = saved(files.select("task_id").distinct().join(listed.groupBy("task_id").agg(error.alias("failed")), "task_id", "left"))
+    good = listed.join(whole.where("failed is null"), "task_id", "left_semi")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        now, out, n = None, None, 0
+        for b in batches:
+            for i, (task, name, crc, size, offset) in enumerate(zip(*(b.column(c).to_pylist() for c in range(5)), strict=True)):
+                if task != now:
+                    if out is not None:
+                        os.close(out)
+                    now, out = task, os.open(part(task), os.O_RDWR | os.O_CREAT, 0o644)
+                head = _local(name.encode())
+                _put(out, head, offset)
+                _put(out, b.column(5)[i].as_buffer(), offset + len(head))
+                _put(out, struct.pack("<4s3I", b"PK\7\x08", crc, size, size), offset + len(head) + size)
+                n += 1
+        if out is not None:
+            os.close(out)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
-        now = out = part = z = None
-        n = 0
+        done: list[tuple] = []
+        now, rows = None, []
 
-        def finish() -> pa.RecordBatch:
-            z.close()
-            out.close()
+        def close() -> None:
             path = os.path.join(folder, f"{now}.zip")
-            os.replace(part, path)
-            return pa.RecordBatch.from_arrays([pa.array([str(now)]), pa.array([path]), pa.array([n], pa.int64())], ["task_id", "path", "n_files"])
+            entries = [r for r in rows if r[0] is not None]
+            if rows[0][4] is not None:
+                done.append((str(now), None, 0, rows[0][4]))
+                return
+            if os.path.exists(part(now)) or not entries:
+                end = max((o + 46 + len(n.encode()) + s for n, _, s, o, _ in entries), default=0)
+                directory = b"".join(_central(n.encode(), c, s, o) for n, c, s, o, _ in entries)
+                out = os.open(part(now), os.O_RDWR | os.O_CREAT, 0o644)
+                _put(out, directory + struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, len(entries), len(entries), len(directory), end, 0), end)
+                os.close(out)
+                os.replace(part(now), path)
+            elif not os.path.exists(path):
+                raise FileNotFoundError(part(now))
+            done.append((str(now), path, len(entries), None))
 
         for b in batches:
-            for task, name, content in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if z is None or task != now:
-                    if z is not None:
-                        yield finish()
-                    now, n, part = task, 0, os.path.join(folder, f"{task}.{uuid.uuid4().hex}.part")
-                    out = _Forward(part)
-                    z = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                if content is not None:
-                    z.writestr(zipfile.ZipInfo(name), content if isinstance(content, bytes) else content.encode())
-                    n += 1
-        if z is not None:
-            yield finish()
-
-    rows = files.select("task_id", "rel_path", "content").repartition("task_id").sortWithinPartitions("task_id", "rel_path")
-    return rows.mapInArrow(run, "task_id string, path string, n_files long")
+            for task, *row in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                if rows and task != now:
+                    close()
+                    rows = []
+                now = task
+                rows.append(row)
+        if rows:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[c] for d in done], k) for c, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.string()))], ["task_id", "path", "n_files", "error"])
+
+    raw = F.encode("content", "utf-8") if dict(files.dtypes)["content"] == "string" else F.col("content")
+    contents = files.where("content is not null").select("task_id", "rel_path", raw.alias("content")).withColumn("size", F.octet_length("content").cast("long")).withColumn("crc32", F.crc32("content")).withColumn("nth", nth)
+    entries = contents.drop("size", "crc32").join(good, ["task_id", "rel_path", "nth"])
+    saved(entries.select("task_id", "rel_path", "crc32", "size", "offset", "content").mapInArrow(write, "n long"))
+    rows = whole.join(listed.drop("error", "nth"), "task_id", "left").select("task_id", "rel_path", "crc32", "size", "offset", "failed")
+    return saved(rows.repartition("task_id").sortWithinPartitions("task_id", "offset").mapInArrow(finish, "task_id string, path string, n_files long, error string"))
+
+
+def _put(file: int, raw, at: int) -> None:
+    view = memoryview(raw).cast("B")
+    while len(view):
+        n = os.pwrite(file, view, at)
+        view, at = view[n:], at + n
 
 
 def write_documents(files: DataFrame, folder: str) -> DataFrame:
-    """One file for each artifact below a shared folder; returns rel_path and size. Rows are written where they are."""
+    """One file for each artifact below a shared folder, all of them or none; returns rel_path and size."""
+    from . import datasources
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = content if isinstance(content, bytes) else (content or "").encode()
-                path = os.path.join(folder, name)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "wb") as f:
-                    f.write(raw)
-                sizes.append(len(raw))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], ["rel_path", "size"])
-
-    return files.where("content is not null").select("rel_path", "content").mapInArrow(run, "rel_path string, size long")
+    datasources.write_files(files, folder)
+    return files.where("content is not null").select("rel_path", F.octet_length("content").cast("long").alias("size"))
 
 
 def original_file(kind: Column, suffix: Column, stem: Column) -> Column:
