@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import office, tasks
 from ..session import saved, shared_folder
 from ..sources import ooxml, sinks
-from ..streaming import ingest
+from ..streaming import ingest, lifecycle
 from .inputs import table
 from .text_queries import d_trim
 
@@ -217,6 +217,26 @@ def task_states(spark, sf_dir):
     return ingest.fold_status(rows)
 
 
+def task_lifecycle(spark, sf_dir):
+    """Tasks and leases from a stream of the events, with a day of retention: who is there when the watermark has passed all events."""
+    folder = f"{shared_folder(spark)}/stream-{os.urandom(6).hex()}"
+    schema = table(spark, sf_dir, "events").schema
+    events = ingest.parquet_stream(spark, f"{sf_dir}/events.parquet*", schema)
+    kinds = F.element_at(F.array(*map(F.lit, ("pending", "acquire", "processing", "release", "completed", "failed", "acquire"))), (F.col("event_id") % 7 + 1).cast("int"))
+    lease = F.when(kinds.isin("acquire", "release"), F.concat(F.lit("l"), (F.floor(F.col("event_id") / 7) % 2).cast("string")))
+    changes = events.select(F.col("user_id").cast("long").alias("task_id"), F.col("event_id").cast("long").alias("seq"), kinds.alias("kind"), lease.alias("lease"), F.col("ts").cast("timestamp").alias("at"))
+    found = lifecycle.live(lifecycle.run(changes, f"{folder}/out", f"{folder}/state", 24 * 3600))
+    return found.select("task_id", "status", *[F.unix_millis(c).alias(c) for c in ("created_at", "started_at", "completed_at")], F.col("readers").cast("long").alias("readers"))
+
+
+LIFECYCLE = """with e as (select user_id as t, event_id as seq, epoch_us(ts) // 1000 as ms, ['pending', 'acquire', 'processing', 'release', 'completed', 'failed', 'acquire'][event_id % 7 + 1] as kind, event_id // 7 % 2 as lease from events),
+w as (select max(epoch_us(ts)) // 1000 - 3600000 as wm from events),
+s as (select *, min(case when kind in ('completed', 'failed') then seq end) over (partition by t) as done, min(case when kind in ('pending', 'processing', 'completed', 'failed') then seq end) over (partition by t) as first_seq from e),
+k as (select t, arg_max(kind, seq) as status, arg_min(ms, seq) as created_at, arg_min(case when kind = 'processing' then ms end, case when kind = 'processing' then seq end) as started_at, arg_min(case when kind in ('completed', 'failed') then ms end, case when kind in ('completed', 'failed') then seq end) as completed_at from s where kind not in ('acquire', 'release') and (done is null or seq <= done) group by t),
+l as (select t, count(*) filter (where k = 'acquire') as readers from (select t, lease, arg_max(kind, seq) as k from s where kind in ('acquire', 'release') and seq > first_seq group by all) x group by t)
+select k.t as task_id, status, created_at, started_at, completed_at, coalesce(readers, 0) as readers from k left join l using (t), w where completed_at is null or completed_at + 86400000 > wm or coalesce(readers, 0) > 0"""
+
+
 def task_state_stream(spark, sf_dir):
     """The same as a stream with state, by the time of the events."""
     folder = f"{shared_folder(spark)}/stream-{os.urandom(6).hex()}"
@@ -255,7 +275,7 @@ select content_type, cast(sum(c) as bigint) as n from (select 'image/png' as con
 RESULT_JSON = """with d as (select doc_id // 4 as task_id, 'd' || doc_id as stem, '"d' || doc_id || '":{"md_content":' || to_json(text) || ',"middle_json":' || to_json('{"lang":"' || lang || '"}') || '}' as one from documents)
 select task_id, '{"backend":"vlm","version":"1.0.0","results":{' || string_agg(one, ',' order by stem) || '}}' as body from d group by task_id"""
 
-QUERIES = {f.__name__: f for f in (ooxml_blocks, ooxml_markdown, ooxml_content_list, ooxml_content_list_v2, ooxml_parts, ooxml_relationships, ooxml_elements, zip_manifest, result_json, original_names, stream_ingest, task_states, task_state_stream)}
+QUERIES = {f.__name__: f for f in (ooxml_blocks, ooxml_markdown, ooxml_content_list, ooxml_content_list_v2, ooxml_parts, ooxml_relationships, ooxml_elements, zip_manifest, result_json, original_names, stream_ingest, task_states, task_state_stream, task_lifecycle)}
 SQL = {
     "ooxml_blocks": BLOCKS_SQL,
     "ooxml_markdown": MARKDOWN_SQL,
@@ -269,4 +289,5 @@ SQL = {
     "stream_ingest": "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
     "task_states": STATES_SQL,
     "task_state_stream": STATE_STREAM,
+    "task_lifecycle": LIFECYCLE,
 }
