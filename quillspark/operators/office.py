@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import saved
 from . import tables
-from .render import JSON
+from .render import JSON, VERSION
 
 FULL_SLIDE_PERCENT, TINY_EMU = 98, 91_440
 
@@ -88,10 +88,45 @@ def content_list_v2(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("item", item)
 
 
+_MIDDLE_SPAN = "struct<type:string,content:string,url:string,style:array<string>,html:string,image_path:string>"
+
+
+def _middle_spans(spans: Column) -> Column:
+    kind = lambda s: F.when(s["type"] == "equation_inline", F.lit("inline_equation")).otherwise(s["type"])
+    null = F.lit(None).cast("string")
+    return F.transform(spans, lambda s: F.struct(kind(s).alias("type"), s["content"].alias("content"), s["url"].alias("url"), F.when(F.size(s["style"]) > 0, s["style"]).alias("style"), null.alias("html"), null.alias("image_path")))
+
+
+def middle_json(blocks: DataFrame) -> DataFrame:
+    """file, middle_json: all pages of a file with their blocks and what was discarded.
+
+    Blocks and discarded ones are numbered for themselves on each page. Warnings
+    and errors are no blocks; a file that has nothing else has no pages.
+    """
+    kind = F.col("kind")
+    null = lambda t="string": F.lit(None).cast(t)
+    single = lambda name, content, html=None, path=None: F.array(F.struct(F.lit(name).alias("type"), F.col(content).alias("content"), null().alias("url"), null("array<string>").alias("style"), (F.col(html) if html else null()).alias("html"), (F.col(path) if path else null()).alias("image_path")))
+    line = lambda spans: F.array(F.struct(spans.cast(f"array<{_MIDDLE_SPAN}>").alias("spans")))
+    part = lambda name, spans, at=null("int"): F.struct(F.lit(name).alias("type"), at.alias("index"), line(spans).alias("lines"))
+    lines = F.when(kind.isin("text", "title"), line(_middle_spans(F.col("spans")))).when(kind == "equation", line(single("interline_equation", "content")))
+    inner = (
+        F.when(kind == "table", F.array(part("table_body", single("table", "html", html="html"))))
+        .when(kind == "chart", F.array(part("chart_body", single("chart", "html", html="html"))))
+        .when(kind == "image", F.array(part("image_body", single("image", "alt", path="path"))))
+        .when(kind == "list", F.transform("item_spans", lambda s, i: part("text", _middle_spans(s), i)))
+    )
+    name = F.when(kind == "equation", "interline_equation").otherwise(kind)
+    rows = blocks.where(~kind.isin("warning", "error"))
+    at = F.row_number().over(Window.partitionBy("file", "page_idx", kind == "discarded").orderBy("idx")) - 1
+    rows = rows.withColumn("__at", at).select("file", "page_idx", "__at", "kind", F.struct(name.alias("type"), F.col("__at").alias("index"), F.when(kind == "title", F.col("level")).alias("level"), lines.alias("lines"), inner.alias("blocks")).alias("b"), F.struct(F.lit("discarded").alias("type"), F.col("__at").alias("index"), "reason", F.regexp_replace("content", "^[^:]*: ", "").alias("detail")).alias("d"))
+    pick = lambda flag, c: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == "discarded") == flag, F.struct("__at", c))), lambda x, y: x["__at"] - y["__at"]), lambda x: x[c])
+    pages = rows.groupBy("file", "page_idx").agg(pick(False, "b").alias("para_blocks"), pick(True, "d").alias("discarded_blocks"))
+    info = F.array_sort(F.collect_list(F.struct("page_idx", "para_blocks", "discarded_blocks")), lambda x, y: x["page_idx"] - y["page_idx"])
+    return pages.groupBy("file").agg(F.to_json(F.struct(info.alias("pdf_info"), F.lit("office").alias("_backend"), F.lit(VERSION).alias("_version_name")), JSON).alias("middle_json"))
+
+
 def merge_lists(blocks: DataFrame, document: list[str]) -> DataFrame:
     """Neighbouring list blocks as one, at the first one's idx (gaps and islands); columns kind, idx, items."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*document).orderBy("idx")
     starts = (F.col("kind") != "list") | (F.coalesce(F.lag("kind").over(w), F.lit("")) != "list")
     grouped = blocks.withColumn("__s", starts).withColumn("__g", F.sum(F.col("__s").cast("int")).over(w))

@@ -121,6 +121,10 @@ def ooxml_content_list_v2(spark, sf_dir):
     return office.content_list_v2(office_blocks(spark, sf_dir)).where("item is not null").select("file", "idx", "item")
 
 
+def ooxml_middle_json(spark, sf_dir):
+    return office.middle_json(office_blocks(spark, sf_dir))
+
+
 def ooxml_parts(spark, sf_dir):
     return ooxml.parts(packages(spark, sf_dir)).groupBy("content_type").agg(F.count("*").alias("n"))
 
@@ -159,12 +163,13 @@ x as (select * from w union all select doc_id, -1, 'title', 'Document ' || doc_i
 union all select doc_id, 1000000000, 'table', '<table><tr><td>' || lang || '</td><td>' || n_chars || '</td></tr></table>', null, null from documents where doc_id % 3 = 0
 union all select doc_id, 1000000001, 'image', {_PATH}, null, null from documents where doc_id % 3 = 0 union all select doc_id, 1000000002, 'discarded', 'missing_image_part: rId9', null, null from documents where doc_id % 3 = 0),
 y as (select *, case when kind = 'list' and coalesce(lag(kind) over (partition by d order by k), '') = 'list' then 0 else 1 end as fresh from x),
-g as (select *, sum(fresh) over (partition by d order by k) as g from y),
-word as (select 'f' || d || '.docx' as file, 0 as page_idx, cast(g - 1 as int) as idx, any_value(kind) as kind, string_agg(content, '|' order by k) as content, string_agg(md, chr(10) order by k) as md, string_agg(case when kind = 'list' then '{{"item_type":"text","ilevel":0,"prefix":"-","item_content":[' || v2 || ']}}' else v2 end, ',' order by k) as v2, case when any_value(kind) = 'list' then string_agg(to_json({_O("replace(replace(replace(replace(content, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')")})::varchar, ',' order by k) end as shown, case when any_value(kind) = 'title' then 1 end as level from g group by d, g),
+z as (select *, sum(fresh) over (partition by d order by k) as g from y),
+g as (select *, row_number() over (partition by d, g order by k) - 1 as i from z),
+word as (select 'f' || d || '.docx' as file, 0 as page_idx, cast(g - 1 as int) as idx, any_value(kind) as kind, string_agg(content, '|' order by k) as content, string_agg(md, chr(10) order by k) as md, string_agg(case when kind = 'list' then '{{"item_type":"text","ilevel":0,"prefix":"-","item_content":[' || v2 || ']}}' else v2 end, ',' order by k) as v2, case when any_value(kind) = 'list' then string_agg(to_json({_O("replace(replace(replace(replace(content, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')")})::varchar, ',' order by k) end as shown, case when any_value(kind) = 'title' then 1 end as level, string_agg(case when kind = 'list' then '{{"type":"text","index":' || i || ',"lines":[{{"spans":[' || v2 || ']}}]}}' else v2 end, ',' order by k) as mj from g group by d, g),
 s as (select d, cast((n + 3) // 4 - 1 - k // 4 as int) as page_idx, 0 as o, 3 - k % 4 as y, k, {d_trim("line")} as t from l where d % 3 = 1 and {d_trim("line")} <> '' union all select doc_id, cast((len(string_split(text, chr(10))) + 3) // 4 - 1 as int), 1, 0, 0, 'Notes: about ' || doc_id from documents where doc_id % 3 = 1),
 r as (select *, row_number() over (partition by d order by page_idx, o, y) - 1 as i, row_number() over (partition by d, page_idx order by o, y) as pl from s),
-slides as (select 'f' || d || '.pptx' as file, page_idx, cast(i as int) as idx, case when pl = 1 and o = 0 and strlen(t) < 80 then 'title' else 'text' end as kind, t as content, case when pl = 1 and o = 0 and strlen(t) < 80 then '# ' else '' end || {_O("t")} as md, {_SPAN("t")} as v2, null as shown, case when pl = 1 and o = 0 and strlen(t) < 80 then 1 end as level from r),
-sheets as (select 'f' || d || '.xlsx' as file, 0 as page_idx, 0 as idx, 'table' as kind, '<table><caption>S ' || d || '</caption>' || string_agg(case when k = 0 then '<tr><td colspan="2">' || {_Q("line")} || '</td></tr>' else '<tr><td>' || {_Q("line")} || '</td><td>' || k || '</td></tr>' end, '' order by k) || '</table>' as content, null as md, null as v2, null as shown, null::int as level from l where d % 3 = 2 group by d),
+slides as (select 'f' || d || '.pptx' as file, page_idx, cast(i as int) as idx, case when pl = 1 and o = 0 and strlen(t) < 80 then 'title' else 'text' end as kind, t as content, case when pl = 1 and o = 0 and strlen(t) < 80 then '# ' else '' end || {_O("t")} as md, {_SPAN("t")} as v2, null as shown, case when pl = 1 and o = 0 and strlen(t) < 80 then 1 end as level, {_SPAN("t")} as mj from r),
+sheets as (select 'f' || d || '.xlsx' as file, 0 as page_idx, 0 as idx, 'table' as kind, '<table><caption>S ' || d || '</caption>' || string_agg(case when k = 0 then '<tr><td colspan="2">' || {_Q("line")} || '</td></tr>' else '<tr><td>' || {_Q("line")} || '</td><td>' || k || '</td></tr>' end, '' order by k) || '</table>' as content, null as md, null as v2, null as shown, null::int as level, null as mj from l where d % 3 = 2 group by d),
 b as (select * from word union all select * from slides union all select * from sheets)"""
 BLOCKS_SQL = f"""with {OFFICE_BLOCKS} select file, page_idx, idx, kind, case when kind in ('text', 'title', 'equation', 'discarded') then content end as content, level, case when kind = 'table' then content end as html, case when kind = 'discarded' then 'missing_image_part' end as reason, case when kind = 'list' then content end as items from b"""
 MARKDOWN_SQL = f"""with {OFFICE_BLOCKS} select file, string_agg(case kind when 'table' then content when 'image' then '![image](' || content || ')' else md end, chr(10) || chr(10) order by page_idx, idx) filter (where kind <> 'discarded') || chr(10) as markdown from b group by file"""
@@ -264,6 +269,14 @@ else '{{"type":"image","img_path":"' || content || '","image_path":"' || content
 CONTENT_LIST_V2 = f"""with {OFFICE_BLOCKS} select file, idx, case kind when 'text' then '{{"type":"paragraph","content":{{"paragraph_content":[' || v2 || ']}}}}' when 'title' then '{{"type":"title","content":{{"title_content":[' || v2 || '],"level":1}}}}'
 when 'list' then '{{"type":"list","content":{{"list_type":"text_list","attribute":"unordered","list_items":[' || v2 || ']}}}}' when 'equation' then '{{"type":"equation_interline","content":{{"math_content":"' || content || '","math_type":"latex"}}}}'
 when 'table' then '{{"type":"table","content":{{"table_caption":[],"html":' || to_json(content) || ',"table_type":"' || case when content like '%colspan%' then 'complex_table' else 'simple_table' end || '","table_nest_level":1}}}}' else '{{"type":"image","content":{{"image_source":{{"path":"' || content || '"}},"image_caption":[]}}}}' end as item from b where kind <> 'discarded'"""
+OFFICE_MIDDLE = f"""with {OFFICE_BLOCKS}, n as (select *, row_number() over (partition by file, page_idx, kind = 'discarded' order by idx) - 1 as at_ from b),
+j as (select file, page_idx, kind = 'discarded' as gone, at_, case kind when 'discarded' then '{{"type":"discarded","index":' || at_ || ',"reason":"missing_image_part","detail":"rId9"}}'
+when 'text' then '{{"type":"text","index":' || at_ || ',"lines":[{{"spans":[' || replace(mj, 'equation_inline', 'inline_equation') || ']}}]}}' when 'title' then '{{"type":"title","index":' || at_ || ',"level":1,"lines":[{{"spans":[' || mj || ']}}]}}'
+when 'list' then '{{"type":"list","index":' || at_ || ',"blocks":[' || mj || ']}}' when 'equation' then '{{"type":"interline_equation","index":' || at_ || ',"lines":[{{"spans":[{{"type":"interline_equation","content":"' || content || '"}}]}}]}}'
+when 'image' then '{{"type":"image","index":' || at_ || ',"blocks":[{{"type":"image_body","lines":[{{"spans":[{{"type":"image","content":"image","image_path":"' || content || '"}}]}}]}}]}}'
+else '{{"type":"table","index":' || at_ || ',"blocks":[{{"type":"table_body","lines":[{{"spans":[{{"type":"table","content":' || to_json(content) || ',"html":' || to_json(content) || '}}]}}]}}]}}' end as j from n),
+p as (select file, page_idx, '{{"page_idx":' || page_idx || ',"para_blocks":[' || coalesce(string_agg(j, ',' order by at_) filter (where not gone), '') || '],"discarded_blocks":[' || coalesce(string_agg(j, ',' order by at_) filter (where gone), '') || ']}}' as page from j group by file, page_idx)
+select file, '{{"pdf_info":[' || string_agg(page, ',' order by page_idx) || '],"_backend":"office","_version_name":"1.0.0"}}' as middle_json from p group by file"""
 RELATIONSHIPS = """with p as (select doc_id as d, (len(string_split(text, chr(10))) + 3) // 4 as n from documents)
 select 'f' || d || '.docx' as file, 'word/document.xml' as base_part, rel_id, target, target_part from p, (values ('rId1', 'media/i.png', 'word/media/i.png'), ('rId2', 'http://a/b c', null)) t(rel_id, target, target_part) where d % 3 = 0
 union all select 'f' || d || '.pptx', 'ppt/presentation.xml', 'rId' || i, 'slides/slide' || i || '.xml', 'ppt/slides/slide' || i || '.xml' from (select d, unnest(range(1, n + 1)) as i from p where d % 3 = 1)
@@ -275,12 +288,13 @@ select content_type, cast(sum(c) as bigint) as n from (select 'image/png' as con
 RESULT_JSON = """with d as (select doc_id // 4 as task_id, 'd' || doc_id as stem, '"d' || doc_id || '":{"md_content":' || to_json(text) || ',"middle_json":' || to_json('{"lang":"' || lang || '"}') || '}' as one from documents)
 select task_id, '{"backend":"vlm","version":"1.0.0","results":{' || string_agg(one, ',' order by stem) || '}}' as body from d group by task_id"""
 
-QUERIES = {f.__name__: f for f in (ooxml_blocks, ooxml_markdown, ooxml_content_list, ooxml_content_list_v2, ooxml_parts, ooxml_relationships, ooxml_elements, zip_manifest, result_json, original_names, stream_ingest, task_states, task_state_stream, task_lifecycle)}
+QUERIES = {f.__name__: f for f in (ooxml_blocks, ooxml_markdown, ooxml_content_list, ooxml_content_list_v2, ooxml_middle_json, ooxml_parts, ooxml_relationships, ooxml_elements, zip_manifest, result_json, original_names, stream_ingest, task_states, task_state_stream, task_lifecycle)}
 SQL = {
     "ooxml_blocks": BLOCKS_SQL,
     "ooxml_markdown": MARKDOWN_SQL,
     "ooxml_content_list": CONTENT_LIST,
     "ooxml_content_list_v2": CONTENT_LIST_V2,
+    "ooxml_middle_json": OFFICE_MIDDLE,
     "ooxml_relationships": RELATIONSHIPS,
     "ooxml_parts": PARTS,
     "result_json": RESULT_JSON,
