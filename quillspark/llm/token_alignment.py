@@ -28,8 +28,10 @@ from . import common, packing, piece_tokens
 ID_BITS, ROW_BITS = 20, 22
 #: Pairs of a group beyond which its repeated ids are taken together; pairs that are made at once.
 LARGE_GROUP, AT_ONCE = 1 << 12, 1 << 22
+#: Bytes of text that are aligned together.
+PART = 1 << 20
 #: Pairs that a task counts before it hands its counts on; pairs in a row of partial counts.
-HELD, ROW = 1 << 22, 1 << 16
+HELD, ROW = 1 << 21, 1 << 16
 #: Partial counts of a shard on average; tokens for which the shards are read once.
 SHARD, CHUNK = 1 << 21, 3 << 20
 
@@ -182,7 +184,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, held = load(byte_path, piece_path), []
-        for part in (part for whole in batches for part in common.slices(whole, "text")):
+        for part in (part for whole in batches for part in common.slices(whole, "text", PART)):
             texts = pc.fill_null(part.column(1).cast(pa.large_string()), "")
             a, at, b, bt = pair.encode(texts)
             groups = Groups(pair, a, at, b, bt)
