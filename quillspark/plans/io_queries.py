@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import office, tasks
-from ..session import saved, shared_folder
+from ..session import once, saved, shared_folder
 from ..sources import ooxml, sinks
 from ..streaming import ingest, lifecycle
 from .inputs import table
@@ -94,15 +94,9 @@ def packages(spark, sf_dir):
     return saved(docs.mapInArrow(build, "file string, suffix string, content binary"))
 
 
-_written: dict[tuple[str, str], object] = {}
-
-
 def office_blocks(spark, sf_dir):
     """The blocks of all packages, written once for all queries of a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        _written[key] = saved(ooxml.blocks(packages(spark, sf_dir)))
-    return _written[key]
+    return once(spark, "office blocks", sf_dir, lambda: ooxml.blocks(packages(spark, sf_dir)))
 
 
 def ooxml_blocks(spark, sf_dir):

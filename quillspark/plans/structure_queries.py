@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import layout, office, render, structure, tables, tasks
-from ..session import saved
+from ..session import once, saved
 from ..sources import config
 from . import inputs
 from .inputs import derived, table
@@ -89,8 +89,8 @@ def _processed(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir):
-    """The table of typed blocks, written once: all structure rules read it several times."""
-    return saved(structure.to_blocks(_processed(spark, sf_dir), PAGE))
+    """The table of typed blocks, written once for all queries of a session: the structure rules read it several times."""
+    return once(spark, "blocks", sf_dir, lambda: structure.to_blocks(_processed(spark, sf_dir), PAGE))
 
 
 def post_process(spark, sf_dir):
@@ -150,13 +150,17 @@ MERGE = f"""with t as (select doc, page_idx, idx, case when not coalesce(merge_p
 select doc, page_idx, idx, (select max(u.s) from t u where u.doc = t.doc and u.page_idx = t.page_idx and u.idx <= t.idx) as group_idx from t"""
 
 
+def _assembled(spark, sf_dir):
+    return once(spark, "assembled blocks", sf_dir, lambda: structure.assemble(_blocks(spark, sf_dir), PAGE))
+
+
 def assembled(spark, sf_dir):
-    return saved(structure.assemble(_blocks(spark, sf_dir), PAGE)).withColumn("point_w", F.lit(1003)).withColumn("point_h", F.lit(1001))
+    return _assembled(spark, sf_dir).withColumn("point_w", F.lit(1003)).withColumn("point_h", F.lit(1001))
 
 
 def visual_groups(spark, sf_dir):
     """Children of each visual block, by their role."""
-    rows = structure.assemble(_blocks(spark, sf_dir), PAGE).where(F.col("type").isin("image", "table", "chart", "code"))
+    rows = _assembled(spark, sf_dir).where(F.col("type").isin("image", "table", "chart", "code"))
     return rows.select(*PAGE, "idx", F.posexplode("children").alias("place", "c")).select(*PAGE, "idx", "place", F.col("c.idx").alias("child_idx"), F.col("c.type").alias("role"))
 
 
@@ -166,7 +170,7 @@ select doc, page_idx, idx, cast(row_number() over (partition by doc, page_idx, i
 
 
 def top_level_counts(spark, sf_dir):
-    return structure.assemble(_blocks(spark, sf_dir), PAGE).groupBy("type", "discarded").agg(F.count("*").alias("n"), F.sum(F.size("lines")).alias("n_lines"), F.sum(F.size("children")).alias("n_children"))
+    return _assembled(spark, sf_dir).groupBy("type", "discarded").agg(F.count("*").alias("n"), F.sum(F.size("lines")).alias("n_lines"), F.sum(F.size("children")).alias("n_children"))
 
 
 TOP = f"""with b as ({TYPED}), p as ({PARENTS}), t as (select b.doc, b.page_idx, b.idx, b.x1, b.y1, b.x2, b.y2, case when b.type in ({CHILDREN}) and p.parent_idx is null then 'text' else b.type end as type, b.merge_prev, p.parent_idx as v from b left join p on b.doc = p.doc and b.page_idx = p.page_idx and b.idx = p.idx),
@@ -203,6 +207,11 @@ def page_markdown(spark, sf_dir):
     return render.markdown(assembled(spark, sf_dir), ["doc"], ["page_idx", "idx"])
 
 
+def markdown_segments(spark, sf_dir):
+    """The Markdown of each document in segments: place, offset and size of each, and their text."""
+    return render.markdown_segments(assembled(spark, sf_dir), ["doc"], ["page_idx", "idx"], 2_000)
+
+
 def middle_json(spark, sf_dir):
     return render.middle_json(assembled(spark, sf_dir), PAGE, ["doc"], "page_idx")
 
@@ -458,7 +467,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         layout_parse, layout_types_filter, bbox_points, bbox_thousandths, crop_boxes, skip_extract, page_windows, post_process, type_histogram, caption_parents, caption_unmatched, list_contains_items, list_mode_type,
-        merge_prev_paragraphs, visual_groups, top_level_counts, content_list_v1, content_list_v2, content_list_boxes, page_markdown, middle_json, model_json, sheet_trim, sheet_merge_spans, sheet_html, task_status_counts,
+        merge_prev_paragraphs, visual_groups, top_level_counts, content_list_v1, content_list_v2, content_list_boxes, page_markdown, markdown_segments, middle_json, model_json, sheet_trim, sheet_merge_spans, sheet_html, task_status_counts,
         queued_ahead, retention_expired, retention_sweep, status_payload, suffix_gate, stem_uniquify, stem_uniquify_exact, boolean_parse, option_validation, rel_lookup, part_paths, content_type_lookup, style_closure,
         slide_order, decor_filter, adjacent_list_merge, adjacent_span_merge, health_snapshot, readable_results, upload_zip, image_formats,
     )

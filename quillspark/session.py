@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: UTC timestamps, unbroken Base64 (hashes of data URIs depend on it), right side wins in merged maps, adaptive plans.
 SETTINGS = {
@@ -42,8 +44,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: the plan ends there, and a lost executor takes nothing with it."""
+def _written(df: DataFrame) -> str:
     path = f"{shared_folder(df.sparkSession)}/quillspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: the plan ends there, and a lost executor takes nothing with it."""
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df))
+
+
+_kept: dict[tuple[str, ...], tuple[str, StructType]] = {}
+
+
+def once(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make() as a table in the shared folder, written once by a session for what it reads from `source`, which must not change meanwhile.
+
+    A table that was deleted in the shared folder is made again.
+    """
+    key = (spark.sparkContext.applicationId, name, source)
+    if key in _kept:
+        there = spark._jvm.org.apache.hadoop.fs.Path(_kept[key][0] + "/_SUCCESS")
+        if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            del _kept[key]
+    if key not in _kept:
+        df = make()
+        _kept[key] = (_written(df), df.schema)
+    path, schema = _kept[key]
+    return spark.read.schema(schema).parquet(path)

@@ -208,3 +208,34 @@ def test_merge_of_a_whole_sheet(spark):
     assert left.count() == (rows + 2) // 3 and left.where("rowspan > 1 or colspan > 1").count() == 0
     found = tables.sheet_cells(cells.where("row < 9"), merges.where("m_r0 = 0").unionByName(merges.limit(0)), ["sheet"]).select("row", "col", "rowspan", "colspan").collect()
     assert sorted(map(tuple, found)) == [(0, 0, 1, 1), (3, 0, 1, 1), (6, 0, 1, 1)]
+
+
+def test_markdown_in_segments(spark, data_dir):
+    """Segments follow each other without a gap, and are together what the one-level form gives."""
+    from quillspark.operators import render
+    from quillspark.plans import structure_queries
+
+    blocks = structure_queries.assembled(spark, data_dir)
+    want = {r.doc: r.markdown for r in render.markdown(blocks, ["doc"], ["page_idx", "idx"]).collect()}
+    for most in (1, 500, 1 << 20):
+        got = {}
+        for r in sorted(render.markdown_segments(blocks, ["doc"], ["page_idx", "idx"], most).collect(), key=lambda r: (r.doc, r.segment)):
+            assert r.at == len(got.setdefault(r.doc, "")) and r["size"] == len(r.text)
+            got[r.doc] += r.text
+        assert got == want
+
+
+def test_written_once(spark, tmp_path):
+    import shutil
+
+    from quillspark import session
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    assert session.once(spark, "t", str(tmp_path), make).count() == session.once(spark, "t", str(tmp_path), make).count() == 3 and len(made) == 1
+    shutil.rmtree(next(path for (_, name, source), (path, _) in session._kept.items() if source == str(tmp_path)).removeprefix("file:"))
+    assert session.once(spark, "t", str(tmp_path), make).count() == 3 and len(made) == 2
