@@ -1,8 +1,10 @@
 """Secret scanning with ownership frequency over the whole corpus.
 
 Candidates are found by pattern. For each distinct value (by hash) the corpus
-gives the number of distinct owners (the source of the documents). A value that
-many owners hold is a copied example; one that few owners hold is live-looking.
+gives the numbers of distinct repositories (sources) and of their owners (what
+is before the first slash of a source, or all of it). A value that many owners
+hold is a copied example, one that few owners hold, in however many
+repositories of theirs, is live-looking.
 Bare tokens count as candidates only where they look random by themselves.
 """
 
@@ -10,7 +12,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,9 +49,12 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     base = sorted((a, b) for a, _, b, _ in found)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for m in OPAQUE.finditer(text):
-        if looks_random(m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
-            found.append((m.start(), 3, m.end(), m[0]))
+        if looks_random(m[0]):
+            before = bisect_left(starts, m.end())  # of the base spans that begin before its end, the farthest reaches
+            if not before or reach[before - 1] <= m.start():
+                found.append((m.start(), 3, m.end(), m[0]))
     return sorted(found)
 
 
@@ -55,13 +62,14 @@ _FOLD = {c: c + 32 for c in range(65, 91)}
 
 
 def scan(docs: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
-    """doc_id, source, print (xxhash64 of the text), row (unique), spans (array of kind, start, end, owners, live) of each row, by start and then kind.
+    """doc_id, source, print (xxhash64 of the text), row (unique), spans (array of start, kind, end, owners, live, repositories) of each row, by start and then kind.
 
     start and end: code points, end exclusive. Kinds assign, access and hex are
     base spans and stay whatever the owners; opaque spans are only those whose
     value is live: fewer than `common_owners` owners. Null or empty text: no
-    spans. A null source is an owner of its own. Repeated rows and ties: a
-    value is counted once for each owner, each row keeps its own spans.
+    spans. A null source is a repository and an owner of its own, other than
+    an empty one. Repeated rows and ties: a value is counted once for each
+    repository and owner, each row keeps its own spans.
     """
     common.arrow_batches(docs.sparkSession)
 
@@ -73,12 +81,14 @@ def scan(docs: DataFrame, common_owners: int = COMMON_OWNERS) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text").alias("print"), "text").mapInArrow(run, "doc_id long, source string, print long, found array<struct<kind:int,start:int,end:int,value:binary>>")
     found = common.saved(found.withColumn("row", F.monotonically_increasing_id()))  # small: spans and hashes, no text
     each = found.select("doc_id", "source", "print", "row", F.explode_outer("found").alias("f")).select("doc_id", "source", "print", "row", "f.*")
-    owned = each.where("value is not null").groupBy("value", F.coalesce("source", F.lit("")).alias("owner")).agg(F.count("*").alias("n"))
-    owners = owned.groupBy(F.col("value").alias("key")).agg(F.count("*").alias("owners"), F.sum("n").alias("n"))
+    told = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  null is a value of its own
+    held = each.where("value is not null").groupBy("value", told(F.substring_index("source", "/", 1)).alias("owner"), told(F.col("source")).alias("repository")).agg(F.count("*").alias("n"))
+    owned = held.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n"))
+    owners = owned.groupBy(F.col("value").alias("key")).agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
     # rows without a value spread by themselves
     each = each.withColumn("key", F.coalesce("value", F.encode(F.col("row").cast("string"), "utf-8")))
     joined = common.join_counted(each, common.saved(owners), "key", F.xxhash64("row")).withColumn("live", F.col("owners") < common_owners)
-    span = F.when(F.col("kind").isNotNull() & ((F.col("kind") < 3) | F.col("live")), F.struct("start", "kind", "end", "owners", "live"))
+    span = F.when(F.col("kind").isNotNull() & ((F.col("kind") < 3) | F.col("live")), F.struct("start", "kind", "end", "owners", "live", "repositories"))
     return joined.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("print").alias("print"), F.array_sort(F.collect_list(span)).alias("spans"))
 
 
