@@ -194,6 +194,15 @@ def html_blocks(spark, sf_dir):
     return rows.select("page_id", "pos", F.when(F.lower("x.k") == "h1", F.lit("title")).when(F.lower("x.k") == "li", F.lit("list")).otherwise(F.lit("text")).alias("type"), plain.alias("content")).where("content <> ''")
 
 
+# a mark before each tag that ends a block stands for the look ahead
+_BLOCK = "'(?is)<(h1|p|li)[^>]*>([^\\x01]*)\\x01'"
+_UNTAGGED = "regexp_replace(b, '<[^>]*>', '', 'g')"
+HTML_BLOCKS = f"""with m as (select page_id, regexp_replace(html, '(?i)(<(?:/h1|/p|/li|h1|p|li)[ >])', chr(1) || '\\1', 'g') as h from pages),
+x as (select page_id, generate_subscripts(regexp_extract_all(h, {_BLOCK}, 1), 1) - 1 as pos, unnest(regexp_extract_all(h, {_BLOCK}, 1)) as k, unnest(regexp_extract_all(h, {_BLOCK}, 2)) as b from m),
+c as (select page_id, cast(pos as int) as pos, case lower(k) when 'h1' then 'title' when 'li' then 'list' else 'text' end as type, {d_trim(f"regexp_replace({d_unescape(_UNTAGGED)}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')")} as content from x)
+select * from c where content <> ''"""
+
+
 def page_titles(spark, sf_dir):
     h1 = F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1)
     return table(spark, sf_dir, "pages").select("page_id", text.trim(h1).alias("title"), F.regexp_count("html", F.lit("(?i)<p[ >]")).alias("n_paragraphs"), tables.table_kind(F.col("html")).alias("table_kind"), tables.nest_level(F.col("html")).alias("level"))
@@ -282,6 +291,7 @@ QUERIES = {
 
 _MIME = "case lower(['png', 'jpg', 'GIF', 'xyz', 'webp'][doc_id % 5 + 1]) when 'png' then 'image/png' when 'gif' then 'image/gif' when 'webp' then 'image/webp' else 'image/jpeg' end"
 SQL = {
+    "html_blocks": HTML_BLOCKS,
     "doc_markdown": DOC_MARKDOWN,
     "md_escape": f"select doc_id, {d_md('t')} as escaped from (select doc_id, {MARKED} as t from documents) q",
     "md_prefix_escape": f"""select doc_id, cast(i - 1 as int) as line_no, {d_prefix('line')} as escaped from (select doc_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i
