@@ -151,6 +151,16 @@ def test_settings():
     assert s.remote_inference_allowed() and not config.load({"DOC_BIND": "0.0.0.0"}).remote_inference_allowed()
 
 
+def test_settings_of_files_and_command_lines(tmp_path):
+    text = "# c\nexport DOC_PAGE_WINDOW=5 # pages\nDOC_OUTPUT_ROOT='/o u t'\nDOC_MODEL_SERVER=\"http://h/\\\"x\"\nDOC_MODEL_QUEUE = 7\nnonsense\nDOC_BIND=\n"
+    (tmp_path / ".env").write_text(text)
+    assert config.dotenv(text) == {"DOC_PAGE_WINDOW": "5", "DOC_OUTPUT_ROOT": "/o u t", "DOC_MODEL_SERVER": 'http://h/"x', "DOC_MODEL_QUEUE": "7", "DOC_BIND": ""}
+    s = config.load({"DOC_PAGE_WINDOW": "6", "DOC_IN_FLIGHT_TASKS": "0"}, str(tmp_path / ".env"), ["--host", "0.0.0.0", "--port", "9"])
+    assert (s.page_window, s.output_root, s.queue_size, s.in_flight_tasks, s.bind, s.port, s.remote_inference_allowed()) == (6, "/o u t", 7, 6, "0.0.0.0", 9, False)
+    assert config.load({"DOC_BIND": "0.0.0.0"}, str(tmp_path / "none"), ["--allow-public-http-client"]).remote_inference_allowed()
+    assert config.load({}) == config.Settings()
+
+
 def test_part_paths(spark):
     resolve = lambda base, target: one(spark, office.resolve_part(F.lit(base), F.col("t")), t=target)
     assert resolve("word/document.xml", "media/i.png") == "word/media/i.png"
