@@ -191,16 +191,15 @@ def content_list_v2(spark, sf_dir):
 
 
 def content_list_boxes(spark, sf_dir):
-    """The parts of the flat content list that have a fixed form: kind, level, box."""
-    rows = render.content_list_v1(assembled(spark, sf_dir), "page_idx").where("item is not null and type not in ('list', 'text')")
+    """The parts of the flat content list that have a fixed form: kind, level, box of every entry."""
+    rows = render.content_list_v1(assembled(spark, sf_dir), "page_idx").where("item is not null")
     get = lambda p: F.get_json_object("item", p)
     return rows.select(*PAGE, "idx", get("$.type").alias("kind"), get("$.text_level").cast("int").alias("level"), get("$.text_format").alias("format"), get("$.bbox[0]").cast("long").alias("bx1"), get("$.bbox[3]").cast("long").alias("by2"))
 
 
-CONTENT_BOXES = f"""with b as ({TYPED}) , l as (select doc, page_idx, idx from ({LISTS}) q)
-select b.doc, b.page_idx, b.idx, case b.type when 'title' then 'text' when 'interline_equation' then 'equation' when 'image_block_body' then 'image' else replace(b.type, '_body', '') end as kind,
-case when b.type = 'title' then 1 end as level, case when b.type = 'interline_equation' then 'latex' end as format, b.x1 * 1000 // 1003 as bx1, b.y2 * 1000 // 1001 as by2
-from b left join l on b.doc = l.doc and b.page_idx = l.page_idx and b.idx = l.idx where b.type not in ({CHILDREN}, 'list', 'text') and l.idx is null"""
+CONTENT_BOXES = TOP[: TOP.index("select type, discarded")] + """select k.doc, k.page_idx, k.idx, case k.type when 'title' then 'text' when 'interline_equation' then 'equation' when 'image_block_body' then 'image' else replace(k.type, '_body', '') end as kind,
+case when k.type = 'title' then 1 end as level, case when k.type = 'interline_equation' then 'latex' end as format, k.x1 * 1000 // 1003 as bx1, k.y2 * 1000 // 1001 as by2
+from k left join n on k.doc = n.doc and k.page_idx = n.page_idx and k.idx = n.owner where k.v is null and k.list_idx is null and (k.type <> 'list' or n.n > 0)"""
 
 
 def page_markdown(spark, sf_dir):
