@@ -77,6 +77,7 @@ def response_error(body: Column) -> Column:
     data = F.from_json(body, _RESPONSE)
     first = F.try_element_at(data["choices"], F.lit(1))
     why = first["finish_reason"]
+    # fixed values: the messages
     return (
         F.when(data["object"] == "error", F.concat(F.lit("Error from server: "), body))
         .when(first.isNull(), F.lit("No choices found in the response."))
@@ -204,6 +205,7 @@ def model_name(base_url: str, override: str | None = None, models: Callable[[str
         told = json.loads((models or (lambda url: _request(url, None, 10.0)))(f"{base_url}/v1/models"))
         found = [m.get("id") for m in told.get("data") or []]
         if len(found) != 1:
+            # fixed value: the message
             raise ValueError(f"Expected exactly one model from {base_url}, but got {len(found)}.")
         if not found[0]:
             raise ValueError(f"Model name is empty in response from {base_url}.")

@@ -76,6 +76,7 @@ def health(known: DataFrame, settings: Settings, version: str, in_flight: DataFr
 
     in_flight: rows of requests to the model (state: queued or active). Figures of a memory allocator are null: executors report theirs to Spark.
     """
+    # fixed values: the names of the fields
     stats = tasks.status_counts(known)
     flying = in_flight.agg(F.count_if(F.col("state") == "queued").alias("queue"), F.count_if(F.col("state") == "active").alias("active")) if in_flight is not None else known.sparkSession.createDataFrame([(0, 0)], "queue long, active long")
     left = lambda limit, used: F.greatest(F.lit(limit).cast("long") - used, F.lit(0).cast("long"))

@@ -188,6 +188,7 @@ def form_options(fields: DataFrame) -> DataFrame:
 def option_errors(options: DataFrame) -> DataFrame:
     """options with backend (alias resolved) and error (null if valid); columns parse_method, backend, start_page_id, end_page_id, n_files."""
     backend = F.when(F.col("backend") == "vllm-http-client", F.lit("vlm-http-client")).otherwise(F.col("backend"))
+    # fixed values: the messages
     error = (
         F.when(F.col("n_files") < 1, F.lit("At least one file is required"))
         .when(~F.col("parse_method").isin("auto", "txt", "ocr"), F.lit("Invalid parse_method. Allowed values: auto, ocr, txt"))
