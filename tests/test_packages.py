@@ -149,13 +149,13 @@ class Words:
         return samples.package(parts)
 
 
-@pytest.mark.parametrize("kind, seeds", [("docx", range(160)), ("pptx", range(90)), ("xlsx", range(120))])
+@pytest.mark.parametrize("kind, seeds", [("docx", range(100)), ("pptx", range(60)), ("xlsx", range(80))])
 def test_random_packages(spark, kind, seeds):
     compare(spark, [(kind, getattr(Words(i), kind)()) for i in seeds])
 
 
 def test_repeated_cells(spark):
-    compare(spark, [("docx", Words(1000 + i).docx()) for i in range(60)], repeated=True)
+    compare(spark, [("docx", Words(1000 + i).docx()) for i in range(30)], repeated=True)
 
 
 def test_bad_packages(spark):
