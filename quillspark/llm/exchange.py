@@ -58,7 +58,7 @@ def order(names: np.ndarray, buckets: int, keep: int) -> tuple[np.ndarray, np.nd
 def send(chunk: int, bucket: np.ndarray, value: np.ndarray, width: int, firsts: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.RecordBatch:
     """One row for each bucket; width: bytes sent of a value; more: four more bytes of each name."""
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if bucket.size else np.zeros(0, np.int64)
-    ends = np.r_[cuts[1:], bucket.size]
+    ends = np.r_[cuts[1:], bucket.size][: cuts.size]
     raw = value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
     if more is not None:
         raw = np.hstack([raw, more.astype("<u4").view(np.uint8).reshape(-1, 4)])
@@ -80,7 +80,7 @@ def send(chunk: int, bucket: np.ndarray, value: np.ndarray, width: int, firsts:
 def send_rows(chunk: int, bucket: np.ndarray, rows: np.ndarray, note: bytes) -> pa.RecordBatch:
     """One row for each bucket with its part of a record array."""
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if bucket.size else np.zeros(0, np.int64)
-    ends = np.r_[cuts[1:], bucket.size]
+    ends = np.r_[cuts[1:], bucket.size][: cuts.size]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(bucket[cuts].astype(np.int32)),

@@ -421,6 +421,24 @@ def test_suffix_arrays():
             assert prefix[i] == next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("texts", [["short", "other", None], ["x" * 99, "no window of words here"], [f"{i:03d} differs in every place {i:03d} " for i in range(3)]])
+def test_shards_with_nothing_to_send(spark, texts):
+    """No shard has a string, or none that repeats: a shard sends nothing, and all stays."""
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(df).collect()]
+    assert sorted(got) == sorted(byte_dedup(rows))
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df).collect()) == window_dedup(rows)
+
+
+def test_distinct_long_texts(spark):
+    """Strings, but none of them twice: nothing is asked."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(str(rng.randrange(10**8)) for _ in range(40))) for i in range(3)]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(byte_dedup(rows))
+
+
 # -- 8 --------------------------------------------------------------------------------------------------------------
 
 
