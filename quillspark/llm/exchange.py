@@ -46,7 +46,8 @@ def order(names: np.ndarray, buckets: int, keep: int) -> tuple[np.ndarray, np.nd
     """
     bucket = bucket_of(names, buckets)
     value = (names >> np.uint64(24)) if keep == 40 else names
-    at = np.lexsort((value, bucket))
+    # buckets are fewer than 2**24: with 40 bits of a value both are one integer
+    at = np.argsort((bucket.astype(np.uint64) << np.uint64(40)) | value) if keep == 40 else np.lexsort((value, bucket))
     b, v = bucket[at], value[at]
     new = np.ones(at.size, bool)
     new[1:] = (b[1:] != b[:-1]) | (v[1:] != v[:-1])

@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,6 +440,64 @@ def test_distinct_long_texts(spark):
     assert sorted(got) == sorted(byte_dedup(rows))
 
 
+def byte_passes(chunks):
+    """The passes of remove_repeats over given shards, without Spark: doc_id and kept bytes."""
+    tables = [pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]}) for rows in chunks]
+
+    def dealt(parts, column, answer):
+        whole = pa.concat_tables(parts)
+        return [answer(whole.filter(pc.equal(whole.column(column), k))) for k in pc.unique(whole.column(column)).to_pylist()]
+
+    def shards(known):
+        whole = pa.concat_tables(known)
+        for k, t in enumerate(tables):
+            yield k, repeats.Shard(t, 4), whole.filter(pc.equal(whole.column("chunk"), k))
+
+    def table(*batches):
+        return pa.Table.from_batches(batches)
+
+    known = dealt([table(repeats.Shard(t, 4).sent(k)) for k, t in enumerate(tables)], "bucket", repeats.exchange.answer_shared(5, 1))
+    known += dealt([table(repeats.send(k, repeats._REGION, *own.regions(told))) for k, own, told in shards(known)], "bucket", repeats.answer_regions)
+    asked, sorted_ = [], []
+    for k, own, told in shards(known):
+        asked.append(table(repeats.send(k, repeats._STRING, *own.strings(told)[-1])))
+        sorted_.append(own.again.size)
+    known += dealt(asked, "bucket", repeats.answer_strings)
+    kept = {}
+    for _, own, told in shards(known):
+        gone = own.removed(told)
+        kept |= {i: own.data[a:b][~gone[a:b]].tobytes() for i, a, b in zip(own.ids.tolist(), own.offsets[:-1], own.offsets[1:], strict=True)}
+    return kept, sorted_
+
+
+def test_settled_regions_are_not_sorted():
+    """Copies of another shard's texts are settled by their regions; only what these leave open goes through suffix arrays."""
+    rng = random.Random(12)
+    text = [" ".join(str(rng.randrange(10**6)) for _ in range(90)) for _ in range(9)]
+    first = [(i, text[i]) for i in range(6)]
+    copies = [(10 + i, text[i]) for i in range(6)]
+    own = [(20, text[6]), (21, text[6]), (22, text[6])]  # nowhere else
+    other = [(30, text[0][:300] + text[7]), (31, text[7] + text[1][37:290] + text[8]), (32, text[0][:300] + text[8]), (33, text[7][:250])]
+    chunks = [first, copies, own, other]
+    kept, strings = byte_passes(chunks)
+    assert kept == {r[0]: r[4] for r in byte_dedup([r for rows in chunks for r in rows])}
+    assert strings[1] == 0 and strings[2] > 1500 and strings[3] > 300
+
+
+def test_order_of_packed_integers():
+    rng = np.random.default_rng(4)
+    for bits, n in ((1, 5), (8, 4000), (40, 4000), (62, 4000), (3, 0)):
+        key = rng.integers(0, 2**bits, n)
+        key[n // 2 :] = key[: n - n // 2]
+        assert repeats.in_order(key, bits).tolist() == np.argsort(key, kind="stable").tolist()
+    key, bucket, name = rng.integers(0, 9, 3000).astype(np.uint64), rng.integers(0, 4, 3000), rng.integers(0, 5, 3000).astype(np.uint64)
+    b, k, m, doc, start, place = repeats.distinct(bucket, key, name, np.arange(3000), np.arange(3000))
+    want = sorted(set(zip(bucket.tolist(), key.tolist(), name.tolist(), strict=True)))
+    assert list(zip(b.tolist(), k.tolist(), m.tolist(), strict=True)) == want
+    every = list(zip(bucket.tolist(), key.tolist(), name.tolist(), strict=True))
+    assert doc.tolist() == start.tolist() == [every.index(x) for x in want] and [want[i] for i in place] == every
+
+
 # -- 8 --------------------------------------------------------------------------------------------------------------
 
 
