@@ -456,7 +456,8 @@ def byte_passes(chunks):
     def table(*batches):
         return pa.Table.from_batches(batches)
 
-    known = dealt([table(repeats.Shard(t, 4).sent(k)) for k, t in enumerate(tables)], "bucket", repeats.exchange.answer_shared(5, 1))
+    known = [repeats.exchange._ANSWER.empty_table()]
+    known += dealt([table(repeats.Shard(t, 4).sent(k)) for k, t in enumerate(tables)], "bucket", repeats.exchange.answer_shared(5, 1))
     known += dealt([table(repeats.send(k, repeats._REGION, *own.regions(told))) for k, own, told in shards(known)], "bucket", repeats.answer_regions)
     asked, sorted_ = [], []
     for k, own, told in shards(known):
@@ -484,6 +485,18 @@ def test_settled_regions_are_not_sorted():
     assert strings[1] == 0 and strings[2] > 1500 and strings[3] > 300
 
 
+def test_byte_repeats_across_random_shards():
+    for n in range(60):
+        rng = random.Random(n)
+        letters = rng.choice(["a", "ab", "abc", "abcdefghij é日"])
+        pool = ["".join(rng.choice(letters) for _ in range(rng.choice([30, 99, 100, 101, 130, 260]))) for _ in range(6)]
+        rows = [(i - 3, "".join(x if rng.random() < 0.8 else x[rng.randrange(len(x)) :] for x in rng.choices(pool, k=rng.randrange(4)))) for i in range(12)]
+        rows += [(2**33, None), (2**33 + 5, pool[0] * 2)]
+        mixed, k = rng.sample(rows, len(rows)), rng.randrange(1, 5)
+        kept, _ = byte_passes([mixed[c::k] for c in range(k)])
+        assert kept == {r[0]: r[4] for r in byte_dedup(rows)}
+
+
 def test_order_of_packed_integers():
     rng = np.random.default_rng(4)
     for bits, n in ((1, 5), (8, 4000), (40, 4000), (62, 4000), (3, 0)):
