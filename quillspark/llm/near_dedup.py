@@ -310,7 +310,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
 
     # a task gets a few thousand nodes, as each becomes rows * rows keys
     dealt = nodes.select("node", "halves").repartition(max(1, nodes.count() // 4096))
-    keys = dealt.select(F.posexplode(_tables(rows)).alias("table", "key"), "node")
+    # Spark takes an exploded table, and arrays, for about as large as what they come from: such joins are never broadcast
+    keys = dealt.select(F.posexplode(_tables(rows)).alias("table", "key"), "node").hint("merge")
     buckets = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     members = common.saved(keys.join(buckets, "key"))
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc", "digest")
@@ -319,9 +320,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS) -
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are linked; those with few half-keys in common are left out first."""
-        at = lambda name: nodes.select(F.col("node").alias(name), F.col("halves").alias(f"h{name}"))
+        at = lambda name, *more: nodes.select(F.col("node").alias(name), F.col("halves").alias(f"h{name}"), *more).hint("merge")
         agree = F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda x: x))
-        pairs = pairs.join(at("a").join(nodes.select(F.col("node").alias("a"), "size"), "a"), "a").join(at("b"), "b").where(agree >= AGREE).select("a", "b", "size")
+        pairs = pairs.join(at("a", "size"), "a").join(at("b"), "b").where(agree >= AGREE).select("a", "b", "size")
         pairs = common.saved(pairs)
         # parts of some PART pairs or PART_ITEMS shingles: a b with many partners is in several, once in each
         many = common.saved(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("n")))

@@ -680,6 +680,17 @@ def test_other_limits(spark):
     assert near_dedup.near_duplicates(df).where("kept").count() == 2
 
 
+def test_keys_are_not_broadcast(spark):
+    """64 keys of each document are more than Spark takes an exploded table for: they must not go to the driver."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i // 2 * 8, i // 2 * 8 + 9))) for i in range(16_000)]
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")
+    try:
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").count()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == 8000
+
+
 def test_crowds_of_several_templates(spark):
     """Crowds that share much: links by edits in common, without any majority among the texts."""
     rng = random.Random(10)
