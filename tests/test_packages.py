@@ -1,11 +1,15 @@
 """Plans over event tables of Office packages against the plain model, on hand-made and random packages."""
 
+import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import session
 from quillspark.functions import text
+from quillspark.operators import office
 from quillspark.operators import packages as rules
 from quillspark.operators import tables
 from quillspark.plans import io_queries as samples
@@ -239,3 +243,32 @@ def test_written_once(spark, tmp_path):
     assert session.once(spark, "t", str(tmp_path), make).count() == session.once(spark, "t", str(tmp_path), make).count() == 3 and len(made) == 1
     shutil.rmtree(next(path for (_, name, source), (path, _) in session._kept.items() if source == str(tmp_path)).removeprefix("file:"))
     assert session.once(spark, "t", str(tmp_path), make).count() == 3 and len(made) == 2
+
+
+def _tables(spark):
+    folder = f"{session.shared_folder(spark)}/quillspark".removeprefix("file:")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {x for x in (files.apply(i).getName() for i in range(files.size())) if x.startswith("shuffle_")}
+
+
+def test_disk_of_blocks(spark, data_dir, tmp_path):
+    """Of all tables and shuffles on the way to the blocks of packages, only the table of the blocks stays."""
+    os.symlink(f"{data_dir}/documents.parquet", tmp_path / "documents.parquet")
+    tables, files = _tables(spark), _shuffle_files(spark)
+    items = samples.ooxml_content_list(spark, str(tmp_path))
+    assert len(_tables(spark) - tables) == 1
+    assert not _shuffle_files(spark) - files
+    assert items.count() == samples.ooxml_blocks(spark, str(tmp_path)).where("kind <> 'discarded'").count() > 0
+
+
+def test_middle_json_in_one_exchange(spark):
+    """Pages are put together where the blocks of their file are: the wide rows are not dealt again."""
+    rows = spark.createDataFrame([("a", 0, 0, "equation", "x"), ("a", 1, 1, "equation", "y"), ("b", 0, 0, "warning", "w")], "file string, page_idx int, idx int, kind string, content string")
+    blocks = rows.selectExpr("*", "cast(null as int) level", *[f"cast(null as string) {c}" for c in ("html", "path", "alt", "reason")], "cast(array() as array<struct<type:string,content:string,url:string,style:array<string>>>) spans", "cast(array() as array<array<struct<type:string,content:string,url:string,style:array<string>>>>) item_spans")
+    found = office.middle_json(blocks)
+    assert str(found._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+    assert [(r.file, [p["para_blocks"][0]["lines"][0]["spans"][0]["content"] for p in json.loads(r.middle_json)["pdf_info"]]) for r in found.collect()] == [("a", ["x", "y"])]
