@@ -154,8 +154,12 @@ def _assembled(spark, sf_dir):
     return once(spark, "assembled blocks", sf_dir, lambda: structure.assemble(_blocks(spark, sf_dir), PAGE))
 
 
+def _sized(blocks):
+    return blocks.withColumn("point_w", F.lit(1003)).withColumn("point_h", F.lit(1001))
+
+
 def assembled(spark, sf_dir):
-    return _assembled(spark, sf_dir).withColumn("point_w", F.lit(1003)).withColumn("point_h", F.lit(1001))
+    return _sized(_assembled(spark, sf_dir))
 
 
 def visual_groups(spark, sf_dir):
@@ -212,7 +216,10 @@ def markdown_segments(spark, sf_dir):
 
 
 def middle_json(spark, sf_dir):
-    return render.middle_json(assembled(spark, sf_dir), PAGE, ["doc"], "page_idx")
+    """Its rows are as wide as all blocks together, so they are put together where the document's narrow raw blocks were dealt to, without tables or exchanges in between."""
+    # a number of parts: rows become many times as wide, so parts must not be put together by their present size
+    raw = derived(spark, sf_dir, inputs.BLOCKS).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc")
+    return render.middle_json(_sized(structure.assemble(structure.to_blocks(structure.post_process(raw), PAGE), PAGE)), PAGE, ["doc"], "page_idx")
 
 
 def model_json(spark, sf_dir):

@@ -2,11 +2,13 @@
 
 import collections
 import json
+import os
 import re
 
 import duckdb
 import pytest
 
+from quillspark import session
 from quillspark.plans import inputs, structure_queries
 
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -331,3 +333,14 @@ def test_middle_json(spark, data_dir, pages):
     got = {r.doc: bare(json.loads(r.middle_json)) for r in structure_queries.middle_json(spark, data_dir).collect()}
     assert {d: x["pdf_info"] for d, x in got.items()} == {d: bare(x) for d, x in want.items()}
     assert all(x["_backend"] == "vlm" for x in got.values())
+
+
+def test_middle_json_without_tables(spark, data_dir, tmp_path):
+    """Only the narrow raw blocks are dealt, by their order and by their document; nothing is written on the way."""
+    os.symlink(f"{data_dir}/lineitem.parquet", tmp_path / "lineitem.parquet")
+    folder = f"{session.shared_folder(spark)}/quillspark".removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    found = structure_queries.middle_json(spark, str(tmp_path))
+    assert str(found._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 2
+    assert found.count() > 0
+    assert (set(os.listdir(folder)) if os.path.isdir(folder) else set()) == before
